@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from spectrel.llm.queries_decontaminate import SQL as DECONTAMINATE_SQL
-from spectrel.llm.queries_decontaminate import op2_decontaminate
-from spectrel.llm.queries_urlfilter import op10_url_filter
+from spectrel.llm import queries_decontaminate, queries_fingerprints, queries_licenses, queries_packing, queries_urlfilter, queries_warc
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op10_url_filter)}
-ORACLES = {"op2_decontaminate": DECONTAMINATE_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        queries_decontaminate.op2_decontaminate,
+        queries_packing.op4_pack,
+        queries_warc.op6_warc,
+        queries_licenses.op7_licenses,
+        queries_fingerprints.op8_fingerprints,
+        queries_urlfilter.op10_url_filter,
+    )
+}
+ORACLES = {"op2_decontaminate": queries_decontaminate.SQL, "op6_warc": queries_warc.SQL}
