@@ -26,8 +26,8 @@ from spectrel.llm import common
 
 #: Rows that one (length, salt) group holds on average, at most.
 GROUP_ROWS = 50_000
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker keeps, twice: those met lately, and those met before them.
+CACHE_WORDS = 500_000
 
 
 class Encoder:
@@ -41,20 +41,27 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text and the end id."""
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known = self.known = {}
-        new = list({w for ws in words for w in ws if w not in known})
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        found = [list(map(known.get, ws)) for ws in words]
+        lacking = [k for k, f in enumerate(found) if None in f]
+        missing = {w for k in lacking for w, f in zip(words[k], found[k], strict=True) if f is None}
+        known.update((w, older[w]) for w in missing if w in older)
+        new = [w for w in missing if w not in known]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for k in lacking:
+            found[k] = [known[w] if f is None else f for w, f in zip(words[k], found[k], strict=True)]
         end = np.array([end_id], dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) + end for ws in words]
+        return [b"".join(f) + end for f in found]
 
 
 _ENCODERS: OrderedDict[str, Encoder] = OrderedDict()
