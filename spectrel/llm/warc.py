@@ -78,11 +78,12 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> None:
 
     found = common.cut(records(pages, least))
     found.select("page_id", "copy", "sha256", header(found).alias("header")).write.parquet(f"{folder}/headers")
-    kept = found.where("record_type = 'response'").groupBy("sha256").agg(F.max("page_id").alias("page_id"))
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))  # noqa: E731  a null page_id is the smallest
+    kept = found.where("record_type = 'response'").groupBy("sha256").agg(F.max(number("page_id")).alias("own_id")).withColumnRenamed("sha256", "own_sha")
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    source = pages.select(F.col("page_id").cast("long").alias("own_id"), payload.alias("payload")).withColumn("own_sha", F.sha2("payload", 256))
+    source = pages.select(number("page_id").alias("own_id"), payload.alias("payload")).withColumn("own_sha", F.sha2("payload", 256))
     # by page_id as well as digest, so that a payload that many pages share is no hot key
-    stored = source.join(kept, (source["own_sha"] == kept["sha256"]) & source["own_id"].eqNullSafe(kept["page_id"]), "left_semi")
+    stored = source.join(kept, ["own_id", "own_sha"], "left_semi")
     stored.dropDuplicates(["own_id", "own_sha"]).select(F.col("own_sha").alias("sha256"), "payload").write.parquet(f"{folder}/payloads")
 
 
