@@ -95,7 +95,8 @@ def byte_word_hashes(texts: list[bytes], translation: bytes) -> tuple[np.ndarray
     at = np.arange(len(b), dtype=np.int64)[inside] - np.repeat(starts, size)
     value = (b[inside].astype(np.uint64) + np.uint64(1)) * _POWERS[at & 0xFFFF]
     if size.max() > 0xFFFF:  # beyond the table, a block's number enters too
-        value = mix(value + (at >> 16).astype(np.uint64))
+        far = at > 0xFFFF
+        value[far] = mix(value[far] + (at[far] >> 16).astype(np.uint64))
     first = np.cumsum(size) - size
     sums = np.add.reduceat(value, first)
     return mix(mix(sums) + size.astype(np.uint64)), counts

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from spectrel.llm import queries_decontaminate, queries_fingerprints, queries_licenses, queries_packing, queries_urlfilter, queries_warc
+from spectrel.llm import (
+    queries_decontaminate,
+    queries_fingerprints,
+    queries_licenses,
+    queries_lm,
+    queries_packing,
+    queries_pii,
+    queries_quality,
+    queries_urlfilter,
+    queries_warc,
+)
 
 QUERIES = {
     f.__name__: f
     for f in (
+        queries_pii.op1_pii,
         queries_decontaminate.op2_decontaminate,
+        queries_quality.op3_quality,
         queries_packing.op4_pack,
+        queries_lm.op5_kneser_ney,
         queries_warc.op6_warc,
         queries_licenses.op7_licenses,
         queries_fingerprints.op8_fingerprints,
