@@ -341,19 +341,18 @@ def windows(r: np.random.Generator, texts: list[str], n: int) -> tuple[np.ndarra
     for k in range(n):
         text = texts[r.integers(len(texts))]
         at = int(r.integers(0, max(1, len(text) - TRAIN_WINDOW)))
-        piece, extra, kind = text[at : at + TRAIN_WINDOW], "", None
-        if (p := r.random()) < 0.65:
-            kind = KINDS[r.integers(len(KINDS))]
-            extra = made(r, kind)
-        elif p < 0.9:
-            extra = look_alike(r)
-        spans = []
-        if extra:
-            blanks = [i + 1 for i, c in enumerate(piece[: max(1, TRAIN_WINDOW - len(extra) - 2)]) if c == " "] or [0]
-            put = blanks[r.integers(len(blanks))]
-            end = ["", ",", ".", "###", "***"][r.integers(5)]
-            piece = piece[:put] + extra + end + " " + piece[put:]
-            spans = [(put, put + len(extra), kind)] if kind else []
+        piece, parts = text[at : at + TRAIN_WINDOW], []
+        for _ in range([0, 1, 1, 1, 1, 1, 2, 2, 3][r.integers(9)]):
+            what = KINDS[r.integers(len(KINDS))] if r.random() < 0.7 else None
+            parts.append((made(r, what) if what else look_alike(r), what, ["", "", ",", ".", "###", "***"][r.integers(6)] + " "))
+        blanks = [i + 1 for i, c in enumerate(piece[: max(1, TRAIN_WINDOW - sum(len(p) + 2 for p, _, _ in parts))]) if c == " "] or [0]
+        put = blanks[r.integers(len(blanks))]
+        extra, spans = "", []
+        for part, what, end in parts:
+            if what:
+                spans.append((put + len(extra), put + len(extra) + len(part), what))
+            extra += part + end
+        piece = piece[:put] + extra + piece[put:]
         piece = piece[:TRAIN_WINDOW]
         spans += [s for s in base_spans(piece) if all(s[1] <= a or s[0] >= b for a, b, _ in spans)]
         for a, b, what in spans:

@@ -7,6 +7,7 @@ from spectrel.llm import (
     queries_fingerprints,
     queries_licenses,
     queries_lm,
+    queries_neardup,
     queries_packing,
     queries_pii,
     queries_quality,
@@ -25,6 +26,7 @@ QUERIES = {
         queries_warc.op6_warc,
         queries_licenses.op7_licenses,
         queries_fingerprints.op8_fingerprints,
+        queries_neardup.op9_near_duplicates,
         queries_urlfilter.op10_url_filter,
     )
 }

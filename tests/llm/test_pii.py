@@ -38,7 +38,7 @@ def test_base_spans_of_planted_texts():
 
 @pytest.fixture(scope="module")
 def model():
-    return pii.train([prose(i, 200) for i in range(60)], steps=450)
+    return pii.train([prose(i, 200) for i in range(60)], steps=320)
 
 
 def test_held_out_accuracy(model):
