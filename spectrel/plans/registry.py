@@ -11,6 +11,7 @@ from spectrel.functions import kernels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MODULES = ("tabular",)
 
 
 def query(name: str, oracle: str | None = None):
@@ -25,6 +26,14 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def load_all() -> None:
+    """Import the modules that register queries."""
+    from importlib import import_module
+
+    for name in MODULES:
+        import_module(f"spectrel.plans.{name}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
