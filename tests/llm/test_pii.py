@@ -86,3 +86,17 @@ def test_scan_and_redact(spark, model):
         assert part not in clean[last]["text"]
     assert clean[last]["text"].startswith(prose(7, 60)) and pii.redact(docs, model).columns == docs.columns
     assert pii.scan(documents(spark, []), pii.fit(documents(spark, []))).count() == 0
+
+
+def test_query_columns(spark, tmp_path):
+    import hashlib
+
+    from spectrel.llm.queries_pii import op1_pii
+
+    text = "é +1 (663) 555-6869 a@b.co 10.0.0.1"
+    documents(spark, [text, None]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op1_pii(spark, str(tmp_path)).collect()}
+    joined = ",".join(f"{k}:{s}:{e}" for s, e, k in brute(text))
+    assert (got[0]["n_email"], got[0]["n_ip"], got[0]["n_card"], got[0]["n_phone"]) == (1, 1, 0, 1)
+    assert got[0]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and got[0]["spans"] == joined
+    assert got[1]["spans"] == "" and got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
