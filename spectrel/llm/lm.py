@@ -98,7 +98,7 @@ BLOB_ARROW = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("keys", pa.bin
 def blobs(parts: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     """One row for each part; parts ascend, and so do the keys of each."""
     first = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else np.zeros(0, dtype=np.int64)
-    last = np.append(first[1:], len(parts))
+    last = np.append(first[1:], len(parts)) if len(first) else first
     rows = [(int(parts[a]), int(b - a), packed(steps_of(keys[a:b])), packed(counts[a:b])) for a, b in zip(first, last, strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ((),) * 4, BLOB_ARROW, strict=True)], schema=BLOB_ARROW)
 

@@ -83,3 +83,10 @@ def test_word_hashes(spark):
     for w, h in zip(flat, hashes.tolist(), strict=True):
         assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+def test_blobs_of_nothing():
+    import numpy as np
+
+    none = np.zeros(0, dtype=np.int64)
+    assert lm.blobs(none, none.astype(np.uint64), none).num_rows == 0
