@@ -254,3 +254,12 @@ def ensemble_prediction(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("w", F.col("event_id") % 3 + 1)
     parts = [metrics.ensemble(e, "user_id", "value", how, "w").select("user_id", F.round("value", 6).alias(how)) for how in ("mean", "median", "weighted")]
     return parts[0].join(parts[1], "user_id").join(parts[2], "user_id")
+
+
+@query("preprocessing_pipeline")
+def preprocessing_pipeline(spark, sf_dir):
+    """A default pipeline, fitted on labels below 8 and applied to all rows."""
+    from spectrel.operators import pipeline
+
+    x = spectra(spark, sf_dir)
+    return points(pipeline.fit(x.where("label < 8"), pipeline.DEFAULTS[1]).transform(x))
