@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,17 @@ def octets(name: str = "text"):
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"")).alias(name)
 
 
+def parts(batches, at: int, size: int = 1_000_000):
+    """Arrow batches cut into runs of rows whose texts (column `at`) have about `size` bytes together, or one longer text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy().astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def table_of(separator) -> bytes:
     """A translation table: A-Z to a-z, separators to a blank."""
     return bytes(32 if separator(c) else c + 32 if 65 <= c <= 90 else c for c in range(256))

@@ -112,7 +112,7 @@ def with_next(documents: DataFrame, parts: int | None = None) -> DataFrame:
 
     def run(batches):
         last = None  # (part, halo, doc_id, text, fingerprint)
-        for batch in batches:
+        for batch in common.parts(batches, 3):
             rows = []
             for part, halo, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 mark = fingerprint(text) if not (halo and last and last[1] and last[0] == part) else ""

@@ -152,23 +152,6 @@ def fit(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, t
     return train([bytes(r["octets"]) for r in rows], y, np.array([totals.get(int(k), 1) / taken[int(k)] for k in y]))
 
 
-def groups(texts: list[bytes], size: int = 1 << 20):
-    """Runs of texts of about `size` bytes together, or one longer text."""
-    run, total = [], 0
-    for t in texts:
-        if run and total + len(t) > size:
-            yield run
-            run, total = [], 0
-        run.append(t)
-        total += len(t)
-    if run:
-        yield run
-
-
-def scores(net, texts: list[bytes], tables) -> np.ndarray:
-    return np.concatenate([np.zeros(0), *(probabilities(net, g, tables) for g in groups(texts))])
-
-
 def classify(documents: DataFrame, net: Network) -> DataFrame:
     """Per document: doc_id, score."""
     shared = documents.sparkSession.sparkContext.broadcast(net)
@@ -176,8 +159,8 @@ def classify(documents: DataFrame, net: Network) -> DataFrame:
 
     def run(batches):
         tables = shared.value.pairs()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(shared.value, batch.column(1).to_pylist(), tables))], schema=shape)
+        for part in common.parts(batches, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(probabilities(shared.value, part.column(1).to_pylist(), tables))], schema=shape)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.octets("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -188,8 +171,8 @@ def keep_good(documents: DataFrame, net: Network, least: float = 0.5) -> DataFra
 
     def run(batches):
         tables = shared.value.pairs()
-        for batch in batches:
-            found = scores(shared.value, [(t or "").encode() for t in batch.column(at).to_pylist()], tables)
-            yield batch.filter(pa.array(found >= least))
+        for part in common.parts(batches, at):
+            found = probabilities(shared.value, [(t or "").encode() for t in part.column(at).to_pylist()], tables)
+            yield part.filter(pa.array(found >= least))
 
     return documents.mapInArrow(run, documents.schema)

@@ -30,7 +30,7 @@ def test_learns_and_scores_whole_texts(spark):
     # slices and groups do not show, and the last byte counts
     odd = [(t or "").encode() for t in EDGE_TEXTS] + [t.encode() for t in texts[:20]]
     alone = np.array([quality.probabilities(net, [t])[0] for t in odd])
-    assert np.allclose(alone, quality.scores(net, odd, net.pairs()), atol=1e-6)
+    assert np.allclose(alone, quality.probabilities(net, odd), atol=1e-6)
     one = quality.features(net, net.pairs(), quality.layout([b"a" * 1000 + b"Q!! Z"]))
     assert not np.allclose(one, quality.features(net, net.pairs(), quality.layout([b"a" * 1000])))
 
