@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spectrel.llm import common
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Fixed by the contract; a lookbehind only saves starts that cannot match.
 EMAIL_END = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -453,25 +455,15 @@ def train(texts: list[str], steps: int = TRAIN_STEPS, rate: float = 0.02, seed:
 
 def fit(documents: DataFrame, train_texts: int = TRAIN_TEXTS, train_chars: int = TRAIN_CHARS) -> Model:
     """Learn from excerpts of at most train_chars characters of train_texts documents, those of smallest doc_id hash."""
-    sample = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.substring("text", 1, train_chars).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "text").limit(train_texts)
-    return train([r["text"] for r in sample.select("text").collect()])
+    known = documents.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_texts)  # ids alone go to one place
+    rows = known.join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, train_chars).alias("text")).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    return train([r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
 # --- over documents -------------------------------------------------------------------------------------------------------------
 
 
-def groups(texts: list[str], size: int = 2_000_000):
-    """Runs [a, b) of texts of about `size` characters together, or one longer text."""
-    a = total = 0
-    for k, t in enumerate(texts):
-        if k > a and total + len(t) > size:
-            yield a, k
-            a, total = k, 0
-        total += len(t)
-    if len(texts) > a:
-        yield a, len(texts)
-
-
 SPAN = "struct<start:long,end:long,kind:string>"
 
 
@@ -483,12 +475,10 @@ def scan(documents: DataFrame, model: Model) -> DataFrame:
     keys = ("start", "end", "kind")
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in groups(texts):
-                found = find(texts[a:b], shared.value)
-                columns = [pa.array([[dict(zip(keys, s, strict=True)) for s in row[k]] for row in found], span) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *columns], schema=shape)
+        for part in common.parts(batches, 1):
+            found = find(part.column(1).to_pylist(), shared.value)
+            columns = [pa.array([[dict(zip(keys, s, strict=True)) for s in row[k]] for row in found], span) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=shape)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id long, base array<{SPAN}>, spans array<{SPAN}>")
 
@@ -509,11 +499,10 @@ def redact(documents: DataFrame, model: Model) -> DataFrame:
     at, count = documents.columns.index("text"), documents.columns.index("n_chars") if "n_chars" in documents.columns else None
 
     def run(batches):
-        for batch in batches:
-            texts, new = batch.column(at).to_pylist(), []
+        for batch in common.parts(batches, at):
+            texts = batch.column(at).to_pylist()
             full = [t or "" for t in texts]
-            for a, b in groups(full):
-                new += [masked(t, spans) for t, (_, spans) in zip(full[a:b], find(full[a:b], shared.value), strict=True)]
+            new = [masked(t, spans) for t, (_, spans) in zip(full, find(full, shared.value), strict=True)]
             columns = list(batch.columns)
             columns[at] = pa.array([n if t is not None else None for t, n in zip(texts, new, strict=True)], batch.schema.field(at).type)
             if count is not None:
