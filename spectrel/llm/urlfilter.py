@@ -85,9 +85,10 @@ def ratios(counts: DataFrame) -> DataFrame:
 
 
 def scored(urls: DataFrame, table: DataFrame, *keep: str) -> DataFrame:
-    """urls: the columns keep, which tell rows apart, and grams; adds score, the mean ratio over characters (0 without any)."""
-    each = urls.select(*keep, F.explode_outer("grams").alias("gram")).join(F.broadcast(table), "gram", "left")
-    return each.groupBy(*keep).agg(F.coalesce(F.avg("llr"), F.lit(0.0)).alias("score"))
+    """urls: the columns keep and grams. Of each distinct row of keep: score, the mean ratio over characters (0 without any), and
+    copies, how often it stands. Scores are added up where the rows are read; one row of each moves."""
+    each = urls.select(*keep, F.posexplode_outer("grams").alias("pos", "gram")).join(F.broadcast(table), "gram", "left")
+    return each.groupBy(*keep).agg(F.coalesce(F.avg("llr"), F.lit(0.0)).alias("score"), F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("copies"))
 
 
 def threshold(examples: DataFrame) -> DataFrame:
@@ -115,9 +116,8 @@ def judge(pages: DataFrame, rules=RULES, calibration: int = 5) -> DataFrame:
     from spectrel.llm import common
 
     table = common.cut(ratios(common.cut(counts)))
-    held = ruled.where("held").groupBy("url", "verdict").agg(F.first("grams").alias("grams"))
-    limit = threshold(scored(held, table, "url", "verdict"))
-    free = cut_up.where("found IS NULL").groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("host", "path", "rest")))
-    free = scored(free.withColumn("grams", grams(F.col("rest"))), table, "page_id", "url", "host", "path", "copies").withColumn("limit", limit.scalar())
+    limit = threshold(scored(ruled.where("held"), table, "url", "verdict"))
+    free = cut_up.where("found IS NULL").withColumn("grams", grams(F.col("rest")))
+    free = scored(free, table, "page_id", "url", "host", "path").withColumn("limit", limit.scalar())
     rest_of = free.select("page_id", "url", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(F.col("score") >= F.col("limit"), "allow").otherwise("block").alias("verdict"), "score", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
     return cut_up.where("found IS NOT NULL").select("page_id", "url", "host", "path", "found.rule", "found.verdict", F.lit(None).cast("double").alias("score")).unionByName(rest_of)
