@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from spectrel.llm import common, components
 
-COORDINATES, BLOCK, MISS = 32, 512, 1e-9
+COORDINATES, MISS = 32, 1e-9
+#: Rows of a block: of postings, which are short, and of full sets.
+BLOCK, SET_BLOCK = 2048, 1024
 _SEEDS = common.mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _A, _B = _SEEDS[:COORDINATES] | np.uint64(1), _SEEDS[COORDINATES:]
 _C = np.uint64(0x9FB21C651E98DF25)
@@ -83,30 +85,17 @@ def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return sizes, k1, k2, sig
 
 
-def runs(texts: list[bytes], size: int = 3_000_000) -> Iterator[tuple[int, int]]:
-    a = total = 0
-    for k, t in enumerate(texts):
-        if k > a and total + len(t) > size:
-            yield a, k
-            a, total = k, 0
-        total += len(t)
-    if len(texts) > a:
-        yield a, len(texts)
-
-
 def sketches(documents: DataFrame, words: int) -> DataFrame:
     """Per document: doc_id, n_shingles, k1, k2, signature (array of COORDINATES longs), short (the signature in 16 bits each)."""
     shape = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("signature", pa.list_(pa.int64())), ("short", pa.binary())])
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in runs(texts):
-                n, k1, k2, sig = digests(shingle_sets(texts[a:b], words))
-                offsets = np.arange(b - a + 1, dtype=np.int32) * COORDINATES
-                short = [row.tobytes() for row in (sig >> np.uint64(48)).astype("<u2")]
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists, pa.array(short, pa.binary())], schema=shape)
+        for part in common.parts(batches, 1):
+            n, k1, k2, sig = digests(shingle_sets(part.column(1).to_pylist(), words))
+            offsets = np.arange(part.num_rows + 1, dtype=np.int32) * COORDINATES
+            short = [row.tobytes() for row in (sig >> np.uint64(48)).astype("<u2")]
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists, pa.array(short, pa.binary())], schema=shape)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.octets("text")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, signature array<long>, short binary")
 
@@ -131,7 +120,7 @@ def in_groups(batches, keys: int) -> Iterator[pa.Table]:
         yield rest
 
 
-def in_blocks(rows: DataFrame, key: str, size: str, block: int = BLOCK) -> DataFrame:
+def in_blocks(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
     """Deals the rows of each key out to pairs of blocks of about `block` rows: first, second say which pair; sorted by these."""
     blocks = F.ceil(F.col(size) / block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -227,12 +216,10 @@ def sets_of(needed: DataFrame, words: int) -> DataFrame:
     shape = pa.schema([("cluster", pa.int64()), ("size", pa.int64()), ("node", pa.int64()), ("octets", pa.binary())])
 
     def run(batches):
-        for batch in batches:
-            texts, node = batch.column(3).to_pylist(), batch.column(2).to_numpy()
-            for a, b in runs(texts):
-                sets = shingle_sets(texts[a:b], words)
-                keep = digests(sets)[1].view(np.int64) == node[a:b]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k)[a:b] for k in range(3)), pa.array([s.tobytes() for s in sets], pa.binary())], schema=shape).filter(pa.array(keep))
+        for part in common.parts(batches, 3):
+            sets = shingle_sets(part.column(3).to_pylist(), words)
+            keep = digests(sets)[1].view(np.int64) == part.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.array([s.tobytes() for s in sets], pa.binary())], schema=shape).filter(pa.array(keep))
 
     return needed.select("cluster", "size", "node", "text").mapInArrow(run, "cluster long, size long, node long, octets binary")
 
@@ -250,7 +237,7 @@ def candidates(classes: DataFrame, t: int) -> DataFrame:
     kept = common.cut(kept.join(classes.select("node", "short"), "node"))
     members = kept.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("who")).where("size > 1")
     once = members.groupBy("size", "who").agg(F.min("key").alias("key")).select("key", "size")
-    return agreeing(in_blocks(kept.join(once, "key"), "key", "size"), t)
+    return agreeing(in_blocks(kept.join(once, "key"), "key", "size", BLOCK), t)
 
 
 def components_of(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -264,7 +251,7 @@ def components_of(documents: DataFrame, words: int = 5, percent: int = 80) -> Da
     needed = rough.join(sizes, "cluster").join(classes.select("node", "rep"), "node").select("cluster", "size", "node", "rep")
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), common.octets("text"))
     sets = sets_of(texts.join(needed, "rep"), words)
-    found = components.connected(linked(in_blocks(sets, "cluster", "size"), percent))
+    found = components.connected(linked(in_blocks(sets, "cluster", "size", SET_BLOCK), percent))
     named = found.join(classes.select("node", "rep"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     of_class = named.join(least, "root").select("node", "least")

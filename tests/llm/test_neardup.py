@@ -61,10 +61,11 @@ def rows_of(seed):
 
 @pytest.mark.parametrize(("n", "percent", "block"), [(3, 85, 512), (5, 80, 7)])
 def test_equals_brute_force(spark, monkeypatch, n, percent, block):
-    monkeypatch.setattr(neardup.in_blocks, "__defaults__", (block,))
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "SET_BLOCK", block)
     rows = rows_of(n)
     rows += [(rows[0][0], rows[0][1]), (None, prose(3, 90)), (None, prose(4444, 30))]
-    docs = documents(spark, [(t, i) for i, t in rows]) if False else spark.createDataFrame([(t, i, "en", "s", 0, "x", 7) for i, t in rows], "text string, doc_id long, lang string, source string, n_chars long, node string, key int").repartition(3)
+    docs = spark.createDataFrame([(t, i, "en", "s", 0, "x", 7) for i, t in rows], "text string, doc_id long, lang string, source string, n_chars long, node string, key int").repartition(3)
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.components_of(docs, n, percent).collect()), key=str)
     assert got == brute(rows, n, percent)
     kept = neardup.keep_one(docs, n, percent)
