@@ -1,6 +1,6 @@
 """Connected components of a graph given by its edges, by large-star and small-star rounds.
 
-Edges are contracted within each task first (a task passes on a forest of what it read). A round then links each node's larger
+Edges are contracted within each task first, twice (a task passes on a forest of what it read). A round then links each node's larger
 neighbours, and after that its smaller ones, to the smallest of them; it stops when nothing changes. A node with very many
 neighbours costs a partial minimum and a join whose large partitions Spark splits.
 """
@@ -61,7 +61,8 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame) -> DataFrame:
     """edges: u, v (long). Returns node, root for each node with an edge, root the smallest node of its component."""
-    now, mark = common.cut(contracted(edges)), None
+    # once as the edges come, and once with all edges of a node in one task, so that a node keeps one edge from there
+    now, mark = common.cut(contracted(contracted(edges).repartition("u"))), None
     while True:
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == mark or not state[0]:
