@@ -27,7 +27,11 @@ from spectrel.llm import common
 #: Rows that one (length, salt) group holds on average, at most.
 GROUP_ROWS = 50_000
 #: Words whose ids a worker keeps, twice: those met lately, and those met before them.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+
+
+#: A character of its own ids; words are encoded in groups with it between them.
+MARK = "\ue000"
 
 
 class Encoder:
@@ -40,9 +44,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = np.array(self.tokenizer.encode(MARK, add_special_tokens=False).ids, dtype="<u4")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def split(self, ids: np.ndarray, n: int) -> list[bytes]:
+        """The ids of n words that MARK stands between. Its ids in a row are nothing else's: no other character has its bytes."""
+        if n == 1:
+            return [ids.tobytes()]
+        m = len(self.mark)
+        at = np.flatnonzero(np.logical_and.reduce([ids[k : len(ids) - m + 1 + k] == self.mark[k] for k in range(m)]))
+        edges = zip([0, *(at + m).tolist()], [*at.tolist(), len(ids)], strict=True)
+        return [ids[a:b].tobytes() for a, b in edges]
+
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text and the end id."""
         words = [t.replace("\n", " ").split(" ") for t in texts]
@@ -54,10 +68,10 @@ class Encoder:
         missing = {w for k in lacking for w, f in zip(words[k], found[k], strict=True) if f is None}
         known.update((w, older[w]) for w in missing if w in older)
         new = [w for w in missing if w not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        plain = [w for w in new if MARK not in w]
+        groups = [plain[at : at + 256] for at in range(0, len(plain), 256)] + [[w] for w in new if MARK in w]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            known.update(zip(group, self.split(np.array(e.ids, dtype="<u4"), len(group)), strict=True))
         for k in lacking:
             found[k] = [known[w] if f is None else f for w, f in zip(words[k], found[k], strict=True)]
         end = np.array([end_id], dtype="<u4").tobytes()

@@ -11,7 +11,7 @@ from spectrel.llm.queries_packing import tokenizer_path
 
 
 def test_pieces_and_places(spark):
-    texts = EDGE_TEXTS + [prose(i, 5 * i) for i in range(60)] + ["<|endoftext|> it's a\u00a0b\u2003c\u0301 ΣΑΣ Σ\r\nx"]
+    texts = EDGE_TEXTS + [prose(i, 5 * i) for i in range(60)] + ["<|endoftext|> it's a\u00a0b\u2003c\u0301 ΣΑΣ Σ\r\nx", "a \ue000 b\ue000 \ue001 \uf8ff \u3000 c", " \ue000", "  "]
     docs = documents(spark, texts)
     rows = packing.pack_digests(docs.union(docs.limit(9)), tokenizer_path(), size=256).collect()
     tokenizer = Tokenizer.from_file(tokenizer_path())
