@@ -8,7 +8,8 @@ personal data, and look-alikes that are none, written into them.
 
 A text is read in windows of WINDOW characters that overlap by OVERLAP. A window in which no path can beat all-O is left at once
 (a proven bound); the others are decoded by Viterbi. Each character takes its tag from the window that holds it deepest, so
-that a document has one tag sequence; its spans are checked (Luhn, digit counts, shape) and added where no base span is.
+that a document has one tag sequence; its spans are checked (Luhn, digit counts, shape) and what of them lies outside the base
+spans is added.
 
 Null texts are empty. Repeated rows each give a row. Without documents to learn from, made words are the background.
 """
@@ -95,7 +96,7 @@ def plausible(text: str, kind: str) -> bool:
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[^0-9 .\-/]", text)
     if kind == "phone":
-        return 10 <= len(digits) <= 15 and bool(re.fullmatch(r"\+?[0-9(][0-9 ().\-/]+[0-9]", text)) and bool(re.search(r"[^0-9]", text)) and not luhn(digits.ljust(14, "1"))
+        return 10 <= len(digits) <= 15 and bool(re.fullmatch(r"\+?[0-9(][0-9 ().\-/]+[0-9]", text)) and bool(re.search(r"[^0-9]", text)) and not plausible(text, "card")
     return bool(LIKE_SECRET.fullmatch(text))
 
 
@@ -281,20 +282,42 @@ def spans_of(tags: np.ndarray) -> list[tuple[int, int, str]]:
     return out
 
 
+def trimmed(text: str, s: int, e: int) -> tuple[int, int]:
+    while e > s and text[e - 1] in " \n\t,;.":
+        e -= 1
+    while s < e and text[s] in " \n\t":
+        s += 1
+    return s, e
+
+
+def outside(s: int, e: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a span that no taken span, ordered by start, covers."""
+    out = []
+    for a, b in taken:
+        if b > s and a < e:
+            if a > s:
+                out.append((s, a))
+            s = max(s, b)
+    return [*out, (s, e)] if s < e else out
+
+
 def find(texts: list[str], model: Model) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text."""
+    """(base spans, all spans) of each text. Of a network span that meets base spans, the parts outside them are added: all that hold a
+    letter or digit if the whole span passes its check, else those that pass it alone. Added spans overlap no base span."""
     out = []
     for text, more in zip(texts, network_spans(model, texts), strict=True):
         base = base_spans(text)
         taken = [(s, e) for s, e, _ in base]
         added = []
         for s, e, kind in more:
-            while e > s and text[e - 1] in " \n\t,;.":
-                e -= 1
-            while s < e and text[s] in " \n\t":
-                s += 1
-            if all(e <= a or s >= b for a, b in taken) and plausible(text[s:e], kind):
-                added.append((s, e, kind))
+            s, e = trimmed(text, s, e)
+            if kind == "phone" and plausible(text[s:e], "card"):
+                kind = "card"
+            whole = plausible(text[s:e], kind)
+            for a, b in outside(s, e, taken):
+                a, b = trimmed(text, a, b)
+                if (whole and any(c.isalnum() for c in text[a:b])) or (not whole and (a, b) != (s, e) and plausible(text[a:b], kind)):
+                    added.append((a, b, kind))
         out.append((base, sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2])))))
     return out
 

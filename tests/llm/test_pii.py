@@ -100,3 +100,45 @@ def test_query_columns(spark, tmp_path):
     assert (got[0]["n_email"], got[0]["n_ip"], got[0]["n_card"], got[0]["n_phone"]) == (1, 1, 0, 1)
     assert got[0]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and got[0]["spans"] == joined
     assert got[1]["spans"] == "" and got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def other_phones(n):
+    """Made phones in spellings without a base pattern."""
+    r = np.random.default_rng(31)
+    made = (pii.made(r, "phone") for _ in range(10 * n))
+    return [p for p in made if not pii.base_spans(p)][:n]
+
+
+def test_phones_of_any_length_are_kept():
+    phones = other_phones(1000)
+    r = np.random.default_rng(32)
+    for n in (11, 12, 13, 14, 15):
+        digits = ["".join(map(str, r.integers(0, 10, n))) for _ in range(300)]
+        phones += [f"({d[:3]}) {d[3:6]}-{d[6:]}" for d in digits]
+    assert all(pii.plausible(p, "phone") for p in phones)
+    card = "4316.5226.7852.5456"
+    assert pii.plausible(card, "card") and not pii.plausible(card, "phone")
+
+
+def test_made_phones_are_redacted(spark, model):
+    phones = other_phones(400)
+    texts = [f"{prose(2 * k, 30)} {p}, {prose(2 * k + 1, 30)}" for k, p in enumerate(phones)]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(documents(spark, texts), model).collect()}
+    assert sum(p not in clean[k] for k, p in enumerate(phones)) > 0.96 * len(phones)
+
+
+def test_parts_outside_base_spans_are_kept(monkeypatch):
+    def spans(text, *parts):
+        found = [(text.index(p), text.index(p) + len(p), kind) for p, kind in parts]
+        monkeypatch.setattr(pii, "network_spans", lambda model, texts: [found])
+        base, whole = pii.find([text], None)[0]
+        assert set(base) <= set(whole)
+        return pii.masked(text, whole)
+
+    assert spans("x token=Qx-4316522678525456-zzKd9 y", ("token=Qx-4316522678525456-zzKd9", "secret")) == "x <SECRET><CARD><SECRET> y"
+    # not a secret as a whole, one part is
+    assert spans("x jo@x.org token=Qx7zzKd9w y", ("jo@x.org token=Qx7zzKd9w", "secret")) == "x <EMAIL> <SECRET> y"
+    assert spans("x jo@x.org and more y", ("jo@x.org and more", "secret")) == "x <EMAIL> and more y"
+    assert spans("x jo@x.org, y", ("jo@x.org,", "email")) == "x <EMAIL>, y"
+    # a card that the network takes for a phone
+    assert spans("x 4316.522678.52545 y", ("4316.522678.52545", "phone")) in ("x <CARD> y", "x <PHONE> y")
