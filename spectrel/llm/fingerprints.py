@@ -2,9 +2,10 @@
 
 A k-mer (K code points) is a closed syncmer if the smallest of its S-mers, by hash, stands first or last in it. Whether it is one
 depends on its own characters alone, so an edit changes the anchors that it touches and no others. A fingerprint holds the
-`ANCHORS` distinct syncmers of smallest hash with the place of their first occurrence, 16 hex digits each. The likeness of two
-fingerprints is taken over the smallest hashes of their union: the share that both hold and that stand in the same order in both
-(the longest chain that rises in both texts).
+distinct syncmers whose hash is below the fixed fraction `SHARE` of all hashes, and at least the `ANCHORS` of smallest hash, with the
+place of their first occurrence, 16 hex digits each; so it grows with the text. The likeness of two fingerprints is taken over the
+range of hashes that both hold in full: the share of their union there that both have and that stands in the same order in both (the
+longest chain that rises in both texts).
 
 Texts of fewer than K code points have one anchor, the whole text; empty or null texts have none and an empty fingerprint. Two
 empty fingerprints are alike (1), an empty one is like no other (0). Equal texts have equal fingerprints.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from spectrel.llm import common
 
 K, S, ANCHORS = 16, 6, 64
+#: Hashes (of 32 bits) below this are always kept: an eighth of them.
+SHARE = 1 << 29
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -63,12 +66,12 @@ def fingerprint(text: str, anchors: int = ANCHORS) -> str:
     h, at = syncmers(text)
     h = h >> np.uint64(32)
     if len(h) > 4 * anchors:  # only the smallest can stay; repeats may make it fewer than wanted, so look again then
-        limit = np.partition(h, 3 * anchors)[3 * anchors]
-        keep = h <= limit
+        keep = h <= max(np.partition(h, 3 * anchors)[3 * anchors], SHARE - 1)
         if len(np.unique(h[keep])) >= anchors:
             h, at = h[keep], at[keep]
     h, first = np.unique(h, return_index=True)
-    h, at = h[:anchors], at[first[:anchors]]
+    n = max(anchors, int(np.searchsorted(h, np.uint64(SHARE))))
+    h, at = h[:n], at[first[:n]]
     return ((h << np.uint64(32)) | (at.astype(np.uint64) & np.uint64(0xFFFFFFFF))).astype(">u8").tobytes().hex()
 
 
@@ -79,7 +82,9 @@ def likeness(a: str, b: str, anchors: int = ANCHORS) -> float:
     if not a or not b:
         return 0.0
     x, y = ({a[i : i + 8]: a[i + 8 : i + 16] for i in range(0, len(a), 16)} for a in (a, b))
-    union = sorted(x.keys() | y.keys())[:anchors]
+    # fewer than anchors are all of a text; else all up to the largest kept, or below SHARE, are there
+    limit = min(max(max(z), f"{SHARE - 1:08x}") for z in (x, y) if len(z) >= anchors) if max(len(x), len(y)) >= anchors else "ffffffff"
+    union = [h for h in x.keys() | y.keys() if h <= limit]
     both = sorted((x[h], y[h]) for h in union if h in x and h in y)
     chain: list[str] = []
     for _, place in both:

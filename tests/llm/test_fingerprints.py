@@ -45,3 +45,22 @@ def test_syncmers_by_definition_and_likeness():
     assert fingerprints.likeness(f, fingerprints.fingerprint(long + " end")) > 0.9
     assert fingerprints.likeness(f, fingerprints.fingerprint(prose(6, 3000, 2000))) < 0.2
     assert fingerprints.likeness("", "") == 1 and fingerprints.likeness(f, "") == 0
+
+
+def test_anchors_grow_with_the_text():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    text, other, passage = ("".join(map(chr, r.integers(97, 123, n))) for n in (300_000, 300_000, 3000))
+    f = fingerprints.fingerprint(text)
+    h, at = fingerprints.syncmers(text)
+    small = {int(x) >> 32 for x in h if int(x) >> 32 < fingerprints.SHARE}
+    assert {int(f[i : i + 8], 16) for i in range(0, len(f), 16)} == small and len(small) > 5000
+    for a in (0, 90_000, 200_000, 297_000):  # a rewritten passage is seen wherever it stands
+        changed = fingerprints.fingerprint(text[:a] + passage + text[a + 3000 :])
+        assert changed != f and 0.97 < fingerprints.likeness(f, changed) < 1
+    shared = other[:50_000] + text[70_000:73_000] + other[53_000:]
+    assert 0 < fingerprints.likeness(f, fingerprints.fingerprint(shared)) < 0.02
+    # a short text is compared over the range of hashes that both hold in full
+    short = fingerprints.fingerprint(text[:200])
+    assert len(short) < 16 * fingerprints.ANCHORS and 0 <= fingerprints.likeness(short, f) < 0.01
