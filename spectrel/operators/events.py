@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def numbered(events: DataFrame, thread: str, order: list) -> DataFrame:
@@ -68,6 +72,32 @@ def chain_digest(previous: Column, *values: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.coalesce(previous, F.lit("")), *(F.coalesce(v.cast("string"), F.lit("")) for v in values)), 256)
 
 
+def build_chain(events: DataFrame, chain: str, order: list[str], values: list[str], previous: str = "previous_hash", own: str = "event_hash") -> DataFrame:
+    """Adds previous_hash and event_hash: within each chain, rows in order, each digest takes in the one before. A link needs the digest
+    before it, so a chain is read in order by one task, which keeps a digest of it and no rows."""
+    # text forms as verify_chain takes them; every column of the row goes along
+    texts = [f"__v{k}" for k in range(len(values))]
+    rows = events.withColumns({c: F.coalesce(F.col(v).cast("string"), F.lit("")) for c, v in zip(texts, values, strict=True)})
+    rows = rows.repartition(chain).sortWithinPartitions(chain, *order)
+    at, first, columns = rows.columns.index(chain), len(events.columns), events.columns
+
+    def link(batches):
+        key, last = object(), None
+        for batch in batches:
+            before, digests = [], []
+            for k, *text in zip(batch.column(at).to_pylist(), *(batch.column(first + j).to_pylist() for j in range(len(values)))):
+                if k != key:
+                    key, last = k, None
+                before.append(last)
+                last = hashlib.sha256("|".join([last or "", *text]).encode()).hexdigest()
+                digests.append(last)
+            kept = [batch.column(j) for j in range(first)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(before, pa.string()), pa.array(digests, pa.string())], names=[*columns, previous, own])
+
+    schema = StructType([*events.schema.fields, StructField(previous, StringType()), StructField(own, StringType())])
+    return rows.mapInArrow(link, schema)
+
+
 def verify_chain(events: DataFrame, chain: str, order: list, values: list[str], previous: str = "previous_hash", own: str = "event_hash") -> DataFrame:
     """Adds linked (previous_hash is the row before's event_hash) and intact (event_hash is the digest of the row)."""
     before = F.lag(own).over(Window.partitionBy(chain).orderBy(*order))

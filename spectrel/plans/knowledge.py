@@ -153,15 +153,11 @@ def repeated_calls(spark, sf_dir):
 
 @query("hash_chain", "SELECT count(*) AS n, count(*) AS linked, count(*) AS intact FROM events")
 def hash_chain(spark, sf_dir):
-    """The events as a chain of digests per user, verified: every row links and none was changed."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").withColumn("own", F.sha2(F.concat_ws("|", F.lit(""), F.col("event_id").cast("string")), 256))
-    rows = rows.withColumn("previous_hash", F.lag("own").over(w))
-    rows = rows.withColumn("event_hash", F.col("own"))
-    checked = e.verify_chain(rows, "user_id", ["ts", "event_id"], ["event_id"])
-    return checked.agg(F.count(F.lit(1)).alias("n"), F.count_if("linked").alias("linked"), F.count_if(F.col("event_hash") == F.sha2(F.concat_ws("|", F.lit(""), F.col("event_id").cast("string")), 256)).alias("intact"))
+    """The events as a chain of digests per user, built and then verified."""
+    order, values = ["ts", "event_id"], ["event_id", "event_type", "value", "props"]
+    rows = e.build_chain(table(spark, sf_dir, "events").select("user_id", "ts", *values), "user_id", order, values)
+    checked = e.verify_chain(rows, "user_id", order, values)
+    return checked.agg(F.count(F.lit(1)).alias("n"), F.count_if("linked").alias("linked"), F.count_if("intact").alias("intact"))
 
 
 @query("tokens_by_model", "SELECT user_id, event_type AS model, CAST(sum(event_id % 50) AS BIGINT) AS tokens, count(*) AS runs FROM events GROUP BY user_id, event_type")

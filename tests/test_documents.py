@@ -77,3 +77,37 @@ def test_names_and_calls(spark):
     assert t.rewrite_names("SELECT * FROM sales data JOIN sales ON 1", {"sales": "v1", "sales data": "v2"}) == "SELECT * FROM `v2` JOIN `v1` ON 1"
     calls, results = spark.createDataFrame([("a",), ("b",)], "call_id string"), spark.createDataFrame([("a", "done")], "call_id string, status string")
     assert {r["call_id"]: r["status"] for r in e.matched_calls(calls, results).collect()} == {"a": "done", "b": "pending"}
+
+
+def test_built_chain_is_verified(spark):
+    import hashlib
+
+    events = spark.createDataFrame([(c, n, None if n == 4 else f"v{n}") for c in ("a", "b", None) for n in range(9)], "c string, n long, v string").repartition(5)
+    rows = {(r["c"], r["n"]): r for r in e.build_chain(events, "c", ["n"], ["n", "v"]).collect()}
+    for c in ("a", "b", None):
+        before = None
+        for n in range(9):
+            assert rows[c, n]["previous_hash"] == before
+            before = hashlib.sha256(f"{before or ''}|{n}|{'' if n == 4 else f'v{n}'}".encode()).hexdigest()
+            assert rows[c, n]["event_hash"] == before
+
+    def broken(change):
+        kept = [r for k, r in rows.items() if not (k == ("a", 2) and change == "gone")]
+        df = spark.createDataFrame([(r["c"], r["n"], "other" if change == "value" and (r["c"], r["n"]) == ("a", 2) else r["v"], r["previous_hash"], r["event_hash"]) for r in kept], "c string, n long, v string, previous_hash string, event_hash string")
+        got = e.verify_chain(df, "c", ["n"], ["n", "v"]).collect()
+        return [[(r["c"], r["n"]) for r in got if not r[what]] for what in ("linked", "intact")]
+
+    assert broken(None) == [[], []] and broken("value") == [[], [("a", 2)]] and broken("gone") == [[("a", 3)], []]
+
+
+def test_hash_chain_counts_its_own_checks(spark, monkeypatch):
+    from spectrel.plans import knowledge
+
+    build = e.build_chain
+    change = F.when(F.col("event_id") % 10 == 3, "changed").otherwise(F.col("event_type"))
+    monkeypatch.setattr(e, "build_chain", lambda *a: build(*a).withColumn("event_type", change))
+    r = knowledge.hash_chain(spark, "/root/testdata/sf0.001").first()
+    assert (r["n"], r["linked"], r["intact"]) == (1000, 1000, 900)
+    monkeypatch.setattr(e, "build_chain", lambda *a: build(*a).where("event_id % 10 != 3"))
+    r = knowledge.hash_chain(spark, "/root/testdata/sf0.001").first()
+    assert r["n"] == 900 and r["linked"] < 900 and r["intact"] == 900
