@@ -250,6 +250,32 @@ def diversified(candidates: DataFrame, query: str, document: str, score: str, ti
     return capped.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def holders(documents: DataFrame, id_: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int = 10) -> DataFrame:
+    """item, id of the documents that hold `window` consecutive words of an item (all words of a shorter one), whatever the case and what
+    stands between words. Windows meet by the MD5 of their words in an equality join. Items without words have no holders."""
+
+    def cut(df, key, column, lengths):
+        """key and the digests of the runs of words of each of the lengths."""
+        words = df.select(F.col(key), F.regexp_extract_all(F.lower(column), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
+        for_each = lambda m: F.transform(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.unhex(F.md5(F.array_join(F.slice("w", i, m), " "))))
+        runs = [F.when(F.size("w") >= m, for_each(m)).otherwise(F.array().cast("array<binary>")) for m in lengths]
+        return words, runs
+
+    words, _ = cut(items, item_id, item_text, [])
+    size = F.least(F.size("w"), F.lit(window))
+    lengths = sorted(r[0] for r in words.where("size(w) > 0").select(size).distinct().collect())  # at most `window` of them
+    if not lengths:
+        return items.select(F.col(item_id)).limit(0).crossJoin(documents.select(id_).limit(0))
+    _, runs = cut(items, item_id, item_text, lengths)
+    own = F.array().cast("array<binary>")
+    for m, run in zip(lengths, runs, strict=True):
+        own = F.when(size == m, run).otherwise(own)
+    asked = words.where("size(w) > 0").select(item_id, F.explode(own).alias("run")).distinct()
+    words, runs = cut(documents, id_, text, lengths)
+    held = words.select(id_, F.explode(F.concat(*runs)).alias("run"))
+    return held.join(asked, "run").select(item_id, id_).distinct()
+
+
 def retrieval_scores(ranked: DataFrame, relevant: DataFrame, query: str, item: str, k: int = 5) -> DataFrame:
     """Per query with relevant items: recall, reciprocal_rank, ndcg. ranked: query, item, rank."""
     wanted = relevant.select(query, item).distinct()

@@ -111,3 +111,24 @@ def test_hash_chain_counts_its_own_checks(spark, monkeypatch):
     monkeypatch.setattr(e, "build_chain", lambda *a: build(*a).where("event_id % 10 != 3"))
     r = knowledge.hash_chain(spark, "/root/testdata/sf0.001").first()
     assert r["n"] == 900 and r["linked"] < 900 and r["intact"] == 900
+
+
+def test_holders_of_any_part_of_a_passage(spark):
+    words = [f"w{k}" for k in range(30)]
+    items = [(1, " ".join(words)), (2, "Only Three, words"), (3, None), (4, ""), (5, "...")]
+    docs = [(1, " ".join(words)), (2, "x " + ", ".join(words[20:]).upper() + " y"), (3, " ".join(words[21:])), (4, "a only three words b"), (5, "only three"), (6, None), (7, ""), (8, " ".join(words[5:14] + ["x"] + words[14:23]))]
+    got = d.holders(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame(items, "q long, t string"), "q", "t")
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (2, 4)]
+    none = spark.createDataFrame(items[2:], "q long, t string")
+    assert d.holders(spark.createDataFrame(docs, "d long, t string"), "d", "t", none, "q", "t").count() == 0
+
+
+def test_retrieval_report_sees_later_parts(spark, tmp_path):
+    from spectrel.plans import knowledge
+
+    words = [f"w{k}" for k in range(30)]
+    spark.createDataFrame([(1, " ".join(words[15:])), (2, "none of it")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    report = knowledge.retrieval_report(spark, str(tmp_path))
+    assert [tuple(r) for r in report.collect()] == [(1, 1.0, 1.0, 1.0)]
+    assert "NestedLoopJoin" not in d.holders(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") if t in ("documents", "benchmark") else t for t in ("documents", "doc_id", "text", "benchmark", "item_id", "text")))._jdf.queryExecution().toString()
