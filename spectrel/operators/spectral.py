@@ -136,7 +136,11 @@ def state(df: DataFrame, column: str) -> tuple[list[float], list[float]]:
     return [r["mean"] for r in rows], [r["std"] for r in rows]
 
 
-def transposed(df: DataFrame, sample: str, column: str) -> DataFrame:
-    """Samples in columns: row i of the result holds position i of every sample, in order of the sample's name."""
-    cells = df.select(F.col(sample).alias("s"), F.posexplode(column).alias("pos", "v"))
-    return cells.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "v"))), lambda c: c["v"]).alias(column))
+def transposed(df: DataFrame, sample: str, column: str, block: int = 4096) -> DataFrame:
+    """Samples in columns: the rows of position i hold it for every sample, in order of the sample's name, in blocks of at most `block` samples
+    (pos, block from 0, values), so that no row grows with the number of samples."""
+    from spectrel.operators.tabular import ranked
+
+    placed = ranked(df.select(F.col(sample).alias("s"), F.col(column)), ["s"], "__rank")
+    cells = placed.select(F.col("__rank").alias("k"), F.expr(f"__rank div {block}").alias("block"), F.posexplode(column).alias("pos", "v"))
+    return cells.groupBy("pos", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda c: c["v"]).alias(column))

@@ -112,8 +112,11 @@ def column_state(spark, sf_dir):
 
 @query("samples_in_columns", f"WITH {POINTS} SELECT p.pos, count(*) AS n, round(sum(v * k), 4) AS weighted FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY vec_id) AS k FROM p) p GROUP BY pos")
 def samples_in_columns(spark, sf_dir):
-    t = spectral.transposed(spectra(spark, sf_dir), "vec_id", "x")
-    return t.select(F.col("pos").cast("long").alias("pos"), F.size("x").cast("long").alias("n"), F.round(F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 4).alias("weighted"))
+    block = 4096
+    t = spectral.transposed(spectra(spark, sf_dir), "vec_id", "x", block)
+    first = (F.col("block") * block).cast("double")
+    part = F.aggregate(F.transform("x", lambda v, i: v * (first + i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return t.groupBy(F.col("pos").cast("long").alias("pos")).agg(F.sum(F.size("x").cast("long")).alias("n"), F.round(F.sum(part), 4).alias("weighted"))
 
 
 def with_target(spark, sf_dir):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,20 +27,102 @@ def alert_step(state: tuple[int, int, bool], score: float) -> tuple[tuple[int, i
     return (drifting, clean, active), None
 
 
+def _severity(transition: str | None, score: float) -> str | None:
+    return None if not transition else "info" if transition == "alert_recovered" else "critical" if score >= 0.75 else "high"
+
+
 def _alerts(model: str, pdf: pd.DataFrame, state: tuple[int, int, bool]) -> tuple[pd.DataFrame, tuple[int, int, bool]]:
     rows = []
     for seq, score in pdf.sort_values("seq")[["seq", "score"]].itertuples(index=False):
         state, transition = alert_step(state, score)
-        severity = None if not transition else "info" if transition == "alert_recovered" else "critical" if score >= 0.75 else "high"
-        rows.append((model, seq, score, *state, transition, severity))
+        rows.append((model, seq, score, *state, transition, _severity(transition, score)))
     return pd.DataFrame(rows, columns=["model", "seq", "score", "drifting", "clean", "active", "transition", "severity"]), state
 
 
-def drift_alerts(scores: DataFrame) -> DataFrame:
+#: Rows of all models in one range of seq, about.
+RANGE_ROWS = 100_000
+#: States that stand for all: counters beyond what makes a transition act alike, and one of the two is 0.
+STARTS = [(d, c, active) for d, c in ((0, 0), (1, 0), (2, 0), (3, 0), (0, 1), (0, 2)) for active in (False, True)]
+
+
+def _sorted_ranges(rows: DataFrame) -> DataFrame:
+    return rows.repartition("model", "range").sortWithinPartitions("model", "range", F.asc_nulls_last("seq"))
+
+
+def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per model and range: its rows, whether all drift or all are clean, and the state after it from each of STARTS."""
+    key, ends, n, high, low, out = None, [], 0, True, True, []
+
+    def done():
+        if key is not None:
+            out.append((*key, n, high, low, [e[0] for e in ends], [e[1] for e in ends], [e[2] for e in ends]))
+
+    names = ["model", "range", "n", "high", "low", "drifting", "clean", "active"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+
+    def shaped(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    for batch in batches:
+        for model, part, score in zip(*(batch.column(k).to_pylist() for k in ("model", "range", "score")), strict=True):
+            if key != (model, part):
+                done()
+                key, ends, n, high, low = (model, part), list(STARTS), 0, True, True
+            score = math.nan if score is None else score
+            ends = [alert_step(e, score)[0] for e in ends]
+            n, high, low = n + 1, high and score >= ALERT, low and score <= RECOVER
+        yield shaped(out)
+        out.clear()
+    done()
+    yield shaped(out)
+
+
+def _scan(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The state before each range of a model; a row for each range."""
+    state, rows = (0, 0, False), []
+    for r in pdf.sort_values("range").itertuples(index=False):
+        rows.append((key[0], r.range, *state))
+        d, c, active = state
+        k = STARTS.index((min(d, ALERT_BATCHES), min(c, RECOVER_BATCHES), active))
+        state = (int(r.drifting[k]) + (d - min(d, ALERT_BATCHES)) * bool(r.high), int(r.clean[k]) + (c - min(c, RECOVER_BATCHES)) * bool(r.low), bool(r.active[k]))
+    return pd.DataFrame(rows, columns=["model", "range", "d0", "c0", "a0"])
+
+
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, state = None, (0, 0, False)
+    for batch in batches:
+        rows = []
+        for model, part, score, *start in zip(*(batch.column(k).to_pylist() for k in ("model", "range", "score", "d0", "c0", "a0")), strict=True):
+            if key != (model, part):
+                key, state = (model, part), tuple(start)
+            score = math.nan if score is None else score
+            state, transition = alert_step(state, score)
+            rows.append((*state, transition, _severity(transition, score)))
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
+        new = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("model", "seq", "score")), *new], names=["model", "seq", "score", "drifting", "clean", "active", "transition", "severity"])
+
+
+def _ranged_alerts(scores: DataFrame, range_rows: int) -> DataFrame:
+    """Ranges of seq hold about range_rows rows of all models together, so that no task takes a model whole: what a range makes of each
+    state is worked out for each range, these are applied one after the other, and then the rows of each range from its own start."""
+    rows = scores.select(F.col("model").cast("string").alias("model"), F.col("seq").cast("long").alias("seq"), F.col("score").cast("double").alias("score"))
+    parts = max(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // range_rows))
+    bounds = sorted(set(rows.approxQuantile("seq", [k / parts for k in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
+    place = F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: b < F.col("seq"))) if bounds else F.lit(0)
+    rows = rows.withColumn("range", F.when(F.col("seq").isNull(), len(bounds) + 1).otherwise(place).cast("int"))
+    each = _sorted_ranges(rows).mapInArrow(_transitions, "model string, range int, n long, high boolean, low boolean, drifting array<long>, clean array<long>, active array<boolean>")
+    starts = each.groupBy("model").applyInPandas(_scan, "model string, range int, d0 long, c0 long, a0 boolean")
+    starts = starts.withColumnsRenamed({"model": "s_model", "range": "s_range"})
+    joined = rows.join(starts, rows["model"].eqNullSafe(starts["s_model"]) & (rows["range"] == starts["s_range"])).drop("s_model", "s_range")
+    return _sorted_ranges(joined).mapInArrow(_apply, ALERT_SCHEMA)
+
+
+def drift_alerts(scores: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """scores: model, seq, score; batch or stream. Each score with the state after it: an alert starts after three scores of 0.5 or more in a
     row, and ends after two of 0.1 or less; scores between set both counters back."""
     if not scores.isStreaming:
-        return scores.groupBy("model").applyInPandas(lambda key, pdf: _alerts(key[0], pdf, (0, 0, False))[0], ALERT_SCHEMA)
+        return _ranged_alerts(scores, range_rows)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out, new = _alerts(key[0], pd.concat(list(frames)), tuple(state.get) if state.exists else (0, 0, False))

@@ -123,3 +123,9 @@ def test_monitoring(rows):
     assert np.allclose([r["t2"] for r in got], t2) and [r["flagged"] for r in got] == [bool(a or b) for a, b in zip(t2 > np.quantile(t2, 0.99) + 1e-9, q > np.quantile(q, 0.99) + 1e-9)]
     d = [r["distance"] for r in gram.mahalanobis(rows, "x", gram.grams(rows, "x")[0]).orderBy("id").collect()]
     assert np.allclose(d, np.sqrt(np.einsum("ij,jk,ik->i", c, np.linalg.pinv(np.cov(X, rowvar=False)), c)))
+
+
+def test_transposed_in_blocks(spark):
+    rows = spark.createDataFrame([(k, [float(k), float(100 * k)]) for k in range(25)], "s long, x array<double>").repartition(3)
+    got = {(r["pos"], r["block"]): r["x"] for r in spectral.transposed(rows, "s", "x", 10).collect()}
+    assert got == {(p, b): [float(k * (100 if p else 1)) for k in range(10 * b, min(25, 10 * b + 10))] for p in (0, 1) for b in range(3)}

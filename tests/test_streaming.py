@@ -47,3 +47,21 @@ def test_running_usage_and_bursts(spark, tmp_path):
     rows = [("k", t0, "a", False), ("k", t0 + dt.timedelta(seconds=20), "b", True), ("k", t0 + dt.timedelta(seconds=80), "c", False)]
     out = monitors.debounced(spark.createDataFrame(rows, "key string, ts timestamp, payload string, flag boolean"), ["key"], "ts", "payload", "flag").orderBy("start").collect()
     assert [(r["payload"], r["flag"], r["updates"]) for r in out] == [("b", True, 2), ("c", False, 1)]
+
+
+def test_alerts_of_a_long_key_in_ranges(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    runs = [float(x) for x in r.choice([0.0, 0.05, 0.3, 0.6, 0.9], 300) for _ in range(int(r.integers(1, 30)))]
+    rows = [("hot", 3 * k, s) for k, s in enumerate(runs)] + [(m, k, SCORES[k % 11]) for m in ("b", None) for k in range(40)]
+    want = []
+    for m in ("hot", "b", None):
+        state = (0, 0, False)
+        for seq, score in sorted((q, s) for n, q, s in rows if n == m):
+            state, transition = monitors.alert_step(state, score)
+            want.append((m, seq, score, *state, transition))
+    monkeypatch.setattr(monitors, "_alerts", None)  # no frame takes a whole key
+    for size in (7, 100, 10**9):
+        got = monitors.drift_alerts(spark.createDataFrame(rows, "model string, seq long, score double").repartition(3), size).drop("severity").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
