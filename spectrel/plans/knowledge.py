@@ -17,6 +17,12 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", d.estimated_tokens(F.col("text")).alias("tokens"))
 
 
+@query("token_estimate_all")
+def token_estimate_all(spark, sf_dir):
+    """All documents, whatever their language or script; token_estimate is the English part alone, as its SQL has it."""
+    return table(spark, sf_dir, "documents").select("doc_id", d.estimated_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
 @query("character_tokens", "SELECT doc_id, CAST(floor(length(text) / 4.0) AS INTEGER) AS tokens FROM documents")
 def character_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", d.character_tokens(F.col("text")).alias("tokens"))

@@ -132,3 +132,14 @@ def test_retrieval_report_sees_later_parts(spark, tmp_path):
     report = knowledge.retrieval_report(spark, str(tmp_path))
     assert [tuple(r) for r in report.collect()] == [(1, 1.0, 1.0, 1.0)]
     assert "NestedLoopJoin" not in d.holders(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") if t in ("documents", "benchmark") else t for t in ("documents", "doc_id", "text", "benchmark", "item_id", "text")))._jdf.queryExecution().toString()
+
+
+def test_token_estimate_of_every_language(spark, tmp_path):
+    import re
+
+    from spectrel.plans import knowledge
+
+    texts = [("en", "NIR-2 v1.2, ok!"), ("zh", "近红外 spectra 与 PLS。"), ("ja", "近くの スペクトル"), ("ru", "Привет, мир"), ("ar", "مرحبا x"), (None, "no lang é1"), ("fr", "déjà vu 😀"), ("de", None), ("it", "")]
+    spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["tokens"] for r in knowledge.token_estimate_all(spark, str(tmp_path)).collect()}
+    assert got == {k: len(re.findall(r"[\u3400-\u9fff]|[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)*|[^\s]", t or "")) for k, (_, t) in enumerate(texts)}
