@@ -1,8 +1,8 @@
 """Connected components of a graph given by its edges, by large-star and small-star rounds.
 
-Edges are contracted within each task first, twice (a task passes on a forest of what it read). A round then links each node's larger
-neighbours, and after that its smaller ones, to the smallest of them; it stops when nothing changes. A node with very many
-neighbours costs a partial minimum and a join whose large partitions Spark splits.
+Edges are contracted within each task first, where they are made and once dealt by node (a task passes on a forest of what it
+read). A round then links each node's larger neighbours, and after that its smaller ones, to the smallest of them; it stops when
+nothing changes. Hubs, of which there are few, get their minimum from a broadcast of bounded size.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from spectrel.llm import common
 EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 #: Edges that a task contracts at once.
 AT_ONCE = 500_000
+#: Nodes with more than this share of all edge ends are hubs.
+HOT_SHARE = 1 / 400
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,40 +40,62 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    def run(batches):
-        u, v, n = [], [], 0
+class Contraction:
+    """Edges gathered in a task, passed on as a forest of each AT_ONCE of them."""
+
+    def __init__(self):
+        self.u, self.v, self.n = [], [], 0
+
+    def add(self, u: np.ndarray, v: np.ndarray):
+        """Takes edges; yields a batch whenever there are enough."""
+        self.u.append(u)
+        self.v.append(v)
+        self.n += len(u)
+        if self.n > AT_ONCE:
+            yield from self.rest()
+
+    def rest(self):
+        if self.n:
+            a, b = forest(np.concatenate(self.u), np.concatenate(self.v))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=EDGE)
+        self.u, self.v, self.n = [], [], 0
 
-        def out():
-            a, b = forest(np.concatenate(u), np.concatenate(v))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=EDGE)
 
+def contracted(edges: DataFrame) -> DataFrame:
+    def run(batches):
+        held = Contraction()
         for batch in batches:
-            u.append(batch.column(0).to_numpy())
-            v.append(batch.column(1).to_numpy())
-            n += batch.num_rows
-            if n > AT_ONCE:
-                yield out()
-                u, v, n = [], [], 0
-        if n:
-            yield out()
+            yield from held.add(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield from held.rest()
 
     return edges.select("u", "v").mapInArrow(run, "u long, v long")
 
 
+def with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """Adds m, by u. least: u, m, degree, with degrees that sum up to `total` at most. Nodes of a degree above HOT_SHARE of it, which
+    are fewer than 1 / HOT_SHARE, are broadcast, so that no task reads all edges of a hub; the others are joined by u."""
+    most = max(1000, int(total * HOT_SHARE))
+    hubs = F.broadcast(least.where(F.col("degree") > most).select("u", F.col("m").alias("hub_m")))
+    marked = edges.join(hubs, "u", "left")
+    usual = marked.where("hub_m IS NULL").select("u", "v").join(least.where(F.col("degree") <= most).select("u", "m"), "u")
+    return usual.unionByName(marked.where("hub_m IS NOT NULL").select("u", "v", F.col("hub_m").alias("m")))
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """edges: u, v (long). Returns node, root for each node with an edge, root the smallest node of its component."""
-    # once as the edges come, and once with all edges of a node in one task, so that a node keeps one edge from there
-    now, mark = common.cut(contracted(contracted(edges).repartition("u"))), None
+    """edges: u, v (long), contracted in their tasks already. Returns node, root for each node with an edge, root the smallest node of
+    its component."""
+    # with all edges of a node in one task a node keeps one edge from there
+    now, mark = common.cut(contracted(edges.repartition("u"))), None
     while True:
         state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == mark or not state[0]:
             break
         mark = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+        large = with_least(both.where("v > u"), least, 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+        pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = with_least(large, least, 2 * state[0]).select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u > v").distinct()
         now = common.cut(small)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -62,7 +62,7 @@ def rows_of(seed):
 @pytest.mark.parametrize(("n", "percent", "block"), [(3, 85, 512), (5, 80, 7)])
 def test_equals_brute_force(spark, monkeypatch, n, percent, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
-    monkeypatch.setattr(neardup, "SET_BLOCK", block)
+    monkeypatch.setattr(neardup, "SET_BYTES", block * 1000)
     rows = rows_of(n)
     rows += [(rows[0][0], rows[0][1]), (None, prose(3, 90)), (None, prose(4444, 30))]
     docs = spark.createDataFrame([(t, i, "en", "s", 0, "x", 7) for i, t in rows], "text string, doc_id long, lang string, source string, n_chars long, node string, key int").repartition(3)
@@ -74,6 +74,41 @@ def test_equals_brute_force(spark, monkeypatch, n, percent, block):
     assert sorted(ids) == sorted({c for i, _, c in got if c is not None and i == c})
 
 
+def test_one_row_of_each_component_stays(spark):
+    shape = "doc_id long, text string, kept_id long, lang string, node long, rep int"
+    base, near, other, lone = prose(1, 90), prose(1, 90) + " end", prose(2, 90), prose(3, 90)
+
+    def kept(*rows):
+        docs = spark.createDataFrame([(i, t, 1, lang, 2, 3) for i, t, lang in rows], shape)
+        out = neardup.keep_one(docs, 5, 80)
+        assert out.columns == docs.columns
+        return sorted(((r["doc_id"], r["text"], r["lang"]) for r in out.collect()), key=str)
+
+    # rows without an id: of copies of a document with one, none; of those among themselves, one
+    assert kept((1, base, "a"), (None, near, "b"), (None, base, "c"), (None, other, "d"), (None, other, "d"), (None, lone, "e")) == sorted([(1, base, "a"), (None, other, "d"), (None, lone, "e")], key=str)
+    # one id, two texts: each row goes with its text
+    assert kept((5, base, "a"), (7, near, "b"), (7, other, "c")) == [(5, base, "a"), (7, other, "c")]
+    # alike in id and text, different elsewhere: one of them; rows without words all stay
+    got = kept((5, base, "a"), (5, base, "b"), (6, " ", "a"), (6, " ", "b"), (6, None, "c"), (None, "", "d"))
+    assert len(got) == 5 and sum(t == base for _, t, _ in got) == 1
+
+
+def test_a_large_group_costs_no_pairs_of_blocks(spark, monkeypatch):
+    """Near copies beyond one block, a chain of edits, and strangers in the same list."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "SET_BYTES", 16_000)
+    r = random.Random(8)
+    base = prose(5, 120, 400)
+    rows = [edited(base, r, 0.01) for _ in range(90)]
+    for _ in range(40):
+        rows.append(edited(rows[-1], r, 0.015))
+    rows += [base + " " + prose(300 + k, 25, 400) for k in range(40)]
+    rows = list(enumerate(rows))
+    docs = documents(spark, [t for _, t in rows]).repartition(4)
+    got = sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in neardup.components_of(docs, 3, 85).collect()), key=str)
+    assert got == brute(rows, 3, 85)
+
+
 def test_empty_table(spark):
     assert neardup.components_of(documents(spark, []), 3, 85).count() == 0
     assert neardup.keep_one(documents(spark, []), 3, 85).count() == 0
