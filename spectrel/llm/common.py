@@ -84,26 +84,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Kinds of bytes: each of kind SINGLE is a word; between a byte of kind STICKY and another no word ends.
+SINGLE, STICKY = 2, 4
 _POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
-def byte_word_hashes(texts: list[bytes], translation: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts in order, and the number of words of each text.
+def byte_words(texts: list[bytes], translation: bytes, kinds=None) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined translated texts, and of all words in order their starts there, sizes and 64-bit hashes; the number of words of each text.
 
-    A word's hash is mixed from a polynomial over its bytes and its length, taken in one pass over the joined texts.
+    A word's hash is mixed from a polynomial over its bytes and its length, taken in one pass over the joined texts. kinds(bytes)
+    gives each byte a kind: words also end where the kind changes between bytes of kinds below STICKY, and between two of kind SINGLE.
     """
     joined = (b" ".join(texts) + b" ").translate(translation)
     b = np.frombuffer(joined, dtype=np.uint8)
     inside = b != 32
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    starts, ends = edge[::2], edge[1::2]
+    edge = inside[1:] != inside[:-1]
+    if kinds is not None:
+        kind = kinds(b)
+        edge |= ((kind[1:] != kind[:-1]) | (kind[1:] == SINGLE)) & (np.maximum(kind[1:], kind[:-1]) < STICKY)
+    starts = np.flatnonzero(inside & np.concatenate([[True], edge]))
+    ends = np.flatnonzero(inside & np.concatenate([edge, [True]])) + 1
     lengths = np.array([len(t) for t in texts], dtype=np.int64) + 1
     bounds = np.cumsum(lengths)
     counts = np.diff(np.searchsorted(starts, bounds, side="left"), prepend=0)
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64), counts
-    # position within the word, from the end of the word: equal words give equal sums
     size = ends - starts
+    if not len(starts):
+        return joined, starts, size, np.zeros(0, dtype=np.uint64), counts
+    # position within the word, from its start: equal words give equal sums
     at = np.arange(len(b), dtype=np.int64)[inside] - np.repeat(starts, size)
     value = (b[inside].astype(np.uint64) + np.uint64(1)) * _POWERS[at & 0xFFFF]
     if size.max() > 0xFFFF:  # beyond the table, a block's number enters too
@@ -111,4 +118,9 @@ def byte_word_hashes(texts: list[bytes], translation: bytes) -> tuple[np.ndarray
         value[far] = mix(value[far] + (at[far] >> 16).astype(np.uint64))
     first = np.cumsum(size) - size
     sums = np.add.reduceat(value, first)
-    return mix(mix(sums) + size.astype(np.uint64)), counts
+    return joined, starts, size, mix(mix(sums) + size.astype(np.uint64)), counts
+
+
+def byte_word_hashes(texts: list[bytes], translation: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts in order, and the number of words of each text."""
+    return byte_words(texts, translation)[3:]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 from collections import OrderedDict
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,56 +27,126 @@ from spectrel.llm import common
 
 #: Rows that one (length, salt) group holds on average, at most.
 GROUP_ROWS = 50_000
-#: Words whose ids a worker keeps, twice: those met lately, and those met before them.
-CACHE_WORDS = 200_000
-
-
+#: Words whose ids a worker keeps between runs: those met last.
+CACHE_WORDS = 400_000
 #: A character of its own ids; words are encoded in groups with it between them.
 MARK = "\ue000"
+#: Words end at blanks and line ends. Case does not count, but in the names of special tokens, which stand in these marks.
+ENDS, SPECIAL = bytes(32 if c in b" \n" else c for c in range(256)), b"<|"
+LOWER = ENDS.lower()
+#: Letters, single digits and other signs of ASCII are tokens apart; not so next to a sign that a contraction or special token has.
+LETTER = 1
+_KINDS = np.array([0 if c == 32 else common.STICKY if c > 126 or c < 32 or chr(c) in "'<|>" else LETTER if chr(c).isalpha() else common.SINGLE if chr(c).isdigit() else 3 for c in range(256)], dtype=np.uint8)
+
+
+def kinds(b: np.ndarray) -> np.ndarray:
+    """Kinds of the bytes of texts. The two bytes of U+00C0 to U+023F are letters too, but for the two signs there and U+0130, whose
+    lower case is a letter and a mark; what no such rule covers is sticky."""
+    kind = _KINDS[b]
+    lead = np.flatnonzero((b >= 0xC3) & (b <= 0xC8))
+    two = b[lead].astype(np.uint16) << 8 | b[lead + 1]
+    lead = lead[(two & 0xC0 == 0x80) & (two != 0xC397) & (two != 0xC3B7) & (two != 0xC4B0)]
+    kind[lead] = kind[lead + 1] = LETTER
+    return kind
 
 
 class Encoder:
-    """Token ids of texts. Tokens never cross blanks, so a text's ids are those of its blank-separated words, each encoded once."""
+    """Token ids of texts. Tokens cross neither blanks nor, in ASCII, from letters to digits or signs, so a text's ids are those of the
+    words between these. Each word is encoded once and then known by 64 bits; a run of texts is put together from known words by their places in one array of ids."""
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        letters = Tokenizer.from_file(path)  # for words of letters alone, which need no rules but lower case
+        letters.normalizer = normalizers.Lowercase()
+        letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters, suffix = letters, self.tokenizer.model.end_of_word_suffix
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # ids that end a word
+        self.closes[[i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w.endswith(suffix)]] = True
         self.mark = np.array(self.tokenizer.encode(MARK, add_special_tokens=False).ids, dtype="<u4")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def split(self, ids: np.ndarray, n: int) -> list[bytes]:
-        """The ids of n words that MARK stands between. Its ids in a row are nothing else's: no other character has its bytes."""
+        self.hashes = np.zeros(0, dtype=np.uint64)  # ascending; with each the place and number of its ids, and the run that met it last
+        self.start = self.size = self.met = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<u4")
+        self.run = 0
+
+    def split(self, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of n words without the MARKs between them, and how many each word has. MARK's ids in a row are nothing else's: no other
+        character has its bytes."""
         if n == 1:
-            return [ids.tobytes()]
+            return ids, np.array([len(ids)])
         m = len(self.mark)
-        at = np.flatnonzero(np.logical_and.reduce([ids[k : len(ids) - m + 1 + k] == self.mark[k] for k in range(m)]))
-        edges = zip([0, *(at + m).tolist()], [*at.tolist(), len(ids)], strict=True)
-        return [ids[a:b].tobytes() for a, b in edges]
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text and the end id."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        found = [list(map(known.get, ws)) for ws in words]
-        lacking = [k for k, f in enumerate(found) if None in f]
-        missing = {w for k in lacking for w, f in zip(words[k], found[k], strict=True) if f is None}
-        known.update((w, older[w]) for w in missing if w in older)
-        new = [w for w in missing if w not in known]
-        plain = [w for w in new if MARK not in w]
-        groups = [plain[at : at + 256] for at in range(0, len(plain), 256)] + [[w] for w in new if MARK in w]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            known.update(zip(group, self.split(np.array(e.ids, dtype="<u4"), len(group)), strict=True))
-        for k in lacking:
-            found[k] = [known[w] if f is None else f for w, f in zip(words[k], found[k], strict=True)]
-        end = np.array([end_id], dtype="<u4").tobytes()
-        return [b"".join(f) + end for f in found]
+        marks = np.flatnonzero(np.logical_and.reduce([ids[k : len(ids) - m + 1 + k] == self.mark[k] for k in range(m)]))
+        keep = np.ones(len(ids), dtype=bool)
+        keep[(marks[:, None] + np.arange(m)).ravel()] = False
+        return ids[keep], np.append(marks, len(ids)) - np.concatenate([[0], marks + m])
+
+    def new(self, words: list[bytes], lettered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after another, and how many each has. lettered: which words are letters alone."""
+        order, ids, sizes = [], [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
+        simple = np.flatnonzero(lettered).tolist()
+        for e in self.letters.encode_batch_fast([b" ".join([words[k] for k in simple[at : at + 256]]).decode() for at in range(0, len(simple), 256)], add_special_tokens=False):
+            ids.append(np.array(e.ids, dtype="<u4"))
+            sizes.append(np.diff(np.flatnonzero(self.closes[ids[-1]]), prepend=-1))
+        order += simple
+        rest = np.flatnonzero(~lettered).tolist()
+        texts = {k: words[k].decode("utf-8", "replace") for k in rest}
+        groups, plain = [[k] for k in rest if MARK in texts[k]], [k for k in rest if MARK not in texts[k]]
+        groups += [plain[at : at + 256] for at in range(0, len(plain), 256)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join([texts[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+            part, n = self.split(np.array(e.ids, dtype="<u4"), len(group))
+            ids.append(part)
+            sizes.append(n)
+            order += group
+        size, start = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        found = np.concatenate(sizes)
+        size[order], start[order] = found, np.cumsum(found) - found
+        return taken(np.concatenate(ids), start, size), size
+
+    def learn(self, hashes: np.ndarray, words: list[bytes], lettered: np.ndarray) -> None:
+        """Encodes words whose hashes ascend, none of them known; forgets those met longest ago if there are too many."""
+        ids, sizes = self.new(words, lettered)
+        if len(self.hashes) > CACHE_WORDS:
+            keep = self.met >= np.partition(self.met, len(self.met) - CACHE_WORDS // 2)[len(self.met) - CACHE_WORDS // 2]
+            self.ids = taken(self.ids, self.start[keep], self.size[keep])
+            self.hashes, self.size, self.met = self.hashes[keep], self.size[keep], self.met[keep]
+            self.start = np.cumsum(self.size) - self.size
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.start = np.insert(self.start, at, np.cumsum(sizes) - sizes + len(self.ids))
+        self.size, self.met = np.insert(self.size, at, sizes), np.insert(self.met, at, self.run)
+        self.ids = np.concatenate([self.ids, ids])
+
+    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, end_id after each, and how many each text has, that one included."""
+        self.run += 1
+        joined, starts, sizes, hashes, counts = common.byte_words(texts, ENDS if any(SPECIAL in t for t in texts) else LOWER, kinds)
+        words, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, words)
+        known = np.zeros(len(words), dtype=bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == words[inside]
+        self.met[at[known]] = self.run
+        if not known.all():
+            lacking = first[~known]
+            begin, n = starts[lacking], sizes[lacking]
+            inner = kinds(np.frombuffer(joined, dtype=np.uint8)) != LETTER
+            others = np.concatenate([[0], np.cumsum(inner)])
+            self.learn(words[~known], [joined[a : a + k] for a, k in zip(begin.tolist(), n.tolist(), strict=True)], others[begin + n] == others[begin])
+            at = np.searchsorted(self.hashes, words)
+        ends = np.cumsum(counts)
+        start = np.insert(self.start[at][inverse], ends, len(self.ids))
+        size = np.insert(self.size[at][inverse], ends, 1)
+        first = np.cumsum(counts + 1) - counts - 1
+        return taken(np.append(self.ids, np.uint32(end_id)), start, size), np.add.reduceat(size, first) if len(texts) else counts
+
+
+def taken(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + size], one after another."""
+    return values[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
 
 
 _ENCODERS: OrderedDict[str, Encoder] = OrderedDict()
@@ -93,16 +164,20 @@ def pieces(documents: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
     shape = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                ids_of = batch.column(0)[at : at + 500].to_pylist()
-                rows: list[tuple] = []
-                for doc, ids in zip(ids_of, encoder(tokenizer_path).encode([t or "" for t in batch.column(1)[at : at + 500].to_pylist()], end_id), strict=True):
-                    n = len(ids) // 4
-                    rows += [(doc, k, min(size, n - k), n, ids[4 * k : 4 * (k + size)]) for k in range(0, n, size)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), shape, strict=True)], schema=shape)
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+        for part in common.parts(batches, 1, 2_000_000):
+            ids, n = encoder(tokenizer_path).encode(part.column(1).to_pylist(), end_id)
+            count = -(-n // size)  # pieces of each text
+            row = np.repeat(np.arange(len(n)), count)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * size
+            length = np.minimum(size, n[row] - start)
+            offsets = np.concatenate([[0], np.cumsum(length)])
+            for a in range(0, len(row), 1000):  # short batches: a binary column's offsets have 32 bits
+                b = min(len(row), a + 1000)
+                held = pa.py_buffer(np.ascontiguousarray(ids[offsets[a] : offsets[b]]))
+                binary = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((4 * (offsets[a : b + 1] - offsets[a])).astype(np.int32)), held])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[a:b])), pa.array(start[a:b]), pa.array(length[a:b]), pa.array(n[row[a:b]]), binary], schema=shape)
+
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.octets("text")).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -161,7 +236,7 @@ def slots(found: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 
 def ranked(rows: DataFrame, largest: int) -> DataFrame:
     """Adds rank, from 0 within each length. largest: rows of the most frequent length, which sets how many salts there are."""
-    salts = 1 + largest // GROUP_ROWS
+    salts = max(1 + largest // GROUP_ROWS, isqrt(largest))  # as many groups of a length as rows in a group, or more
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_key"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -3,12 +3,16 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tests.llm.fixtures import EDGE_TEXTS, documents, prose
 from tokenizers import Tokenizer
 
 from spectrel.llm import packing
 from spectrel.llm.queries_packing import tokenizer_path
 
+ENCODER = packing.Encoder(tokenizer_path())
+
 
 def test_pieces_and_places(spark):
     texts = EDGE_TEXTS + [prose(i, 5 * i) for i in range(60)] + ["<|endoftext|> it's a\u00a0b\u2003c\u0301 ΣΑΣ Σ\r\nx", "a \ue000 b\ue000 \ue001 \uf8ff \u3000 c", " \ue000", "  "]
@@ -63,3 +67,22 @@ def test_ranks_of_salted_groups(spark, monkeypatch):
     for r in packing.ranked(rows, 100).collect():
         got[r["length"]].append(r["rank"])
     assert all(sorted(v) == list(range(100)) for v in got.values()) and len(got) == 3
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("aAbS's'tT12 $%éÉ\u00d7\u0130\u0131\u023f\u0250<|>.\n\té\u0301\u0338=\u212bΣς\u00a0\ue000"), st.characters(codec="utf-8")), max_size=30), max_size=4), st.sampled_from(["", "<|endoftext|>", "<|ENDOFTEXT|>", "x<|startoftext|>'s1"]))
+def test_ids_equal_the_tokenizers(texts, special):
+    texts = [t + special + t[::-1] for t in texts]
+    ids, n = ENCODER.encode([t.encode() for t in texts], 2)
+    want = [[*ENCODER.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_words_met_long_ago_are_forgotten(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    encoder = packing.Encoder(tokenizer_path())
+    for k in range(30):
+        text = prose(k, 60, 400) + " always"
+        ids, _ = encoder.encode([text.encode()], 2)
+        assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert len(encoder.hashes) < 150

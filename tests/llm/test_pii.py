@@ -59,7 +59,10 @@ def test_bound_best_and_windows(model):
         return sum(e[s, path[s], rows] + trans[before[s], path[s]] for s in range(60))
 
     top, none = score(tags), score(np.zeros_like(tags))
-    assert np.allclose(top, pii.best(e, trans), atol=1e-2)
+    best = np.where(np.arange(pii.TAGS) == 0, 0.0, -1e4)[None].repeat(200, axis=0)  # by all transitions
+    for s in range(60):
+        best = (best[:, :, None] + trans[None]).max(axis=1) + e[s].T
+    assert np.allclose(top, best.max(axis=1), atol=1e-2)
     assert (top - none <= np.maximum(pii.bound(e, trans), 0) + 1e-2).all()
     # a long text gives the spans of its parts, wherever the windows meet
     for shift in (0, 40, 150, 250, 290):
@@ -68,6 +71,48 @@ def test_bound_best_and_windows(model):
         assert spans == ['token = "0641917ea4e9feb9cda83477b57ac2654884f485"'], shift
 
 
+def test_decoding_of_a_text_is_that_of_the_whole(model, monkeypatch):
+    """Spans of stitched windows, with the bounds, are those of one Viterbi over all emissions of the text; batches change nothing."""
+    r = np.random.default_rng(9)
+    texts = [" ".join(prose(int(r.integers(99)), int(r.integers(1, 40))) + " " + (pii.made(r, pii.KINDS[r.integers(5)]) if r.random() < 0.4 else pii.look_alike(r)) for _ in range(int(r.integers(1, 30)))) for _ in range(40)]
+    texts += ["token=" + "a1b2c3d4e5" * 120 + " end", "", "x"]
+    for scale in (1.0, 0.3):  # the weaker, the more is open
+        weak = pii.Model(model.inputs, model.recur, model.emit * scale, model.emit_bias * scale, model.trans, model.allowed, np.zeros(5))
+        trans = pii.transitions(weak)
+        got = pii.network_spans(weak, texts)
+        for k, text in enumerate(texts):
+            codes, whole = pii.classes(text), []
+            for start, end, low, high in pii.windows_of(len(codes)) if text else []:
+                whole.append(pii.emissions(weak, codes[start:end, None].astype(np.intp))[low - start : high - start])
+            e = np.concatenate(whole) if whole else np.zeros((0, pii.TAGS, 1), dtype=np.float32)
+            e = np.concatenate([e, np.where(np.arange(pii.TAGS) == 0, 0, -1e4).astype(np.float32)[None, :, None]])  # an O behind the text
+            best = weighed(e, trans, pii.spans_of(pii.viterbi(e - e[:, :1], trans - trans[0, 0])[:, 0]))
+            for found in (got[k], pii.network_spans(weak, [text])[0]):
+                assert abs(weighed(e, trans, found) - best) < 1e-2  # of paths that score alike, any
+
+
+def weighed(e, trans, spans):
+    """The score of the tag sequence of these spans."""
+    path = np.zeros(len(e) + 1, dtype=int)
+    for a, b, kind in spans:
+        path[a + 1 : b + 1] = 2 + 2 * pii.KINDS.index(kind)
+        path[a + 1] -= 1
+    return float(e[np.arange(len(e)), path[1:], 0].astype(np.float64).sum() + trans[path[:-1], path[1:]].astype(np.float64).sum())
+
+
+def test_bounds_hold_for_every_kind_of_span():
+    r = np.random.default_rng(4)
+    b, i = r.normal(-1, 1, (12, 50)), r.normal(-0.3, 1, (12, 50))
+    low, high = r.integers(0, 4, 50), r.integers(6, 13, 50)
+    inner, tail, head, through = pii.bounds(b, i, low, high)
+    for k in range(50):
+        lo, hi = low[k], high[k]
+        assert np.isclose(inner[k], max(b[s, k] + i[s + 1 : e, k].sum() for s in range(lo, hi) for e in range(s + 1, hi + 1)))
+        assert np.isclose(tail[k], max(b[s, k] + i[s + 1 : hi, k].sum() for s in range(lo, hi)))
+        assert np.isclose(head[k], max(i[lo:e, k].sum() for e in range(lo + 1, hi + 1)))
+        assert np.isclose(through[k], i[lo:hi, k].sum())
+
+
 def test_scan_and_redact(spark, model):
     secret = "password=f48865c76c86ee5394"
     texts = EDGE_TEXTS + [prose(7, 60) + " jo.do@mail.example.com, " + prose(8, 60) + " 10.0.0.1 " + secret + " +1 (663) 555-6869 4316522678525456", "é😀 jo@x.org"]
