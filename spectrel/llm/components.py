@@ -2,7 +2,7 @@
 
 Edges are contracted within each task first, where they are made and once dealt by node (a task passes on a forest of what it
 read). A round then links each node's larger neighbours, and after that its smaller ones, to the smallest of them; it stops when
-nothing changes. Hubs, of which there are few, get their minimum from a broadcast of bounded size.
+each node has one edge, to its root. Hubs, of which there are few, get their minimum from a broadcast of bounded size.
 """
 
 from __future__ import annotations
@@ -81,21 +81,25 @@ def with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
     return usual.unionByName(marked.where("hub_m IS NOT NULL").select("u", "v", F.col("hub_m").alias("m")))
 
 
+def is_star(edges: DataFrame) -> bool:
+    """Whether each node has one edge to its root, or is a root."""
+    child = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root"))
+    ends = child.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 OR (up > 0 AND root > 0)").isEmpty()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """edges: u, v (long), contracted in their tasks already. Returns node, root for each node with an edge, root the smallest node of
     its component."""
     # with all edges of a node in one task a node keeps one edge from there
-    now, mark = common.cut(contracted(edges.repartition("u"))), None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == mark or not state[0]:
-            break
-        mark = state
+    now = common.cut(contracted(edges.repartition("u")))
+    while not is_star(now):
+        total = 2 * now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
-        large = with_least(both.where("v > u"), least, 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = with_least(both.where("v > u"), least, total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
         pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = with_least(large, least, 2 * state[0]).select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u > v").distinct()
+        small = with_least(large, least, total).select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u > v").distinct()
         now = common.cut(small)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
