@@ -42,6 +42,17 @@ def robust_snv(x: Column, consistency: float = 1.4826) -> Column:
     return with_value(parts, lambda p: F.transform(x, lambda v: F.when(p["s"] == 0, F.lit(0.0)).otherwise((v - p["m"]) / p["s"])))
 
 
+def rnv(x: Column, percentile: float = 25.0, epsilon: float = 1e-10) -> Column:
+    """Robust normal variate: less the percentile (linear between neighbours), over the deviation of the values up to it."""
+
+    def scaled(ordered: Column) -> Column:
+        place = (F.size(ordered) - 1) * (percentile / 100)
+        low, high = F.get(ordered, F.floor(place).cast("int")), F.get(ordered, F.ceil(place).cast("int"))
+        return with_value(low + (high - low) * (place - F.floor(place)), lambda p: with_value(std(F.filter(x, lambda v: v <= p)) + epsilon, lambda d: F.transform(x, lambda v: (v - p) / d)))
+
+    return with_value(F.array_sort(x), scaled)
+
+
 def norm(x: Column, kind: str = "l2") -> Column:
     if kind == "l1":
         return F.aggregate(x, F.lit(0.0), lambda a, v: a + F.abs(v))

@@ -93,13 +93,28 @@ def has_more(df: DataFrame, order: list, limit: int) -> DataFrame:
     return page.withColumns({"position": position, "has_more": total > limit}).where(F.col("position") <= limit)
 
 
+def range_bounds(df: DataFrame, order: list[str], parts: int) -> list:
+    """Lower bounds of at most `parts` ranges of the order columns, as rows; they reach the driver once and then stay as they are."""
+    dealt = df.select(F.struct(*order).alias("__key")).repartitionByRange(parts, "__key")
+    found = dealt.groupBy(F.spark_partition_id().alias("__part")).agg(F.min("__key").alias("__key")).collect()  # a row for each part
+    return [r["__key"] for r in sorted(found, key=lambda r: r["__part"])][1:]
+
+
 def ranked(df: DataFrame, order: list[str], name: str = "rank", parts: int = 32) -> DataFrame:
-    """Adds each row's place from 0 in the whole order without one task for all: ranges are ranked apart and joined to their offsets."""
-    dealt = df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id())
-    dealt = dealt.withColumn("__within", F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1)
+    """Adds each row's place from 0 in the whole order without one task for all: ranges are ranked apart and joined to their offsets.
+
+    The ranges are told by fixed bounds, so that rows and counts are dealt alike however often they are computed. Rows that tie in
+    all order columns stand in any order among themselves.
+    """
+    types = [df.schema[c].dataType for c in order]
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(row, types, order, strict=True)]) for row in range_bounds(df, order, parts)]
+    key = F.struct(*order)
+    part = F.size(F.filter(F.array(*bounds), lambda low: low <= key)) if bounds else F.lit(0)
+    dealt = df.withColumn("__range", part)
     offsets = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     offsets = offsets.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return dealt.join(F.broadcast(offsets), "__range").withColumn(name, F.col("__before") + F.col("__within")).drop("__range", "__within", "__before")
+    placed = dealt.withColumn("__within", F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1)
+    return placed.join(F.broadcast(offsets), "__range").withColumn(name, F.col("__before") + F.col("__within")).drop("__range", "__within", "__before")
 
 
 def evenly_spaced(df: DataFrame, order: list[str], k: int) -> DataFrame:

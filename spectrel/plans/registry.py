@@ -11,7 +11,7 @@ from spectrel.functions import kernels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("tabular", "spectral", "knowledge", "rules", "sources")
+MODULES = ("tabular", "spectral", "knowledge", "rules", "sources", "records")
 
 
 def query(name: str, oracle: str | None = None):
