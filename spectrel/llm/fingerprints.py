@@ -106,7 +106,7 @@ def ordered(documents: DataFrame, parts: int) -> DataFrame:
     after = docs.sparkSession.createDataFrame(follow, "head long, before int")
     joined = docs.join(F.broadcast(after), docs["doc_id"].eqNullSafe(after["head"]), "left")
     places = F.array_compact(F.array(F.struct(F.col("part"), F.lit(False).alias("halo")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("part"), F.lit(True).alias("halo")))))
-    return joined.select("doc_id", "text", F.explode(places).alias("place")).select("place.part", "place.halo", "doc_id", "text").repartition("part").sortWithinPartitions("part", "halo", F.desc_nulls_last("doc_id"), "text")
+    return joined.select("doc_id", "text", F.explode(places).alias("place")).select("place.part", "place.halo", "doc_id", "text").repartitionByRange(2 * len(heads) + 2, "part").sortWithinPartitions("part", "halo", F.desc_nulls_last("doc_id"), "text")
 
 
 def with_next(documents: DataFrame, parts: int | None = None) -> DataFrame:

@@ -1,11 +1,12 @@
 """License scan by a positional index of rare tokens.
 
-The templates below are indexed by word: each word's (template, position) postings. Words weigh log((documents + 1) / (df + 1)),
-df counted over all documents. A scanned text's licence words are found, and those of highest weight (rare tokens) are looked
-up first: a posting at template position q for a word at text position p votes for the alignment p - q. Alignments of rare
-tokens are then intersected with the postings of the template's other words, and the weight of the matching ones over the
-template's whole weight is the score. A label stands only if the score reaches `least` and the template's mandatory key phrase
-stands at its place, word by word, in the text.
+The templates below are indexed by word: each word's (template, position) postings. Words weigh log((documents + 2) / (df + 1)),
+df counted over all documents. Of a scanned text, the licence words of highest weight (rare tokens) are looked up first: a posting
+at template position q for a word at text position p votes for the alignment p - q. Which words are rare is not a fixed number: of
+each template they hold more weight than a score of `least` may lack, so no alignment that reaches `least` is without one of them.
+Alignments are then intersected with the template's other words, in order, with up to GAP words more or less between two of them;
+the weight of the matching ones over the template's whole weight is the score. A label stands only if the score reaches `least` and
+the template's mandatory key phrase stands within the aligned words, word by word.
 
 The base phrases are looked for by a plain comparison at each occurrence of their first word. Null text is empty: no words, no
 labels, score 0. Repeated rows each give a row.
@@ -40,18 +41,27 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("isc", "permission to use copy modify and or distribute this software", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("bsd", "bsd license", "released under the bsd license"),
+    ("cc-by-4.0", "creative commons attribution 4 0 international", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-4.0", "creative commons attribution 4 0 international", "creative commons attribution 4 0 international public license"),
+    ("apache-2.0", "apache license version 2 0", "apache license version 2 0 january 2004"),
+    ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl-3.0", "either version 3 of the license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2.0", "either version 2 of the license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
 )
 #: Share of a template's weight that must stand in the text.
 LEAST = 0.6
-#: Rare tokens that are looked up first, for each template.
-RARE = 3
+#: Words that may stand, or lack, between two aligned ones.
+GAP = 3
 
 
 class Index:
     """Postings and weights of the templates' words."""
 
-    def __init__(self, templates=TEMPLATES, phrases=PHRASES, df: dict[str, int] | None = None, documents: int = 0, rare: int = RARE):
+    def __init__(self, templates=TEMPLATES, phrases=PHRASES, df: dict[str, int] | None = None, documents: int = 0, least: float = LEAST):
         self.templates = [(label, key.encode().split(), text.encode().split()) for label, key, text in templates]
         self.phrases = [(p.encode().split(), label) for p, label in phrases]
         vocabulary = {w for _, _, text in self.templates for w in text}
@@ -63,13 +73,31 @@ class Index:
         for t, (_, _, text) in enumerate(self.templates):
             for q, w in enumerate(text):
                 self.postings[w].append((t, q))
-            self.rare |= {(t, q) for q in sorted(range(len(text)), key=lambda q: (-self.weight[text[q]], q))[:rare]}
+            held = 0.0
+            for q in sorted(range(len(text)), key=lambda q: (-self.weight[text[q]], q)):
+                self.rare.add((t, q))
+                held += self.weight[text[q]]
+                if held > (1 - least) * self.total[t] * (1 + 1e-9):
+                    break
         self.first = defaultdict(list)
         for p, label in self.phrases:
             self.first[p[0]].append((p, label))
         #: Words that can begin a match: the rare tokens and the first words of the phrases.
         self.keys = {self.templates[t][2][q] for t, q in self.rare} | set(self.first)
 
+    def align(self, words: list[bytes], at: int, t: int) -> tuple[float, int, int]:
+        """(share of the template's weight, first and behind the last text position) of the words that match in order from about `at`."""
+        place, spare, matched, low, high = max(0, at - GAP), 2 * GAP, 0.0, None, 0
+        for w in self.templates[t][2]:
+            try:
+                place = words.index(w, place, place + 1 + spare) + 1
+            except ValueError:
+                spare = min(spare + 1, 2 * GAP)  # the text may have another word here, or none
+                continue
+            matched, spare, high = matched + self.weight[w], GAP, place
+            low = place - 1 if low is None else low
+        return (matched / self.total[t] if self.total[t] > 0 else 0.0), low or 0, high
+
     def scan(self, words: list[bytes], least: float = LEAST) -> tuple[int, list[int], set[str], set[str], float]:
         """(number of words, starts of base phrases, base labels, labels of templates, best score)."""
         found = [i for i, w in enumerate(words) if w in self.keys] if not self.keys.isdisjoint(words) else []
@@ -84,10 +112,8 @@ class Index:
             aligned |= {(t, i - q) for t, q in self.postings.get(w, ()) if (t, q) in self.rare}
         for t, at in sorted(aligned):
             label, key, text = self.templates[t]
-            here = [(q, w) for q, w in enumerate(text) if 0 <= at + q < len(words) and words[at + q] == w]
-            score = sum(self.weight[w] for _, w in here) / self.total[t] if self.total[t] > 0 else 0.0
-            q = next(k for k in range(len(text)) if text[k : k + len(key)] == key)
-            if score >= least and at + q >= 0 and words[at + q : at + q + len(key)] == key:
+            score, low, high = self.align(words, at, t)
+            if score >= least and any(words[k : k + len(key)] == key for k in range(low, high - len(key) + 1)):
                 labels.add(label)
                 best = max(best, score)
         return len(words), starts, base, labels, 1.0 if best > 0.999999 else best
@@ -119,7 +145,7 @@ def scan(documents: DataFrame, templates=TEMPLATES, phrases=PHRASES, least: floa
     shape = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("base_labels", pa.list_(pa.string())), ("labels", pa.list_(pa.string())), ("score", pa.float64())])
 
     def run(batches):
-        index = Index(templates, phrases, df, n)
+        index = Index(templates, phrases, df, n, least)
         for batch in batches:
             rows = []
             for t in batch.column(1):

@@ -1,3 +1,4 @@
+import random
 import re
 
 from tests.llm.fixtures import EDGE_TEXTS, documents, prose
@@ -31,3 +32,36 @@ def test_base_equals_brute_force_and_labels_add(spark):
 def test_key_phrases_are_runs_of_their_notices():
     for _, key, text in licenses.TEMPLATES:
         assert re.search(rf"(^| ){key}( |$)", text)
+
+
+NOTICES = {
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl-3.0",
+    "Apache License\nVersion 2.0, January 2004": "apache-2.0",
+    "Creative Commons Attribution 4.0 International Public License": "cc-by-4.0",
+    "Released under the two-clause BSD license.": "bsd",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+    "This work is licensed, as a whole, under a Creative Commons Attribution 4.0 International licence": "cc-by-4.0",
+}
+
+
+def test_notices_with_gaps_and_changes(spark):
+    texts = [prose(2 * k, 80) + " " + notice + " " + prose(2 * k + 1, 80) for k, notice in enumerate(NOTICES)]
+    got = {r["doc_id"]: r for r in licenses.scan(documents(spark, texts)).collect()}
+    for k, label in enumerate(NOTICES.values()):
+        assert label in got[k]["labels"] and got[k]["score"] >= licenses.LEAST, texts[k]
+
+
+def test_rare_tokens_miss_no_alignment():
+    """Every template with words replaced at random: what all words as starting points find, the rare ones find."""
+    r = random.Random(5)
+    df = {w: r.choice([0, 3, 50, 900]) for _, _, text in licenses.TEMPLATES for w in text.split()}
+    index, whole = (licenses.Index(df=df, documents=1000, least=least) for least in (licenses.LEAST, -1.0))
+    assert all((t, q) in whole.rare for t, (_, _, text) in enumerate(whole.templates) for q in range(len(text)))
+    found = 0
+    for n in range(300):
+        _, _, text = index.templates[n % len(index.templates)]
+        words = [b"before"] * 9 + [w if r.random() > 0.25 else b"other" for w in text] + [b"after"] * 9
+        a, b = index.scan(words), whole.scan(words)
+        assert a[3] == b[3] and a[4] == b[4]
+        found += bool(a[3])
+    assert found > 50
