@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectrel.operators.tabular import running
+
 #: Minimum R2 and RPD by domain.
 DOMAINS = {
     "food_protein": (0.85, 3.5),
@@ -76,8 +78,8 @@ def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the curve of a 0/1 truth, from rank sums; equal scores share their mean rank. Scores are counted first, so that the
     ordered pass is over distinct values."""
     counts = df.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(truth).cast("long")).alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = counts.select("n", "pos", (before + (F.col("n") + 1) / 2).alias("rank")).agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
+    placed = running(counts, ["s"], F.col("n"), "before")
+    sums = placed.select("n", "pos", (F.col("before") + (F.col("n") + 1) / 2).alias("rank")).agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     p, q = F.col("p"), F.col("n") - F.col("p")
     return sums.select(F.try_divide(F.col("ranks") - p * (p + 1) / 2, p * q).alias("roc_auc"))
 

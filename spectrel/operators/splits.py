@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectrel.operators.tabular import ranked
+from spectrel.operators.tabular import ranked, running
 
 
 def shuffle_key(id_: str, seed: int = 42) -> Column:
@@ -41,11 +41,10 @@ def target_stratified(df: DataFrame, id_: str, target: str, pattern: list[str],
 
 def by_group(df: DataFrame, group: str, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Whole groups: in shuffled order, groups go to test while that brings its size no further from the target than before."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string"))), group)
-    total = F.sum("__n").over(Window.partitionBy())
-    running = F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    chosen = sizes.select(group, F.when(running - F.col("__n") / 2 <= test * total, "test").otherwise("train").alias("role"))
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).withColumn("__key", F.md5(F.concat(F.lit(f"{seed}|"), F.col(group).cast("string"))))
+    total = df.count()
+    placed = running(sizes, ["__key", group], F.col("__n"), "__before")
+    chosen = placed.select(group, F.when(F.col("__before") + F.col("__n") / 2 <= test * total, "test").otherwise("train").alias("role"))
     return df.join(chosen, group)
 
 

@@ -27,13 +27,17 @@ def inspect(df: DataFrame) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame) -> DataFrame:
-    """A row for each numeric column: count, mean, sample standard deviation, minimum, quartiles, maximum, nulls; one pass."""
+    """A row for each numeric column: count, mean, sample standard deviation, minimum, quartiles, maximum, nulls."""
     names = [f.name for f in df.schema if is_numeric(f)]
     stack = F.explode(F.array(*(F.struct(F.lit(n).alias("column_name"), F.col(n).cast("double").alias("v")) for n in names))).alias("s")
-    return df.select(stack).select("s.*").groupBy("column_name").agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.percentile("v", F.lit(0.25)).alias("q25"),
-        F.median("v").alias("median"), F.percentile("v", F.lit(0.75)).alias("q75"), F.max("v").alias("max"), (F.count(F.lit(1)) - F.count("v")).alias("nulls"),
+    cells = df.select(stack).select("s.*")
+    found = quantiles(cells, "column_name", "v", [0.25, 0.5, 0.75])
+    at = F.create_map(*(x for n in names for x in (F.lit(n), F.array(*(F.lit(v).cast("double") for v in found.get(n, [None] * 3))))))
+    out = cells.groupBy("column_name").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), (F.count(F.lit(1)) - F.count("v")).alias("nulls"),
     )
+    quarter = lambda k: F.element_at(at, F.col("column_name"))[k]
+    return out.withColumns({"q25": quarter(0), "median": quarter(1), "q75": quarter(2)})
 
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
@@ -52,19 +56,28 @@ def categorical_summary(df: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+def most_frequent(counts: DataFrame, key: str, k: int) -> DataFrame:
+    """Of counts (key, value, n), the k largest n of each key, by value where they tie, with rank: first of each of 64 parts of a key's
+    values, then of these."""
+    order = [F.desc("n"), "value"]
+    parts = Window.partitionBy(key, F.pmod(F.xxhash64("value"), F.lit(64))).orderBy(*order)
+    some = counts.withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= k)
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
+
+
 def top_values(df: DataFrame, *columns: str, k: int = 5) -> DataFrame:
     """The k most frequent values of each column with their share in percent."""
     counts = value_counts(df, *columns).where("value IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("n"), "value"))
-    total = F.sum("n").over(Window.partitionBy("column_name"))
-    return counts.withColumns({"rank": rank, "percent": 100.0 * F.col("n") / total}).where(F.col("rank") <= k)
+    total = counts.groupBy("column_name").agg(F.sum("n").alias("total"))  # a row for each column
+    return most_frequent(counts, "column_name", k).join(F.broadcast(total), "column_name").withColumn("percent", 100.0 * F.col("n") / F.col("total")).drop("total")
 
 
 def folded_counts(df: DataFrame, column: str, keep: int = 12, other: str = "other") -> DataFrame:
     """Class bars: the `keep` most frequent values, all others as one."""
-    counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "value"))
-    return counts.select(F.when(rank <= keep, F.col("value")).otherwise(other).alias("value"), "n").groupBy("value").agg(F.sum("n").alias("n"))
+    counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.lit(1))
+    kept = F.broadcast(most_frequent(counts, "key", keep).select(F.col("value").alias("kept"), F.lit(True).alias("is_kept")))  # keep rows
+    named = counts.join(kept, counts["value"].eqNullSafe(kept["kept"]), "left")
+    return named.select(F.when(F.col("is_kept"), F.col("value")).otherwise(other).alias("value"), "n").groupBy("value").agg(F.sum("n").alias("n"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
@@ -100,21 +113,44 @@ def range_bounds(df: DataFrame, order: list[str], parts: int) -> list:
     return [r["__key"] for r in sorted(found, key=lambda r: r["__part"])][1:]
 
 
-def ranked(df: DataFrame, order: list[str], name: str = "rank", parts: int = 32) -> DataFrame:
-    """Adds each row's place from 0 in the whole order without one task for all: ranges are ranked apart and joined to their offsets.
-
-    The ranges are told by fixed bounds, so that rows and counts are dealt alike however often they are computed. Rows that tie in
-    all order columns stand in any order among themselves.
-    """
+def in_ranges(df: DataFrame, order: list[str], parts: int = 32) -> DataFrame:
+    """Adds __range, the number of the range of the order columns that a row is in, told by fixed bounds: rows and sums over them are
+    dealt alike however often they are computed."""
     types = [df.schema[c].dataType for c in order]
     bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(row, types, order, strict=True)]) for row in range_bounds(df, order, parts)]
     key = F.struct(*order)
-    part = F.size(F.filter(F.array(*bounds), lambda low: low <= key)) if bounds else F.lit(0)
-    dealt = df.withColumn("__range", part)
-    offsets = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = offsets.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    placed = dealt.withColumn("__within", F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1)
-    return placed.join(F.broadcast(offsets), "__range").withColumn(name, F.col("__before") + F.col("__within")).drop("__range", "__within", "__before")
+    return df.withColumn("__range", F.size(F.filter(F.array(*bounds), lambda low: low <= key)) if bounds else F.lit(0))
+
+
+def running(df: DataFrame, order: list[str], value, name: str, parts: int = 32) -> DataFrame:
+    """Adds the sum of `value` over all earlier rows in the whole order, without one task for all: ranges are summed apart and joined to
+    their offsets, one row for each range."""
+    dealt = in_ranges(df, order, parts).withColumn("__range_value", value)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("__range").agg(F.sum("__range_value").alias("__range_n"))
+    offsets = offsets.select("__range", F.coalesce(F.sum("__range_n").over(before(Window.orderBy("__range"))), F.lit(0)).alias("__range_before"))
+    within = F.coalesce(F.sum("__range_value").over(before(Window.partitionBy("__range").orderBy(*order))), F.lit(0))
+    placed = dealt.withColumn("__range_within", within).join(F.broadcast(offsets), "__range")
+    return placed.withColumn(name, F.col("__range_before") + F.col("__range_within")).drop("__range", "__range_value", "__range_within", "__range_before")
+
+
+def ranked(df: DataFrame, order: list[str], name: str = "rank", parts: int = 32) -> DataFrame:
+    """Adds each row's place from 0 in the whole order. Rows that tie in all order columns stand in any order among themselves."""
+    return running(df, order, F.lit(1).cast("long"), name, parts)
+
+
+def quantiles(df: DataFrame, key: str, value: str, shares: list[float]) -> dict:
+    """{key: [quantile of each share]}, exact, linear between neighbours: the values at few places of the whole order, one pass for all
+    keys, of which there are few (columns)."""
+    rows = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    sizes = sorted((r["k"], r["n"]) for r in rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each key
+    wanted, start = {}, 0
+    for k, n in sizes:
+        wanted[k] = [(start + int(share * (n - 1)), start + min(n - 1, int(share * (n - 1)) + 1), share * (n - 1) % 1) for share in shares]
+        start += n
+    places = sorted({p for ps in wanted.values() for low, high, _ in ps for p in (low, high)})
+    found = {r["place"]: r["v"] for r in ranked(rows, ["k", "v"], "place").where(F.col("place").isin(places)).collect()} if places else {}
+    return {k: [found[low] + (found[high] - found[low]) * part if part else found[low] for low, high, part in ps] for k, ps in wanted.items()}
 
 
 def evenly_spaced(df: DataFrame, order: list[str], k: int) -> DataFrame:

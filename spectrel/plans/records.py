@@ -210,3 +210,9 @@ def guarded_messages(spark, sf_dir):
 def kernel_rnv(spark, sf_dir):
     x = kernels.rnv(F.col("embedding").cast("array<double>"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(kernels.total(F.transform(x, F.abs)), 4).alias("total"))
+
+
+@query("markdown_outline", "SELECT doc_id, 1 AS line, 2 AS level, source AS title FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, CAST(3 + length(text) - length(replace(text, chr(10), '')) AS INTEGER), 3, 'the end' FROM documents WHERE text IS NOT NULL")
+def markdown_outline(spark, sf_dir):
+    text = F.concat(F.lit("## "), "source", F.lit("\n"), "text", F.lit("\n###  the end #"))
+    return d.outline(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.alias("text")), "doc_id", "text")

@@ -96,6 +96,6 @@ def drift_index(spark, sf_dir):
     return r.drift_index(gram.mahalanobis(x, "x", gram.grams(x, "x")[0])).select(F.round("drift_index", 6).alias("drift_index"))
 
 
-@query("scrubbed_messages")
+@query("scrubbed_messages", r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '(?i)[^.!?\n]*(?:\bupload(ed)?\b|\bthe\b)[^.!?\n]*[.!?]?', '', 'g'), ' {2,}', ' ', 'g')) AS text FROM conversations")
 def scrubbed_messages(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", r.scrubbed(F.col("text"), r"\bupload(ed)?\b|\bthe\b").alias("text"))

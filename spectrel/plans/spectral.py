@@ -69,7 +69,7 @@ def kernel_despike(spark, sf_dir):
     return points(spectra(spark, sf_dir).withColumn("x", kernels.despike(F.col("x"))))
 
 
-@query("kernel_gap_derivative")
+@query("kernel_gap_derivative", f"WITH {POINTS}, s AS (SELECT vec_id, pos, avg(v) OVER (PARTITION BY vec_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM p) SELECT p.vec_id, p.pos, round((a.s - b.s) / 6, 6) + 0.0 AS v FROM p JOIN s a ON p.vec_id = a.vec_id AND a.pos = least(greatest(p.pos, 3), 60) + 3 JOIN s b ON p.vec_id = b.vec_id AND b.pos = least(greatest(p.pos, 3), 60) - 3")
 def kernel_gap_derivative(spark, sf_dir):
     return points(spectra(spark, sf_dir).withColumn("x", kernels.gap_derivative(F.col("x"))))
 
@@ -81,7 +81,7 @@ def kernel_fused_smooth_detrend(spark, sf_dir):
     return points(spectral.linear(spectra(spark, sf_dir), "x", steps))
 
 
-@query("kernel_derivative")
+@query("kernel_derivative", f"WITH {POINTS}, c AS (SELECT vec_id, pos, least(greatest(pos, 5), 58) AS c FROM p) SELECT c.vec_id, c.pos, round(sum((q.pos - c) * q.v) / 110 + 2 * (c.pos - c) * (11 * sum((q.pos - c) * (q.pos - c) * q.v) - 110 * sum(q.v)) / 9438, 6) + 0.0 AS v FROM c JOIN p q ON c.vec_id = q.vec_id AND q.pos BETWEEN c - 5 AND c + 5 GROUP BY c.vec_id, c.pos, c.c")
 def kernel_derivative(spark, sf_dir):
     return points(spectral.linear(spectra(spark, sf_dir), "x", [matrices.savitzky_golay(P, 11, 2, 1)]))
 
