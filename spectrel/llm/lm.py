@@ -1,18 +1,24 @@
-"""Interpolated modified Kneser-Ney word model (order 2), counted in Spark.
+"""Interpolated modified Kneser-Ney word model of order 2 or 3 (the default), counted in Spark.
 
 1. Words of the training documents are hashed to 64 bits and counted. Counts meet in shards by hash range, each written as sorted
    hash and count arrays; a word's place in all shards together is its id.
-2. Pairs (word before, word) of ids are counted. A pair goes to the bucket of its place on the line of all training tokens: word
-   before by word before, and within one by a hash of the word, so that buckets hold like many tokens however frequent a word
-   is. Each bucket is written as sorted key and count arrays.
-3. From distinct pairs come, for each word before, how many words follow once, twice, or more often, and for each word, how many
-   words stand before it; they are added up by shard and written beside its hashes.
-4. Workers map these arrays into memory and score documents in runs: words to ids, pairs to counts, counts to probabilities.
-
-    P(w | u) = max(c(u, w) - D(c), 0) / c(u) + gamma(u) * P(w)      P(w) = max(k(w) - D'(k), 0) / K + gamma' / (V + 1)
-
-with k the number of words before w, K their sum, D three discounts for 1, 2 and more from counts of counts, and V the number
-of distinct training words; all other words share the last term's 1 / (V + 1).
+2. At order 3, triples (t, u, w) of ids are counted. A triple goes to a bucket by its place on the line of all training tokens: by
+   its first word, within that by a hash of its second, and, over a stretch as long as the rarer of the two is frequent, by a hash
+   of its third; so buckets hold like many tokens however frequent a word or a pair is. Each bucket is written as sorted hashes of
+   triples with counts, and sorted pairs (t, u) with how many words follow once, twice, or more often there. What a bucket
+   then gives on is, for each pair (u, w), how many t stand before it (at the start of a text: how often it stands there).
+3. Pairs (u, w) of ids with these counts (at order 2: how often they stand) go to buckets in the same way and are written as sorted
+   key and count arrays. From distinct pairs come, for each word before, how many words follow once, twice, or more often, and for
+   each word, how many words stand before it; they are added up by shard and written beside its hashes.
+4. Workers map these arrays into memory and score documents in runs: words to ids, triples and pairs to counts, counts to
+   probabilities.
+
+    P(w | t, u) = max(c(t, u, w) - D"(c), 0) / c(t, u) + gamma(t, u) * P(w | u)
+    P(w | u) = max(a(u, w) - D(a), 0) / a(u) + gamma(u) * P(w)      P(w) = max(k(w) - D'(k), 0) / K + gamma' / (V + 1)
+
+with a(u, w) the counts of step 3, k the number of words before w, a(u) and K their sums, D three discounts for 1, 2 and more from
+counts of counts, and V the number of distinct training words; all other words share the last term's 1 / (V + 1). The first word of
+a text has no pair before it and takes P(w | start).
 
 Null texts are empty: their one token is the end. Repeated rows count, and are scored, each. With nothing to learn from, N and V are
 0 and each token has probability 1.
@@ -103,6 +109,17 @@ def blobs(parts: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ((),) * 4, BLOB_ARROW, strict=True)], schema=BLOB_ARROW)
 
 
+#: Arrays beside a bucket's triples and pairs, of the smallest type that holds their values.
+TRIPLE_ARRAYS = ["triple-times", "follow1", "follow2", "follow3", "follow4"]
+
+
+def triple_blobs(parts: np.ndarray, pairs: np.ndarray, counts: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+    """blobs() with the third words beside the pairs."""
+    first = changes(parts)
+    third = [packed(words[a:b]) for a, b in zip(first, np.append(first[1:], len(parts)), strict=True)]
+    return blobs(parts, pairs, counts).append_column("words", pa.array(third, pa.binary()))
+
+
 def gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys of a part's blobs and the sums of their counts."""
     rows = list(zip(table["n"].to_pylist(), table["keys"], table["counts"], strict=True))
@@ -127,6 +144,8 @@ class Model:
     documents: int
     words: tuple = ()  # discounts D', K, gamma'
     pairs: tuple = ()  # discounts D
+    triples: tuple = ()  # discounts D"
+    order: int = 3
 
     @property
     def v(self) -> int:
@@ -190,10 +209,52 @@ def pairs_of(counts: np.ndarray, ids: np.ndarray, start: int) -> tuple[np.ndarra
     return before, ids
 
 
+def share_of(word: np.ndarray) -> np.ndarray:
+    """A hash of ids as numbers from 0 to below 1."""
+    return (common.mix(word.astype(np.uint64)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+
+
+def bucket_at(place: np.ndarray, model: Model) -> np.ndarray:
+    return np.minimum((place * model.buckets / max(1, model.n + model.documents)).astype(np.int64), model.buckets - 1)
+
+
 def bucket_of(place: np.ndarray, count: np.ndarray, word: np.ndarray, model: Model) -> np.ndarray:
-    share = (common.mix(word.astype(np.uint64)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-    total = model.n + model.documents
-    return np.minimum(((place + count * share) * model.buckets / max(1, total)).astype(np.int64), model.buckets - 1)
+    return bucket_at(place + count * share_of(word), model)
+
+
+def stretch_of(place: np.ndarray, count: np.ndarray, second: np.ndarray, second_count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the triples of a pair lie on the line of tokens: from there, so long. A pair is no more frequent than either word."""
+    long = np.minimum(count, second_count)
+    return place + (count - long) * share_of(second), long
+
+
+def triple_keys(pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """64-bit hashes of triples."""
+    return common.mix(common.mix(pair) + (word.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def triples_of(counts: np.ndarray, before: np.ndarray, start: int) -> np.ndarray:
+    """The ids two places before the tokens of texts."""
+    earlier = np.empty_like(before)
+    earlier[1:] = before[:-1]
+    earlier[np.cumsum(counts) - counts] = start
+    return earlier
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows of sorted columns begins."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def counts_of_counts(values: np.ndarray) -> np.ndarray:
+    return np.array([(values == c).sum() for c in (1, 2, 3, 4)], dtype=np.int64)
+
+
+def followers(counts: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Of each run of counts: how many are 1, 2, and more."""
+    return [np.add.reduceat((counts == c) if c < 3 else (counts >= 3), first, dtype=np.int64) for c in (1, 2, 3)]
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -206,8 +267,10 @@ def lessened(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(c - np.where(c >= 3, d[2], np.where(c == 2, d[1], d[0])), 0)
 
 
-def train(documents: DataFrame, folder: str, shards: int | None = None) -> Model:
+def train(documents: DataFrame, folder: str, shards: int | None = None, order: int = 3) -> Model:
     """Learn from all rows of documents(text); the arrays are written to a new folder of the shared store."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = documents.sparkSession
     texts = documents.select(common.octets("text"))
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
@@ -231,7 +294,7 @@ def train(documents: DataFrame, folder: str, shards: int | None = None) -> Model
     by = {r["shard"]: r for r in found}
     model = Model(
         folder, [by[s]["n"] if s in by else 0 for s in range(shards)], [by[s]["total"] if s in by else 0 for s in range(shards)],
-        {f"count-{s}": by[s]["type"] for s in range(shards) if s in by}, shards, by[shards]["total"] if shards in by else 0,
+        {f"count-{s}": by[s]["type"] for s in range(shards) if s in by}, shards, by[shards]["total"] if shards in by else 0, order=order,
     )
     if model.v >= 1 << 32:
         raise ValueError("ids of pairs of words have 32 bits each")
@@ -249,27 +312,82 @@ def train(documents: DataFrame, folder: str, shards: int | None = None) -> Model
             place, count = np.append(vocabulary.places(ids), model.n), np.append(vocabulary.of("count", ids), model.documents)
             at = np.searchsorted(ids, u)  # ids ascend with the hashes; `start` comes after all
             bucket = bucket_of(place[at], count[at], w, model)
-            order = np.argsort(bucket, kind="stable")
-            yield blobs(bucket[order], keys[order], times[order])
+            sort = np.argsort(bucket, kind="stable")
+            yield blobs(bucket[sort], keys[sort], times[sort])
+
+    def count_triples(batches):
+        vocabulary = Vocabulary(model)
+        for _, part in runs(batches):
+            hashes, counts = tokens(part)
+            words, inverse = np.unique(hashes, return_inverse=True)
+            ids = vocabulary.ids(words)
+            place, count, ids = np.append(vocabulary.places(ids), model.n), np.append(vocabulary.of("count", ids), model.documents), np.append(ids, start)
+            second, third = pairs_of(counts, inverse, len(ids) - 1)  # as places in ids, which ascend
+            pair = triples_of(counts, second, len(ids) - 1) * len(ids) + second
+            sort = np.lexsort((third, pair))
+            pair, third = pair[sort], third[sort]
+            at = changes(pair, third)
+            times = np.diff(np.append(at, len(pair)))
+            first, second, third = pair[at] // len(ids), pair[at] % len(ids), third[at]
+            begin, long = stretch_of(place[first], count[first], ids[second], count[second])
+            bucket = bucket_at(begin + long * share_of(ids[third]), model)
+            sort = np.argsort(bucket, kind="stable")
+            pair = (ids[first].astype(np.uint64) << np.uint64(32)) | ids[second].astype(np.uint64)
+            yield triple_blobs(bucket[sort], pair[sort], times[sort], ids[third][sort])
+
+    def store_triples(table):
+        b, rows = table["part"][0].as_py(), list(zip(*(table[c].to_pylist() for c in ("n", "keys", "counts", "words")), strict=True))
+        pair = np.concatenate([np.cumsum(unpacked(k, n), dtype=np.uint64) for n, k, _, _ in rows])
+        times, word = (np.concatenate([unpacked(r[c], r[0]) for r in rows]).astype(np.int64) for c in (2, 3))
+        sort = np.lexsort((word, pair))
+        pair, times, word = pair[sort], times[sort], word[sort]
+        at = changes(pair, word)
+        pair, times, word = pair[at], np.add.reduceat(times, at), word[at]
+        second = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        inner = second != start
+        own_pair, own_times = pair[inner], times[inner]
+        first = changes(own_pair) if len(own_pair) else np.zeros(0, dtype=np.int64)
+        keys = triple_keys(own_pair, word[inner])
+        by_key = np.argsort(keys)
+        stored = {f"triple-times-{b}": own_times[by_key]}
+        sums = [*followers(own_times, first), np.add.reduceat(own_times, first)] if len(first) else [first] * 4
+        stored |= {f"follow{k}-{b}": values for k, values in enumerate(sums, start=1)}
+        stored = {name: smallest(values) for name, values in stored.items()}
+        for name, values in ({f"triple-{b}": keys[by_key], f"context-{b}": own_pair[first]} | stored).items():
+            arrays.save(folder, name, values)
+        given, sums = grouped((second.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64), np.where(inner, 1, times))
+        u, w = (given >> np.uint64(32)).astype(np.int64), (given & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        vocabulary, known = Vocabulary(model), u[: np.searchsorted(u, start)]  # `start` comes after all
+        pad = np.ones(len(u) - len(known), dtype=np.int64)
+        place, count = np.append(vocabulary.places(known), pad * model.n), np.append(vocabulary.of("count", known), pad * model.documents)
+        bucket = bucket_of(place, count, w, model)
+        sort = np.argsort(bucket, kind="stable")
+        note = pa.table({"part": [-1], "n": [b], "keys": [",".join(str(v.dtype) for v in stored.values()).encode()], "counts": [counts_of_counts(own_times).tobytes()]}, schema=BLOB_ARROW)
+        return pa.concat_tables([pa.Table.from_batches([blobs(bucket[sort], given[sort], sums[sort])]), note])
 
     offsets = np.concatenate([[0], np.cumsum(model.sizes)]).astype(np.int64)
 
     def store_pairs(table):
-        b, (keys, counts) = table["part"][0].as_py(), gathered(table)
+        b = table["part"][0].as_py()
+        if b < 0:  # notes of the buckets of triples
+            return table.append_column("kind", pa.array([-1] * table.num_rows, pa.int32()))
+        keys, counts = gathered(table)
         arrays.save(folder, f"pair-{b}", keys)
         small = smallest(counts)
         arrays.save(folder, f"times-{b}", small)
         u, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+        first = changes(u)
         out = []
-        kinds = [(u[first], np.add.reduceat((counts == c) if c < 3 else (counts >= 3), first, dtype=np.int64)) for c in (1, 2, 3)]
-        for kind, (ids, n) in enumerate([*kinds, grouped(w)], start=1):
+        kinds = [*((u[first], n) for n in followers(counts, first)), grouped(w)]
+        if order == 3:
+            kinds.append((u[first], np.add.reduceat(counts.astype(np.int64), first)))
+        for kind, (ids, n) in enumerate(kinds, start=1):
             keep = n > 0
             ids, n = ids[keep], n[keep]
             shard = np.searchsorted(offsets, ids, side="right") - 1
             out.append((kind, blobs(shard, ids.astype(np.uint64), n)))
         tables = [pa.Table.from_batches([t]).append_column("kind", pa.array([k] * t.num_rows, pa.int32())) for k, t in out]
-        note = pa.table({"part": [-1], "n": [b], "keys": [str(small.dtype).encode()], "counts": [np.array([(counts == c).sum() for c in (1, 2, 3, 4)], dtype=np.int64).tobytes()], "kind": [0]}, schema=tables[0].schema)
+        note = pa.table({"part": [-1], "n": [b], "keys": [str(small.dtype).encode()], "counts": [counts_of_counts(counts).tobytes()], "kind": [0]}, schema=tables[0].schema)
         return pa.concat_tables([*tables, note])
 
     def store_statistics(table):
@@ -278,7 +396,7 @@ def train(documents: DataFrame, folder: str, shards: int | None = None) -> Model
             return pa.table({"shard": table["n"], "kind": table["kind"], "type": pa.array([k.as_py().decode() for k in table["keys"]]), "counts": table["counts"]}, schema=notes)
         size = model.sizes[s] if s < shards else 1
         rows = []
-        for kind in (1, 2, 3, 4):
+        for kind in range(1, order + 3):
             part = table.filter(pa.compute.equal(table["kind"], kind))
             values = np.zeros(size, dtype=np.int64)
             if part.num_rows:
@@ -286,23 +404,27 @@ def train(documents: DataFrame, folder: str, shards: int | None = None) -> Model
                 values[keys.astype(np.int64) - offsets[s]] = counts
             small = smallest(values)
             arrays.save(folder, f"s{kind}-{s}", small)
-            rows.append((s, kind, str(small.dtype), np.array([*((values == c).sum() for c in (1, 2, 3, 4)), (values > 2).sum(), values.sum()], dtype=np.int64).tobytes()))
+            rows.append((s, kind, str(small.dtype), np.array([*counts_of_counts(values), (values > 2).sum(), values.sum()], dtype=np.int64).tobytes()))
         return pa.table(dict(zip(notes.names, map(list, zip(*rows, strict=True)), strict=True)), schema=notes)
 
     notes = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("type", pa.string()), ("counts", pa.binary())])
-    statistics = texts.mapInArrow(count_pairs, BLOB).groupBy("part").applyInArrow(store_pairs, BLOB + ", kind int")
+    pairs = texts.mapInArrow(count_pairs, BLOB) if order == 2 else texts.mapInArrow(count_triples, BLOB + ", words binary").groupBy("part").applyInArrow(store_triples, BLOB)
+    statistics = pairs.groupBy("part").applyInArrow(store_pairs, BLOB + ", kind int")
     told = statistics.groupBy("part").applyInArrow(store_statistics, "shard long, kind int, type string, counts binary").collect()  # a few rows for each shard
-    pair_n, word_n = np.zeros(4, dtype=np.int64), np.zeros(6, dtype=np.int64)
+    triple_n, pair_n, word_n = np.zeros(4, dtype=np.int64), np.zeros(4, dtype=np.int64), np.zeros(6, dtype=np.int64)
     for r in told:
         numbers = np.frombuffer(bytes(r["counts"]), dtype=np.int64)
-        if r["kind"] == 0:
+        if r["kind"] < 0:
+            model.types |= dict(zip((f"{name}-{r['shard']}" for name in TRIPLE_ARRAYS), r["type"].split(","), strict=True))
+            triple_n += numbers
+        elif r["kind"] == 0:
             model.types[f"times-{r['shard']}"] = r["type"]
             pair_n += numbers
         else:
             model.types[f"s{r['kind']}-{r['shard']}"] = r["type"]
             if r["kind"] == 4 and r["shard"] < shards:
                 word_n += numbers
-    model.pairs = discounts(pair_n.tolist())
+    model.pairs, model.triples = discounts(pair_n.tolist()), discounts(triple_n.tolist())
     d = discounts(word_n[:4].tolist())
     k = int(word_n[5])
     model.words = (d, k, (d[0] * word_n[0] + d[1] * word_n[1] + d[2] * word_n[4]) / k if k else 1.0)
@@ -313,6 +435,22 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.vocabulary = model, Vocabulary(model)
 
+    def found(self, buckets: np.ndarray, keys: np.ndarray, table: str, values: list[str]) -> list[np.ndarray]:
+        """Values that stand beside keys in their buckets, 0 where there is no such key."""
+        out = [np.zeros(len(keys), dtype=np.int64) for _ in values]
+        sort = np.lexsort((keys, buckets))
+        edges = np.searchsorted(buckets[sort], np.arange(self.model.buckets + 1))
+        for b in np.flatnonzero(np.diff(edges)):
+            if f"{values[0]}-{b}" in self.model.types:
+                at = sort[edges[b] : edges[b + 1]]
+                known = self.vocabulary.array(f"{table}-{b}", np.uint64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
+                    same = known[place] == keys[at]
+                    for column, name in zip(out, values, strict=True):
+                        column[at[same]] = self.vocabulary.array(f"{name}-{b}")[place[same]]
+        return out
+
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: tokens, known tokens, base score and log10 probability."""
         m, vocabulary = self.model, self.vocabulary
@@ -330,29 +468,45 @@ class Scorer:
         base = np.log10((count + 0.1) / (m.n + 0.1 * (m.v + 1)))
         # the start of a text stands after all words
         own = [arrays.load(m.folder, f"s{k}-{len(m.sizes)}", m.types[f"s{k}-{len(m.sizes)}"])[0] if m.documents else 0 for k in (1, 2, 3)]
-        context = np.append(count, m.documents)
+        size = np.append(count, m.documents)
+        context = size if m.order == 2 else np.append(vocabulary.of("s5", ids), m.documents)
         spare = np.append(m.pairs[0] * once + m.pairs[1] * twice + m.pairs[2] * more, sum(x * y for x, y in zip(m.pairs, own, strict=True)))
         place, all_ids = np.append(vocabulary.places(ids), m.n), np.append(ids, m.v)
         before, word = pairs_of(counts, inverse, len(ids))
-        known = (all_ids[before] >= 0) & (ids[word] >= 0) & (context[before] > 0)
         times = np.zeros(len(word), dtype=np.int64)
-        at = np.flatnonzero(known)
-        key = (all_ids[before[at]].astype(np.uint64) << np.uint64(32)) | ids[word[at]].astype(np.uint64)
-        bucket = bucket_of(place[before[at]], context[before[at]], ids[word[at]], m)
-        sort = np.lexsort((key, bucket))
-        at, key, bucket = at[sort], key[sort], bucket[sort]
-        edges = np.searchsorted(bucket, np.arange(m.buckets + 1))
-        for b in np.flatnonzero(np.diff(edges)):
-            if f"times-{b}" in m.types:
-                lo, hi = edges[b], edges[b + 1]
-                keys = vocabulary.array(f"pair-{b}", np.uint64)
-                found = np.minimum(np.searchsorted(keys, key[lo:hi]), len(keys) - 1)
-                times[at[lo:hi]] = np.where(keys[found] == key[lo:hi], vocabulary.array(f"times-{b}")[found], 0)
+        at = np.flatnonzero((all_ids[before] >= 0) & (ids[word] >= 0) & (context[before] > 0))
+        u, w = before[at], word[at]
+        keys = (all_ids[u].astype(np.uint64) << np.uint64(32)) | ids[w].astype(np.uint64)
+        times[at] = self.found(bucket_of(place[u], size[u], ids[w], m), keys, "pair", ["times"])[0]
         c = context[before]
         p = np.where(c > 0, (lessened(times, m.pairs) + spare[before] * word_p[word]) / np.maximum(c, 1), word_p[word])
+        if m.order == 3:
+            self.with_triples(p, triples_of(counts, before, len(ids)), before, word, all_ids, place, size)
         first = np.cumsum(counts) - counts
         return counts, np.add.reduceat((count > 0)[inverse].astype(np.int64), first), np.add.reduceat(base[inverse], first), np.add.reduceat(np.log10(p), first)
 
+    def with_triples(self, p: np.ndarray, earlier: np.ndarray, before: np.ndarray, word: np.ndarray, ids: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
+        """Takes each P(w | u) in p on to P(w | t, u) where the pair (t, u) was seen before a word."""
+        m = self.model
+        at = np.flatnonzero((ids[earlier] >= 0) & (ids[before] >= 0) & (ids[before] != m.v))
+        pair, which = np.unique(earlier[at] * len(ids) + before[at], return_inverse=True)
+        t, u = pair // len(ids), pair % len(ids)
+        keys = (ids[t].astype(np.uint64) << np.uint64(32)) | ids[u].astype(np.uint64)
+        begin, long = stretch_of(place[t], size[t], ids[u], size[u])
+        # a pair of frequent words may lie in several buckets, each with a part of the words that follow
+        low, high = bucket_at(begin, m), bucket_at(begin + long, m)
+        rows = np.repeat(np.arange(len(pair)), high - low + 1)
+        bucket = low[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+        parts = self.found(bucket, keys[rows], "context", ["follow1", "follow2", "follow3", "follow4"])
+        once, twice, more, total = (np.bincount(rows, weights=x, minlength=len(pair)) for x in parts)
+        spare = m.triples[0] * once + m.triples[1] * twice + m.triples[2] * more
+        seen = total[which] > 0
+        at, which = at[seen], which[seen]
+        times, known = np.zeros(len(at), dtype=np.int64), np.flatnonzero(ids[word[at]] >= 0)
+        k, w = which[known], ids[word[at[known]]]
+        times[known] = self.found(bucket_at(begin[k] + long[k] * share_of(w), m), triple_keys(keys[k], w), "triple", ["triple-times"])[0]
+        p[at] = (lessened(times, m.triples) + spare[which] * p[at]) / total[which]
+
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probability), perplexity."""
