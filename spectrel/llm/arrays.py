@@ -39,6 +39,16 @@ def save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(aside, f"{path}/{name}")
 
 
+def exists(folder: str, name: str) -> bool:
+    path = local(folder)
+    if path is not None:
+        return os.path.exists(f"{path}/{name}")
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder)
+    return store.get_file_info(f"{base}/{name}").type == fs.FileType.File
+
+
 def load(folder: str, name: str, dtype) -> np.ndarray:
     path = local(folder)
     if path is not None:

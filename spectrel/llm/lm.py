@@ -4,12 +4,13 @@
    hash and count arrays; a word's place in all shards together is its id.
 2. At order 3, triples (t, u, w) of ids are counted. A triple goes to a bucket by its place on the line of all training tokens: by
    its first word, within that by a hash of its second, and, over a stretch as long as the rarer of the two is frequent, by a hash
-   of its third; so buckets hold like many tokens however frequent a word or a pair is. Each bucket is written as sorted hashes of
-   triples with counts, and sorted pairs (t, u) with how many words follow once, twice, or more often there. What a bucket
-   then gives on is, for each pair (u, w), how many t stand before it (at the start of a text: how often it stands there).
-3. Pairs (u, w) of ids with these counts (at order 2: how often they stand) go to buckets in the same way and are written as sorted
-   key and count arrays. From distinct pairs come, for each word before, how many words follow once, twice, or more often, and for
-   each word, how many words stand before it; they are added up by shard and written beside its hashes.
+   of its third; so buckets hold like many tokens however frequent a word or a pair is. Each bucket is written as sorted arrays in
+   levels: first words, the second words of each, the third words of each pair, and their counts. What a bucket then gives on
+   is, for each pair (u, w), how many t stand before it (at the start of a text: how often it stands there).
+3. Pairs (u, w) of ids with these counts (at order 2: how often they stand) go to the buckets where their triples begin. Their counts
+   are written beside the bucket's pairs, and pairs without triples there as sorted keys and counts. From distinct pairs come, for
+   each word before, how many words follow once, twice, or more often, and for each word, how many words stand before it; they are
+   added up by shard and written beside its hashes.
 4. Workers map these arrays into memory and score documents in runs: words to ids, triples and pairs to counts, counts to
    probabilities.
 
@@ -110,7 +111,9 @@ def blobs(parts: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordB
 
 
 #: Arrays beside a bucket's triples and pairs, of the smallest type that holds their values.
-TRIPLE_ARRAYS = ["triple-times", "follow1", "follow2", "follow3", "follow4"]
+TRIPLE_ARRAYS = ["triple-times", "third-first"]
+#: Where a pair's third words begin is stored from every so many-th pair on; sums over more words than that are stored too.
+STEP = 64
 
 
 def triple_blobs(parts: np.ndarray, pairs: np.ndarray, counts: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
@@ -209,6 +212,21 @@ def pairs_of(counts: np.ndarray, ids: np.ndarray, start: int) -> tuple[np.ndarra
     return before, ids
 
 
+class Levels:
+    """The pairs of a bucket in two levels: first words, and the second words of each."""
+
+    def __init__(self, folder: str, bucket: int):
+        self.first, self.begin, self.second = (arrays.load(folder, f"{name}-{bucket}", np.uint32) for name in ("first", "second-first", "second"))
+
+    def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The place of each pair, -1 where it is not in the bucket."""
+        head = within(self.first, np.zeros(len(first), dtype=np.int64), np.full(len(first), len(self.first)), first)
+        out = np.full(len(first), -1, dtype=np.int64)
+        at = np.flatnonzero(head >= 0)
+        out[at] = within(self.second, self.begin[head[at]].astype(np.int64), self.begin[head[at] + 1].astype(np.int64), second[at])
+        return out
+
+
 def share_of(word: np.ndarray) -> np.ndarray:
     """A hash of ids as numbers from 0 to below 1."""
     return (common.mix(word.astype(np.uint64)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
@@ -218,19 +236,22 @@ def bucket_at(place: np.ndarray, model: Model) -> np.ndarray:
     return np.minimum((place * model.buckets / max(1, model.n + model.documents)).astype(np.int64), model.buckets - 1)
 
 
-def bucket_of(place: np.ndarray, count: np.ndarray, word: np.ndarray, model: Model) -> np.ndarray:
-    return bucket_at(place + count * share_of(word), model)
-
-
 def stretch_of(place: np.ndarray, count: np.ndarray, second: np.ndarray, second_count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the triples of a pair lie on the line of tokens: from there, so long. A pair is no more frequent than either word."""
     long = np.minimum(count, second_count)
     return place + (count - long) * share_of(second), long
 
 
-def triple_keys(pair: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """64-bit hashes of triples."""
-    return common.mix(common.mix(pair) + (word.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+def within(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted value in the ascending values[low:high], -1 where it is not there."""
+    if not len(values) or not len(low):
+        return np.full(len(low), -1, dtype=np.int64)
+    end, wanted = high, wanted.astype(values.dtype)
+    for _ in range(int((high - low).max()).bit_length()):
+        middle = (low + high) >> 1
+        less = (low < high) & (values[np.minimum(middle, len(values) - 1)] < wanted)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+    return np.where((low < end) & (values[np.minimum(low, len(values) - 1)] == wanted), low, -1)
 
 
 def triples_of(counts: np.ndarray, before: np.ndarray, start: int) -> np.ndarray:
@@ -311,7 +332,7 @@ def train(documents: DataFrame, folder: str, shards: int | None = None, order: i
             u, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
             place, count = np.append(vocabulary.places(ids), model.n), np.append(vocabulary.of("count", ids), model.documents)
             at = np.searchsorted(ids, u)  # ids ascend with the hashes; `start` comes after all
-            bucket = bucket_of(place[at], count[at], w, model)
+            bucket = bucket_at(stretch_of(place[at], count[at], w, count[np.searchsorted(ids, w)])[0], model)
             sort = np.argsort(bucket, kind="stable")
             yield blobs(bucket[sort], keys[sort], times[sort])
 
@@ -345,22 +366,24 @@ def train(documents: DataFrame, folder: str, shards: int | None = None, order: i
         pair, times, word = pair[at], np.add.reduceat(times, at), word[at]
         second = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         inner = second != start
-        own_pair, own_times = pair[inner], times[inner]
-        first = changes(own_pair) if len(own_pair) else np.zeros(0, dtype=np.int64)
-        keys = triple_keys(own_pair, word[inner])
-        by_key = np.argsort(keys)
-        stored = {f"triple-times-{b}": own_times[by_key]}
-        sums = [*followers(own_times, first), np.add.reduceat(own_times, first)] if len(first) else [first] * 4
-        stored |= {f"follow{k}-{b}": values for k, values in enumerate(sums, start=1)}
-        stored = {name: smallest(values) for name, values in stored.items()}
-        for name, values in ({f"triple-{b}": keys[by_key], f"context-{b}": own_pair[first]} | stored).items():
+        own_times = times[inner]
+        first = changes(pair[inner])
+        pairs = pair[inner][first]
+        heads = changes(pairs >> np.uint64(32))
+        begin = np.append(first, len(own_times))
+        many = np.flatnonzero(np.diff(begin) > STEP)
+        sums = np.stack([*followers(own_times, first), np.add.reduceat(own_times, first)], axis=1)[many] if len(first) else np.zeros((0, 4), dtype=np.int64)
+        stored = {f"triple-times-{b}": smallest(own_times), f"third-first-{b}": smallest(begin - np.repeat(begin[::STEP], STEP)[: len(begin)])}
+        levels = {f"first-{b}": pairs[heads] >> np.uint64(32), f"second-first-{b}": np.append(heads, len(pairs)), f"second-{b}": pairs & np.uint64(0xFFFFFFFF), f"third-{b}": word[inner], f"many-{b}": many}
+        for name, values in ({k: v.astype(np.uint32) for k, v in levels.items()} | stored | {f"third-step-{b}": begin[::STEP], f"many-sums-{b}": sums}).items():
             arrays.save(folder, name, values)
         given, sums = grouped((second.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64), np.where(inner, 1, times))
         u, w = (given >> np.uint64(32)).astype(np.int64), (given & np.uint64(0xFFFFFFFF)).astype(np.int64)
         vocabulary, known = Vocabulary(model), u[: np.searchsorted(u, start)]  # `start` comes after all
         pad = np.ones(len(u) - len(known), dtype=np.int64)
         place, count = np.append(vocabulary.places(known), pad * model.n), np.append(vocabulary.of("count", known), pad * model.documents)
-        bucket = bucket_of(place, count, w, model)
+        words, at = np.unique(w, return_inverse=True)
+        bucket = bucket_at(stretch_of(place, count, w, vocabulary.of("count", words)[at])[0], model)
         sort = np.argsort(bucket, kind="stable")
         note = pa.table({"part": [-1], "n": [b], "keys": [",".join(str(v.dtype) for v in stored.values()).encode()], "counts": [counts_of_counts(own_times).tobytes()]}, schema=BLOB_ARROW)
         return pa.concat_tables([pa.Table.from_batches([blobs(bucket[sort], given[sort], sums[sort])]), note])
@@ -372,10 +395,15 @@ def train(documents: DataFrame, folder: str, shards: int | None = None, order: i
         if b < 0:  # notes of the buckets of triples
             return table.append_column("kind", pa.array([-1] * table.num_rows, pa.int32()))
         keys, counts = gathered(table)
-        arrays.save(folder, f"pair-{b}", keys)
         small = smallest(counts)
-        arrays.save(folder, f"times-{b}", small)
         u, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        at = Levels(folder, b).pairs(u, w) if order == 3 and arrays.exists(folder, f"second-{b}") else np.full(len(u), -1)
+        if (at >= 0).any():
+            beside = np.zeros(len(arrays.load(folder, f"second-{b}", np.uint32)), dtype=small.dtype)
+            beside[at[at >= 0]] = small[at >= 0]
+            arrays.save(folder, f"times-{b}", beside)
+        arrays.save(folder, f"pair-{b}", keys[at < 0])
+        arrays.save(folder, f"pair-times-{b}", small[at < 0])
         first = changes(u)
         out = []
         kinds = [*((u[first], n) for n in followers(counts, first)), grouped(w)]
@@ -387,7 +415,7 @@ def train(documents: DataFrame, folder: str, shards: int | None = None, order: i
             shard = np.searchsorted(offsets, ids, side="right") - 1
             out.append((kind, blobs(shard, ids.astype(np.uint64), n)))
         tables = [pa.Table.from_batches([t]).append_column("kind", pa.array([k] * t.num_rows, pa.int32())) for k, t in out]
-        note = pa.table({"part": [-1], "n": [b], "keys": [str(small.dtype).encode()], "counts": [counts_of_counts(counts).tobytes()], "kind": [0]}, schema=tables[0].schema)
+        note = pa.table({"part": [-1], "n": [b], "keys": [f"{small.dtype},{(at >= 0).any():d}".encode()], "counts": [counts_of_counts(counts).tobytes()], "kind": [0]}, schema=tables[0].schema)
         return pa.concat_tables([*tables, note])
 
     def store_statistics(table):
@@ -418,7 +446,8 @@ def train(documents: DataFrame, folder: str, shards: int | None = None, order: i
             model.types |= dict(zip((f"{name}-{r['shard']}" for name in TRIPLE_ARRAYS), r["type"].split(","), strict=True))
             triple_n += numbers
         elif r["kind"] == 0:
-            model.types[f"times-{r['shard']}"] = r["type"]
+            kind, beside = r["type"].split(",")
+            model.types |= {f"{name}-{r['shard']}": kind for name in (["pair-times", "times"] if beside == "1" else ["pair-times"])}
             pair_n += numbers
         else:
             model.types[f"s{r['kind']}-{r['shard']}"] = r["type"]
@@ -433,24 +462,57 @@ def train(documents: DataFrame, folder: str, shards: int | None = None, order: i
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.vocabulary = model, Vocabulary(model)
+        self.model, self.vocabulary, self.held = model, Vocabulary(model), {}
 
-    def found(self, buckets: np.ndarray, keys: np.ndarray, table: str, values: list[str]) -> list[np.ndarray]:
-        """Values that stand beside keys in their buckets, 0 where there is no such key."""
-        out = [np.zeros(len(keys), dtype=np.int64) for _ in values]
-        sort = np.lexsort((keys, buckets))
+    def by_bucket(self, buckets: np.ndarray):
+        """(bucket, places of its rows), for buckets that have any."""
+        sort = np.argsort(buckets, kind="stable")
         edges = np.searchsorted(buckets[sort], np.arange(self.model.buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
-            if f"{values[0]}-{b}" in self.model.types:
-                at = sort[edges[b] : edges[b + 1]]
-                known = self.vocabulary.array(f"{table}-{b}", np.uint64)
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-                    same = known[place] == keys[at]
-                    for column, name in zip(out, values, strict=True):
-                        column[at[same]] = self.vocabulary.array(f"{name}-{b}")[place[same]]
+            yield b, sort[edges[b] : edges[b + 1]]
+
+    def levels(self, b: int) -> Levels:
+        if b not in self.held:
+            self.held[b] = Levels(self.model.folder, b)
+        return self.held[b]
+
+    def pair_times(self, buckets: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The counts of pairs of ids, 0 for unknown ones."""
+        out, array = np.zeros(len(first), dtype=np.int64), self.vocabulary.array
+        for b, rows in self.by_bucket(buckets):
+            if f"times-{b}" in self.model.types:
+                place = self.levels(b).pairs(first[rows], second[rows])
+                out[rows[place >= 0]] = array(f"times-{b}")[place[place >= 0]]
+                rows = rows[place < 0]
+            if f"pair-times-{b}" in self.model.types and len(known := array(f"pair-{b}", np.uint64)):
+                keys = (first[rows].astype(np.uint64) << np.uint64(32)) | second[rows].astype(np.uint64)
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                same = known[place] == keys
+                out[rows[same]] = array(f"pair-times-{b}")[place[same]]
         return out
 
+    def stretches(self, buckets: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs in buckets: where their third words begin and end, and how many of these stand once, twice, more often, and the sum."""
+        low, high, sums = np.zeros(len(first), dtype=np.int64), np.zeros(len(first), dtype=np.int64), np.zeros((len(first), 4), dtype=np.int64)
+        array = self.vocabulary.array
+        for b, rows in self.by_bucket(buckets):
+            if f"triple-times-{b}" not in self.model.types:
+                continue
+            place = self.levels(b).pairs(first[rows], second[rows])
+            rows, place = rows[place >= 0], place[place >= 0]
+            steps, inner, times = array(f"third-step-{b}", np.int64), array(f"third-first-{b}"), array(f"triple-times-{b}")
+            a, z = (steps[k // STEP] + inner[k] for k in (place, place + 1))
+            low[rows], high[rows] = a, z
+            few = z - a <= STEP
+            n = (z - a)[few]
+            if len(n):
+                begin = np.cumsum(n) - n
+                sums[rows[few]] = np.stack([*followers(values := times[np.repeat(a[few] - begin, n) + np.arange(n.sum())].astype(np.int64), begin), np.add.reduceat(values, begin)], axis=1)
+            if not few.all():
+                known = array(f"many-{b}", np.uint32)
+                sums[rows[~few]] = array(f"many-sums-{b}", np.int64).reshape(-1, 4)[np.searchsorted(known, place[~few].astype(np.uint32))]
+        return low, high, sums
+
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: tokens, known tokens, base score and log10 probability."""
         m, vocabulary = self.model, self.vocabulary
@@ -476,8 +538,7 @@ class Scorer:
         times = np.zeros(len(word), dtype=np.int64)
         at = np.flatnonzero((all_ids[before] >= 0) & (ids[word] >= 0) & (context[before] > 0))
         u, w = before[at], word[at]
-        keys = (all_ids[u].astype(np.uint64) << np.uint64(32)) | ids[w].astype(np.uint64)
-        times[at] = self.found(bucket_of(place[u], size[u], ids[w], m), keys, "pair", ["times"])[0]
+        times[at] = self.pair_times(bucket_at(stretch_of(place[u], size[u], ids[w], size[w])[0], m), all_ids[u], ids[w])
         c = context[before]
         p = np.where(c > 0, (lessened(times, m.pairs) + spare[before] * word_p[word]) / np.maximum(c, 1), word_p[word])
         if m.order == 3:
@@ -491,20 +552,25 @@ class Scorer:
         at = np.flatnonzero((ids[earlier] >= 0) & (ids[before] >= 0) & (ids[before] != m.v))
         pair, which = np.unique(earlier[at] * len(ids) + before[at], return_inverse=True)
         t, u = pair // len(ids), pair % len(ids)
-        keys = (ids[t].astype(np.uint64) << np.uint64(32)) | ids[u].astype(np.uint64)
         begin, long = stretch_of(place[t], size[t], ids[u], size[u])
         # a pair of frequent words may lie in several buckets, each with a part of the words that follow
         low, high = bucket_at(begin, m), bucket_at(begin + long, m)
+        offset = np.cumsum(high - low + 1) - (high - low + 1)
         rows = np.repeat(np.arange(len(pair)), high - low + 1)
-        bucket = low[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
-        parts = self.found(bucket, keys[rows], "context", ["follow1", "follow2", "follow3", "follow4"])
-        once, twice, more, total = (np.bincount(rows, weights=x, minlength=len(pair)) for x in parts)
+        bucket = low[rows] + np.arange(len(rows)) - offset[rows]
+        first, last, parts = self.stretches(bucket, ids[t][rows], ids[u][rows])
+        once, twice, more, total = (np.bincount(rows, weights=x, minlength=len(pair)) for x in parts.T)
         spare = m.triples[0] * once + m.triples[1] * twice + m.triples[2] * more
         seen = total[which] > 0
         at, which = at[seen], which[seen]
         times, known = np.zeros(len(at), dtype=np.int64), np.flatnonzero(ids[word[at]] >= 0)
         k, w = which[known], ids[word[at[known]]]
-        times[known] = self.found(bucket_at(begin[k] + long[k] * share_of(w), m), triple_keys(keys[k], w), "triple", ["triple-times"])[0]
+        own = bucket_at(begin[k] + long[k] * share_of(w), m)
+        row = offset[k] + own - low[k]
+        for b, found in self.by_bucket(own):
+            if f"triple-times-{b}" in m.types:
+                place = within(self.vocabulary.array(f"third-{b}", np.uint32), first[row[found]], last[row[found]], w[found])
+                times[known[found[place >= 0]]] = self.vocabulary.array(f"triple-times-{b}")[place[place >= 0]]
         p[at] = (lessened(times, m.triples) + spare[which] * p[at]) / total[which]
 
 
