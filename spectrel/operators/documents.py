@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,19 +174,79 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+|[À-ɏ]+)"), F.lit(1))
 
 
-def bm25(documents: DataFrame, id_: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int = 6, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Top k documents of each query: query_id, id, score, rank. The terms of queries alone are counted in documents."""
+def bm25(documents: DataFrame, id_: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int = 6, k1: float = 1.5, b: float = 0.75, block: int = 1000, block_terms: int = 2_000_000) -> DataFrame:
+    """Top k documents of each query: query_id, id, score, rank. Documents without a term of the query are no results.
+
+    A first pass counts in how many documents each asked term stands. Queries then go to the tasks in blocks of at most about `block`
+    queries and `block_terms` terms; each task scores its documents where they are read and keeps its own best k of each query."""
     asked = queries.select(query_id, F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
     words = documents.select(id_, terms(F.col(text)).alias("words"))
-    size = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean_length"))
-    counted = words.select(id_, F.size("words").alias("length"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy(id_, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = counted.join(df, "term").join(F.broadcast(size))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    found = weighted.select(id_, "term", score.alias("s")).join(asked, "term").groupBy(query_id, id_).agg(F.sum("s").alias("score"))
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id_))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    n, mean_length = words.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    held = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = asked.join(held, "term").select(query_id, "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).cache()
+    many, most = weighted.agg(F.count_distinct(query_id), F.count(F.lit(1))).first()
+    blocks = max(1, -(-many // block), -(-most // block_terms))
+    item_kind, query_kind = documents.schema[id_].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    out = None
+    for part in range(blocks):
+        rows = (weighted if blocks == 1 else weighted.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == part)).collect()
+        found = words.mapInArrow(_scored(documents.sparkSession.sparkContext.broadcast(_postings(rows)), mean_length or 1.0, k, k1, b), f"q {query_kind}, i {item_kind}, score double")
+        out = found if out is None else out.unionByName(found)
+    weighted.unpersist()
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "i"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("i").alias(id_), "score", "rank")
+
+
+def _postings(rows: list) -> tuple:
+    """Queries; the place of each term; where a term's queries begin, and these as places; weights of terms."""
+    names = list(dict.fromkeys(r[0] for r in rows))
+    place, at = {q: k for k, q in enumerate(names)}, {}
+    weights = {r["term"]: r["idf"] for r in rows}
+    for term in weights:
+        at[term] = len(at)
+    order = sorted((at[r["term"]], place[r[0]]) for r in rows)
+    own = np.array([q for _, q in order], dtype=np.int64)
+    return names, at, np.searchsorted([t for t, _ in order], np.arange(len(at) + 1)), own, np.array(list(weights.values()))
+
+
+def _scored(shared, mean_length: float, k: int, k1: float, b: float):
+    """Arrow batches of (id, words) to the k best of each query in the task: q, i, score."""
+
+    def score(words: pa.ListArray) -> np.ndarray:
+        names, at, begin, own, idf = shared.value
+        lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+        coded = words.flatten().dictionary_encode()
+        known = np.array([at.get(t, -1) for t in coded.dictionary.to_pylist()], dtype=np.int64)
+        term = known[coded.indices.to_numpy()] if len(known) else known
+        row = np.repeat(np.arange(len(words)), lengths)
+        pairs, tf = np.unique((row * max(1, len(at)) + term)[term >= 0], return_counts=True)
+        row, term = pairs // max(1, len(at)), pairs % max(1, len(at))
+        s = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / mean_length))
+        n = begin[term + 1] - begin[term]
+        each = np.repeat(begin[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(np.repeat(row, n) * len(names) + own[each], weights=np.repeat(s, n), minlength=len(words) * len(names)).reshape(len(words), len(names))
+
+    def run(batches):
+        names = shared.value[0]
+        best: list[list] = [[] for _ in names]
+        least = np.zeros(len(names))
+        for batch in batches if names else ():
+            for a in range(0, batch.num_rows, 1000):
+                ids, s = batch.column(0).slice(a, 1000).to_pylist(), score(batch.column(1).slice(a, 1000))
+                rounded = np.round(s, 9)
+                floor = np.maximum(least, np.partition(rounded, -k, axis=0)[-k]) if len(ids) >= k else least
+                row, column = np.nonzero((s > 0) & (rounded >= floor))
+                for j, r in zip(column.tolist(), row.tolist(), strict=True):
+                    best[j].append((-rounded[r, j], ids[r] is not None, ids[r], s[r, j]))
+                for j in np.unique(column).tolist():
+                    best[j] = sorted(best[j], key=lambda x: x[:3])[:k]
+                    least[j] = -best[j][-1][0] if len(best[j]) == k else 0
+        rows = [(names[j], i, float(s)) for j, found in enumerate(best) for _, _, i, s in found]
+        if rows:
+            q, i, s = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["q", "i", "score"])
+
+    return run
 
 
 def nearest(items: DataFrame, id_: str, vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int = 20, block: int = 1000) -> DataFrame:

@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from spectrel.operators import documents as d
@@ -143,3 +147,29 @@ def test_token_estimate_of_every_language(spark, tmp_path):
     spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["tokens"] for r in knowledge.token_estimate_all(spark, str(tmp_path)).collect()}
     assert got == {k: len(re.findall(r"[\u3400-\u9fff]|[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)*|[^\s]", t or "")) for k, (_, t) in enumerate(texts)}
+
+
+def test_bm25_equals_brute_force(spark):
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(30)]
+    texts = [" ".join(r.choices(vocabulary, k=r.randrange(1, 40))) for _ in range(60)] + [None, "", "w1 w1 w1", "W1 w1 w1", "zzz"]
+    asked = ["w1 w2 w1", "w3", "nothing", None, "", "w1 w4 w5 w6", "zzz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "q long, text string")
+    words = {i: re.findall("[a-z0-9]+", (t or "").lower()) for i, t in enumerate(texts)}
+    n, mean = len(texts), sum(map(len, words.values())) / (len(texts) - 1)  # a null text has no length
+    want = {}
+    for q, t in enumerate(asked):
+        scores = {}
+        for term in set((t or "").split()):
+            df = sum(term in w for w in words.values())
+            for i, w in words.items():
+                if tf := w.count(term):
+                    scores[i] = scores.get(i, 0) + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / mean))
+        for rank, i in enumerate(sorted(scores, key=lambda i: (-round(scores[i], 9), i))[:6], start=1):
+            want[q, i] = (rank, scores[i])
+    for block in (1000, 2):
+        got = {(x["q"], x["id"]): (x["rank"], x["score"]) for x in d.bm25(docs.repartition(3), "id", "text", queries, "q", "text", block=block).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[key][0] == want[key][0] and math.isclose(got[key][1], want[key][1]) for key in want)
+    assert d.bm25(docs.limit(0), "id", "text", queries, "q", "text").count() == d.bm25(docs, "id", "text", queries.limit(0), "q", "text").count() == 0
