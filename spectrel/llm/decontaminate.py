@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from spectrel.llm import common
 
-#: Bytes of benchmark text that one pass of the search takes; a larger benchmark is searched in so many more blocks.
-BLOCK_BYTES = 16_000_000
+#: Bytes of benchmark text that one pass of the search takes; a larger benchmark is searched in so many more blocks. Patterns and
+#: tables in a worker take about 150 times as much.
+BLOCK_BYTES = 4_000_000
 
 
 class WordSearch:
