@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spectrel.llm import (
+    queries_collocations,
     queries_decontaminate,
     queries_fingerprints,
     queries_licenses,
@@ -28,6 +29,7 @@ QUERIES = {
         queries_fingerprints.op8_fingerprints,
         queries_neardup.op9_near_duplicates,
         queries_urlfilter.op10_url_filter,
+        queries_collocations.op13_collocations,
     )
 }
-ORACLES = {"op2_decontaminate": queries_decontaminate.SQL, "op6_warc": queries_warc.SQL}
+ORACLES = {"op2_decontaminate": queries_decontaminate.SQL, "op6_warc": queries_warc.SQL, "op13_collocations": queries_collocations.SQL}
