@@ -12,6 +12,7 @@ from spectrel.llm import (
     queries_packing,
     queries_pii,
     queries_quality,
+    queries_runs,
     queries_urlfilter,
     queries_warc,
 )
@@ -29,6 +30,7 @@ QUERIES = {
         queries_fingerprints.op8_fingerprints,
         queries_neardup.op9_near_duplicates,
         queries_urlfilter.op10_url_filter,
+        queries_runs.op11_periodic_runs,
         queries_collocations.op13_collocations,
     )
 }
