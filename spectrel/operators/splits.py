@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,3 +74,93 @@ def leaks(df: DataFrame, role: str, columns: list[str]) -> DataFrame:
 def duplicate_groups(df: DataFrame, columns: list[str], target: str, tolerance: float = 1e-9) -> DataFrame:
     """Groups of equal rows: digest, n, conflicting (their targets differ)."""
     return df.groupBy(row_digest(columns).alias("digest")).agg(F.count(F.lit(1)).alias("n"), (F.max(target) - F.min(target) > tolerance).alias("conflicting")).where("n > 1")
+
+
+def three_counts(n: int, tuning: float, test: float) -> tuple[int, int, int]:
+    """Exact counts of calibration, tuning and test rows; at least 6 rows, 3 of them for calibration."""
+    if not (0 < tuning < 1 and 0 < test < 1 and tuning + test < 1):
+        raise ValueError("tuning and test are shares, together below 1")
+    wanted = max(1, round(n * tuning)), max(1, round(n * test))
+    if n < 6 or n - sum(wanted) < 3:
+        raise ValueError(f"{n} rows are too few for these shares")
+    return n - sum(wanted), *wanted
+
+
+def dealt(counts: tuple[int, ...]) -> np.ndarray:
+    """Which part each place of an order goes to, so that the parts fill evenly: the part that is furthest behind its share is next."""
+    total, given = sum(counts), np.zeros(len(counts), dtype=int)
+    sizes, out = np.array(counts), np.zeros(total, dtype=int)
+    for place in range(total):
+        behind = np.where(given < sizes, sizes * ((place + 1) / total) - given, -np.inf)
+        out[place] = int(behind.argmax())
+        given[out[place]] += 1
+    return out
+
+
+ROLES = ("calibration", "tuning", "test")
+
+
+def joint_maximin_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """An order that spreads over spectra and target: the farthest two rows first, then always the row farthest from those taken.
+
+    Distance: the spectra's (each position in units of its spread) plus the target's, each as a share of its largest. Ties: the
+    first row. Distances come by blocks of rows, so that memory stays at a few rows' worth beside the square of them."""
+    n = len(y)
+    spread = x.std(axis=0)
+    z = (x - x.mean(axis=0)) / np.where(spread < 1e-12, 1.0, spread)
+    apart = np.empty((n, n))
+    for a in range(0, n, 64):
+        apart[a : a + 64] = np.sqrt(((z[a : a + 64, None] - z[None]) ** 2).sum(axis=2))
+    target = np.abs(y[:, None] - y[None])
+    joint = apart / (apart.max() or 1.0) + target / (target.max() or 1.0)
+    np.fill_diagonal(joint, -np.inf)
+    first, second = divmod(int(joint.argmax()), n) if n > 1 else (0, 0)
+    order, nearest = [first, second][: min(n, 2)], np.minimum(joint[first], joint[second])
+    while len(order) < n:
+        nearest[order] = -np.inf
+        order.append(int(nearest.argmax()))
+        nearest = np.minimum(nearest, joint[order[-1]])
+    return np.array(order[:n])
+
+
+def spxy(df: DataFrame, group: str, id_: str, x: str, y: str, tuning: float = 0.2, test: float = 0.2, most: int = 500, beyond: str = "refuse", seed: int = 42) -> DataFrame:
+    """Adds role (calibration, tuning, test) by the joint maximin order within each group, rows in order of id.
+
+    Distances grow with the square of a group, so groups of more than `most` rows are refused (ValueError), or with
+    beyond="target_stratified" dealt, all together, along their sorted target in shuffled blocks of 20, without distances. Groups of
+    too few rows for three parts are refused as well. Groups are counted before any row is shuffled.
+    """
+    if beyond not in ("refuse", "target_stratified"):
+        raise ValueError("beyond is refuse or target_stratified")
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    least = next(n for n in range(6, 1_000_000) if _fits(n, tuning, test))
+    few, many = sizes.agg(F.min("__n"), F.max("__n")).first()
+    if few is not None and few < least:
+        raise ValueError(f"a group has {few} rows, at least {least} are needed")
+    if many is not None and many > most and beyond == "refuse":
+        raise ValueError(f"a group has {many} rows; more than {most} are not split by distances")
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, role string"
+
+    def split(rows):
+        rows = rows.sort_values(id_, kind="stable")
+        order = joint_maximin_order(np.stack(rows[x].to_numpy()).astype(float), rows[y].to_numpy(dtype=float))
+        part = np.empty(len(rows), dtype=int)
+        part[order] = dealt(three_counts(len(rows), tuning, test))
+        return rows.assign(role=np.array(ROLES)[part])
+
+    if many is None or many <= most:
+        return df.groupBy(group).applyInPandas(split, schema)
+    counted = df.join(sizes, [group]) if not df.schema[group].nullable else df.join(sizes.withColumnRenamed(group, "__group"), F.col(group).eqNullSafe(F.col("__group"))).drop("__group")
+    small = counted.where(F.col("__n") <= most).drop("__n").select(*df.columns).groupBy(group).applyInPandas(split, schema)
+    block = [*np.array(ROLES)[dealt(three_counts(20, tuning, test))]]
+    large = target_stratified(counted.where(F.col("__n") > most).drop("__n").select(*df.columns), id_, y, block, 20, seed)
+    return small.unionByName(large)
+
+
+def _fits(n: int, tuning: float, test: float) -> bool:
+    try:
+        return bool(three_counts(n, tuning, test))
+    except ValueError as e:
+        if "shares, together" in str(e):
+            raise
+        return False
