@@ -15,6 +15,7 @@ from spectrel.llm import (
     queries_runs,
     queries_urlfilter,
     queries_warc,
+    queries_wrappers,
 )
 
 QUERIES = {
@@ -31,7 +32,8 @@ QUERIES = {
         queries_neardup.op9_near_duplicates,
         queries_urlfilter.op10_url_filter,
         queries_runs.op11_periodic_runs,
+        queries_wrappers.op12_html_extraction,
         queries_collocations.op13_collocations,
     )
 }
-ORACLES = {"op2_decontaminate": queries_decontaminate.SQL, "op6_warc": queries_warc.SQL, "op13_collocations": queries_collocations.SQL}
+ORACLES = {"op2_decontaminate": queries_decontaminate.SQL, "op6_warc": queries_warc.SQL, "op12_html_extraction": queries_wrappers.SQL, "op13_collocations": queries_collocations.SQL}
