@@ -5,10 +5,11 @@ graph are word runs one shorter than the longest phrase, its edges are the longe
 through nodes with one edge in, one edge out and nothing that starts or ends there are compacted into one row. Counts of shorter
 phrases follow from the graph: a phrase occurs as often as its extensions by one word, plus the pieces that end with it.
 
-A phrase that occurs `least` times has only words and pairs that do so too. Words, then pairs, are counted first, and every piece is
-cut where a rarer pair stands; a cut counts as an end of a piece, so no count of a frequent phrase changes. Which pairs are frequent
-is kept in a bit map by hashes: two pairs that share a bit only spare a cut. All counts that are returned are of texts, not hashes;
-within a task's batch of texts, words are told apart by 64-bit hashes.
+A phrase that occurs `least` times has only parts that do so too. So words, then pairs, then all phrases up to one word less than the
+longest are counted first, each over what the shorter ones leave, and where a phrase cannot be extended by one of the frequent
+ones, that counts as an end of its piece: no count of a frequent phrase changes. Which phrases are frequent is kept in bit maps by
+hashes; two that share a bit only make the graph larger. All counts that are returned are of texts, not hashes; within a task, words
+and phrases are told apart by 64-bit hashes.
 
 Null text is empty; null lang is `und`. Repeated rows count as often as they stand there. Texts without words, and empty tables,
 give no phrase. Other columns are not looked at.
@@ -61,11 +62,25 @@ class Words:
         self.follows = np.zeros(len(self.key), dtype=bool)
         self.follows[1:] = (piece[1:] == piece[:-1]) & (self.text[1:] == self.text[:-1])
 
-    def pairs(self) -> np.ndarray:
-        """The key of each word together with the word before."""
-        out = np.zeros(len(self.key), dtype=np.uint64)
-        out[1:] = common.mix(common.mix(self.key[:-1]) + self.key[1:])
-        return out
+    def levels(self, known: dict, longest: int):
+        """For k from 1: k, the places at which phrases of k words may be frequent, and the keys of all places' k words. A phrase may be if
+        both its parts of a word less may, and the map of its length in `known` (if there is one) says so."""
+        gram, reach = self.key, np.ones(len(self.key), dtype=bool)
+        for k in range(1, longest + 1):
+            if k > 1:
+                n = len(self.key) - k + 1
+                if n <= 0:
+                    return
+                gram = common.mix(common.mix(gram[:n]) + self.key[k - 1 :])
+                reach = reach[:n] & reach[1 : n + 1]
+                if k == 2:
+                    reach &= self.follows[1:]
+            at = np.flatnonzero(reach)
+            if k in known:
+                at = at[known[k].has(common.mix(gram[at] + np.uint64(k)))]
+                reach = np.zeros(len(reach), dtype=bool)
+                reach[at] = True
+            yield k, at, gram
 
     def phrase(self, i: int, k: int) -> str:
         found = b" ".join(self.joined[a : a + n] for a, n in zip(self.starts[i : i + k].tolist(), self.sizes[i : i + k].tolist(), strict=True))
@@ -126,6 +141,10 @@ class Bits:
         return out
 
 
+def _opened(maps: dict) -> dict:
+    return {k: Bits(*m) for k, m in maps.items()}
+
+
 def _frequent(counted: DataFrame, least: int, name: str) -> tuple[str, int]:
     """The folder and the bits of a map of the keys counted at least `least` times."""
     spark = counted.sparkSession
@@ -134,7 +153,7 @@ def _frequent(counted: DataFrame, least: int, name: str) -> tuple[str, int]:
     folder = common.new_folder(spark, f"collocations-{name}")
     width = 1 << min(bits, FILE_BITS)
 
-    def save(table: pa.Table) -> pa.Table:
+    def save(table):
         place = table["key"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)
         part = int(place[0]) >> FILE_BITS
         out = np.zeros(width, dtype=bool)
@@ -152,60 +171,68 @@ def graph(documents: DataFrame, least: int = 100, longest: int = 5) -> DataFrame
     phrases of k words; for k = 0 all words. Only what phrases with `least` occurrences need."""
     docs = documents.select("lang", common.octets())
 
-    def words(batches):
-        tally = _Tally()
-        for found in _batches(batches):
-            yield from tally.add(found.key)
-        yield from tally.rows()
+    maps: dict[int, tuple[str, int]] = {}
 
-    single = _frequent(docs.mapInArrow(words, "key long, n long"), least, "words")
+    def tally(levels):
+        def count(batches):
+            held, known = _Tally(), _opened(maps)
+            for found in _batches(batches):
+                for k, at, gram in found.levels(known, max(levels)):
+                    if k in levels:
+                        yield from held.add(common.mix(gram[at] + np.uint64(k)))
+            yield from held.rows()
 
-    def pairs(batches):
-        tally, often = _Tally(), Bits(*single)
-        for found in _batches(batches):
-            is_often = often.has(found.key)
-            yield from tally.add(found.pairs()[1:][found.follows[1:] & is_often[1:] & is_often[:-1]])
-        yield from tally.rows()
+        return docs.mapInArrow(count, "key long, n long")
 
-    double = _frequent(docs.mapInArrow(pairs, "key long, n long"), least, "pairs")
+    for levels in ([1], [2], list(range(3, longest))):
+        if levels and max(levels) < longest:
+            maps |= dict.fromkeys(levels, _frequent(tally(levels), least, str(levels[0])))
 
     def grams(batches):
-        often, often2 = Bits(*single), Bits(*double)
-        held: dict[tuple[str, int, str], int] = {}
+        held, known = _Phrases(), _opened(maps)
         for found in _batches(batches):
-            for lang, n in zip(found.langs, np.bincount(found.text, minlength=len(found.langs)).tolist(), strict=True):
-                held[lang, 0, ""] = held.get((lang, 0, ""), 0) + n
-            is_often = often.has(found.key)
-            joins = np.zeros(len(is_often) + 1, dtype=bool)  # word i goes on from word i - 1
-            inner = np.flatnonzero(found.follows[1:] & is_often[1:] & is_often[:-1]) + 1
-            joins[inner] = often2.has(found.pairs()[inner])
-            reach = is_often  # k words in a row from here
-            gram = found.key
-            for k in range(1, longest + 1):
-                if k > 1:
-                    n = len(found.key) - k + 1
-                    if n <= 0:
-                        break
-                    reach = reach[:n] & joins[k - 1 : k - 1 + n]
-                    gram = common.mix(common.mix(gram[:n]) + found.key[k - 1 :])
-                # an edge wherever it fits; a shorter run of words only where no further word follows
-                at = np.flatnonzero(reach if k == longest else reach & ~joins[k : k + len(reach)])
-                _, first, n = np.unique(gram[at], return_index=True, return_counts=True)
-                for i, c in zip(at[first].tolist(), n.tolist(), strict=True):
-                    key = (found.langs[found.text[i]], k, found.phrase(i, k))
-                    held[key] = held.get(key, 0) + c
-            if len(held) > HELD // 8:
-                yield _rows(held)
-                held = {}
-        if held:
-            yield _rows(held)
+            words = np.bincount(found.text, minlength=len(found.langs))
+            held.add(np.array([_seed(x) for x in found.langs], dtype=np.uint64), words, lambda i, found=found: (found.langs[i], 0, ""))
+            levels = list(found.levels(known, longest))
+            for (k, at, gram), longer in zip(levels, [x[1] for x in levels[1:]] + [None], strict=True):
+                # an edge wherever it is; a shorter phrase only where it isn't the start of the next longer
+                at = np.setdiff1d(at, longer, assume_unique=True) if longer is not None else at
+                held.add(common.mix(gram[at] + np.uint64(k)), np.ones(len(at), dtype=np.int64), lambda i, found=found, at=at, k=k: (found.langs[found.text[at[i]]], k, found.phrase(int(at[i]), k)))
+            if len(held.keys) > HELD // 4:
+                yield held.rows()
+                held = _Phrases()
+        if len(held.keys):
+            yield held.rows()
 
     return docs.mapInArrow(grams, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _rows(held: dict) -> pa.RecordBatch:
-    langs, ks, phrases = zip(*held, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ks, pa.int32()), pa.array(phrases, pa.string()), pa.array(held.values(), pa.int64())], names=["lang", "k", "phrase", "n"])
+class _Phrases:
+    """Counts by 64-bit keys, with one (lang, k, phrase) for each, asked for when the key is new."""
+
+    def __init__(self):
+        self.keys, self.counts, self.place, self.names = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, name) -> None:
+        keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        counts = np.bincount(at, counts, minlength=len(keys)).astype(np.int64)
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), dtype=bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        self.counts[place[known]] += counts[known]
+        if not known.all():
+            fresh = ~known
+            names = [name(i) for i in first[fresh].tolist()]
+            self.keys, self.counts = np.insert(self.keys, place[fresh], keys[fresh]), np.insert(self.counts, place[fresh], counts[fresh])
+            self.place = np.insert(self.place, place[fresh], len(self.names) + np.arange(len(names)))
+            self.names += names
+
+    def rows(self) -> pa.RecordBatch:
+        langs, ks, phrases = zip(*self.names, strict=True)
+        counts = np.zeros(len(self.names), dtype=np.int64)
+        counts[self.place] = self.counts
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ks, pa.int32()), pa.array(phrases, pa.string()), pa.array(counts)], names=["lang", "k", "phrase", "n"])
 
 
 def compacted(found: DataFrame, longest: int = 5) -> DataFrame:
