@@ -46,6 +46,7 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 PLAIN = {"div", "section", "x", "center", "table"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 KNOWN = VOID | INLINE | RAW | CLOSES_P | set("html head body li dt dd tr td th tbody thead tfoot caption colgroup button label legend option optgroup summary output picture".split())
+_READ = dict.fromkeys(RAW, "raw") | dict.fromkeys(INLINE | {"br", "img", "wbr", "source", "track", "embed", "area"}, "inline")
 #: Elements and parts of names (class, id, role) that hold no main text.
 LEFT_OUT = set("nav aside footer form button menu dialog head label legend search".split())
 LEFT_OUT_NAMES = set(
@@ -55,8 +56,13 @@ LEFT_OUT_NAMES = set(
 )
 HEAD_NAMES = {"header", "banner", "masthead"}
 
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
+_TOKEN = re.compile(
+    r"<(?:!--(?:.*?-->|.*)|[!?](?:[^>]*>|.*)"  # comments and declarations, or what is left of one
+    r"|(/?)([A-Za-z][^\s/>]*)([^>\"']*+(?:\"[^\"]*\"[^>\"']*+|'[^']*'[^>\"']*+)*+)>"  # a tag
+    r"|(/?)([A-Za-z][^\s/>]*)([^>]*)>)",  # a tag with an open quote
+    re.S,
+)
+_ENDS = {name: re.compile(f"</{name}(?:[\\s/][^>]*)?>", re.I) for name in RAW}
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|=)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -82,95 +88,99 @@ def _label(name: str, attributes: str) -> str:
     return ".".join([known, *sorted(first), *(["hidden"] if _HIDDEN.search(attributes) and "hidden" not in first else [])])
 
 
-def parsed(page: str) -> Node:
-    """The tree of a page's blocks."""
+def parsed(page: str, plain: bool = True) -> Node:
+    """The tree of a page's blocks. plain: texts as text; else as they stand in the page, which is enough to tell them apart."""
     root = Node("#root", "#root")
     stack, buffer, place, size = [root], [], 0, len(page)
     links = linked = 0  # in a link?; characters of the buffer in links
 
     def flush():
         nonlocal linked
-        if buffer:
-            text = " ".join(html_entities.unescape("".join(buffer)).split())
-            if text:
-                stack[-1].children.append([text, min(linked, len(text))])
-            buffer.clear()
+        text = "".join(buffer)
+        if plain:
+            text = " ".join((html_entities.unescape(text) if "&" in text else text).split())
+        else:
+            text = text.strip()
+        if text:
+            stack[-1].children.append([text, min(linked, len(text))])
+        buffer.clear()
         linked = 0
 
-    def close(names: set[str], scope: set[str]):
+    def close(names, scope):
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                flush()
+            name = stack[k].name
+            if name in names:
+                if buffer:
+                    flush()
                 del stack[k:]
                 return
-            if stack[k].name in scope:
+            if name in scope:
                 return
 
-    def add(text: str):
-        nonlocal linked
-        buffer.append(text)
-        linked += len(text) if links else 0
-
+    search = _TOKEN.search
     while place < size:
-        at = page.find("<", place)
-        if at < 0:
-            add(page[place:])
-            break
+        found = search(page, place)
+        at = found.start() if found else size
         if at > place:
-            add(page[place:at])
-        if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
-            place = size if end < 0 else end + 3
-            continue
-        if page.startswith(("<!", "<?"), at):
-            end = page.find(">", at)
-            place = size if end < 0 else end + 1
-            continue
-        found = _TAG.match(page, at) or _LOOSE.match(page, at)
+            buffer.append(page[place:at])
+            if links:
+                linked += at - place
         if not found:
-            add("<")
-            place = at + 1
-            continue
+            break
         place = found.end()
-        closing, name, attributes = found[1], found[2].lower(), found[3]
-        if name in RAW:
-            if not closing and not attributes.endswith("/"):
-                end = re.compile(f"</{name}[\\s/>]", re.I).search(page, place)
-                gone = page.find(">", end.start()) if end else -1
-                place = size if gone < 0 else gone + 1
-            if name not in ("noscript", "svg", "math"):
-                flush()
-            continue
-        if name == "br":
-            buffer.append(" ")
-            continue
-        if name in INLINE:
-            if name == "a":
+        closing, name, attributes = found.group(1, 2, 3)
+        if name is None:
+            closing, name, attributes = found.group(4, 5, 6)
+            if name is None:
+                continue
+        name = name.lower()
+        kind = _READ.get(name, "block")
+        if kind == "inline":
+            if name == "br":
+                buffer.append(" ")
+            elif name == "a":
                 links = 0 if closing else 1
             # an inline element whose name says so is taken out like a block
-            if not closing and name not in VOID and attributes and not attributes.isspace() and _left_out(label := _label(name, attributes), True):
-                flush()
+            if closing:
+                if len(stack) > 1 and any(n.name == name for n in stack[1:]):
+                    close({name}, CLOSES_P)
+            elif attributes and name not in VOID and not attributes.isspace() and _left_out(label := _label(name, attributes), True):
+                if buffer:
+                    flush()
                 stack.append(Node(name, label))
                 stack[-2].children.append(stack[-1])
-            elif closing and any(n.name == name for n in stack[1:]):
-                close({name}, CLOSES_P)
             continue
-        flush()
+        if kind == "raw":
+            if not closing and not attributes.endswith("/"):
+                end = _ENDS[name].search(page, place)
+                place = end.end() if end else size
+            if buffer and name not in ("noscript", "svg", "math"):
+                flush()
+            continue
+        if buffer:
+            flush()
         if closing:
-            close({name}, set())
+            if stack[-1].name == name and len(stack) > 1:
+                stack.pop()
+            else:
+                close({name}, ())
             continue
         if name in CLOSES_P:
-            close({"p"}, SCOPES["p"])
+            if stack[-1].name == "p":
+                stack.pop()
+            else:
+                close({"p"}, SCOPES["p"])
             links = 0
         if name in SIBLINGS:
-            close(SIBLINGS[name], SCOPES.get(name, set()))
+            close(SIBLINGS[name], SCOPES.get(name, ()))
         if name in VOID:
             continue
         node = Node(name, _label(name, attributes))
         stack[-1].children.append(node)
         if len(stack) <= DEPTH:
             stack.append(node)
-    flush()
+    if buffer:
+        flush()
     return root
 
 
@@ -278,6 +288,10 @@ def _learn(entries: list, name: str) -> list:
             inside = _learn(found[0], name)
             for more in found[1:]:
                 inside = align(inside, _learn(more, name))
+        elif all(len(n.children) == 1 and not isinstance(n.children[0], Node) for n in found):
+            texts = [n.children[0] for n in found]
+            same = all(t[0] == texts[0][0] for t in texts)
+            inside = [["#", False, False, [_digest(texts[0][0]) if same else None, len(texts), sum(len(t[0]) for t in texts), sum(t[1] for t in texts), found[0].name]]]
         else:
             inside = learn(found[0])
             for more in found[1:]:
@@ -321,6 +335,8 @@ def align(a: list, b: list) -> list:
     if any(x[0] == "*" for x in (*a, *b)):
         return _starred(a + b)
     first, second = [x[0] for x in a], [x[0] for x in b]
+    if first == second:
+        return [[x[0], x[1] or y[1], x[2] or y[2], _merged(x[0], x[3], y[3])] for x, y in zip(a, b, strict=True)]
     gather = lambda items, labels, other: [[g, False, False, items[i:j]] if g else items[i] for i, j, g in _regrouped(labels, other)]
     a, b = gather(a, first, second), gather(b, second, first)
     out = []
@@ -479,7 +495,7 @@ def fit(pages: DataFrame) -> DataFrame:
         base, sent = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, 0
         for batch in batches:
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = learn(parsed(page or ""))
+                found = learn(parsed(page or "", False))
                 before = held.get(name)
                 held[name] = (align(before[0], found), before[1] + 1) if before else (found, 1)
             if len(held) > HELD_HOSTS:
