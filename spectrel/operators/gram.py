@@ -172,7 +172,7 @@ def monitoring_reference(df: DataFrame, x: str, explained: float = 0.99, most: i
     k = max(1, min(k, most, g.n - 1, len(values)))
     reference = {"mean": g.mean, "components": vectors[:, :k].T, "inverse": np.diag([1 / v if v > 1e-15 * total else 0.0 for v in values[:k] / (g.n - 1)])}
     both = F.array(F.struct(F.lit("q").alias("k"), F.col("q").alias("v")), F.struct(F.lit("t2").alias("k"), F.col("t2").alias("v")))
-    found = quantiles(scored(df, x, reference).select(F.explode(both).alias("s")).select("s.*"), "k", "v", [quantile])
+    found = quantiles(scored(df, x, reference).select(F.explode(both).alias("s")).select("s.*"), "k", "v", [quantile], hold=True)
     limits = {k: v[0] for k, v in found.items()}
     eps = float(np.finfo(float).eps)
     return reference | {"t2_limit": max(limits["t2"], eps), "q_limit": max(limits["q"], eps)}

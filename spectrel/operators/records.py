@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectrel.operators.tabular import typed_match
+from spectrel.operators.tabular import cut, typed_match
 
 # --- threads, runs, events --------------------------------------------------------------------------------------------------------
 
@@ -57,26 +58,65 @@ def follows(actions: DataFrame, thread: str, order: str, action: str, first: str
 # --- catalogs ---------------------------------------------------------------------------------------------------------------------
 
 
-def registered(catalog: DataFrame, records: DataFrame) -> DataFrame:
-    """What registering each record does, all against the catalog as it stands. catalog: doc_id, content_sha256, version; records: doc_id,
-    content_sha256. Adds action and version: unchanged or duplicate if the content is there already (under this id, or another's
-    version), updated with the next version if the id is, else created with version 1."""
-    same = catalog.groupBy("content_sha256").agg(F.min_by(F.struct("doc_id", "version"), "doc_id").alias("__same"), F.collect_set("doc_id").alias("__ids"))
-    known = catalog.groupBy("doc_id").agg(F.max("version").alias("__version"))
-    joined = records.join(same, "content_sha256", "left").join(known, "doc_id", "left")
-    own = F.array_contains("__ids", F.col("doc_id"))
-    action = F.when(own, "unchanged").when(F.col("__same").isNotNull(), "duplicate").when(F.col("__version").isNotNull(), "updated").otherwise("created")
-    version = F.when(own, F.col("__version")).when(F.col("__same").isNotNull(), F.col("__same.version")).otherwise(F.coalesce("__version", F.lit(0)) + 1)
-    return joined.withColumns({"action": action, "version": version}).drop("__same", "__ids", "__version")
+def registered(catalog: DataFrame, records: DataFrame, order: str) -> DataFrame:
+    """What registering the records one after another does. catalog: doc_id, content_sha256, version; records: doc_id, content_sha256
+    and a column of unique order. Adds action and version:
+
+    unchanged or duplicate, with the holder's version, if the content is held when the record comes (by its own id, or by another);
+    else the id takes the content, as updated with the next version if the id is known, as created with version 1 if not. The content
+    that an updated id held before is free from then on. Where ids of the catalog share a content, the smallest counts as its holder.
+
+    Which records take their content depends on those before them. Each round takes the answers of the last, derives from them when
+    each content was held, and asks every record again; a round settles all whose predecessors are settled. Records meet the few spans
+    of time in which their content was held by a join, so a content of many records is split like any skewed join.
+    """
+    now = F.col(order)
+    given = catalog.select("doc_id", "content_sha256", F.col("version").cast("long").alias("version"), F.lit(None).cast(records.schema[order].dataType).alias("__at"))
+    asked = records.select("doc_id", "content_sha256", now.alias("__at"))
+    holder = given.groupBy("content_sha256").agg(F.min("doc_id").alias("__holder"))
+    known = given.select("content_sha256").distinct()
+    first = asked.groupBy("content_sha256").agg(F.min_by(F.struct("doc_id", "__at"), "__at").alias("f")).select("content_sha256", "f.*")
+    taken = cut(first.join(known, "content_sha256", "left_anti").select("doc_id", "content_sha256", "__at"))
+    by_id = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("__at"))
+    while True:
+        stores = given.unionByName(taken.withColumn("version", F.lit(None).cast("long")))
+        base = F.max("version").over(Window.partitionBy("doc_id"))
+        stores = stores.withColumns({"version": F.coalesce("version", F.coalesce(base, F.lit(0)) + F.row_number().over(by_id) - F.when(base.isNull(), 0).otherwise(1)), "__until": F.lead("__at").over(by_id)})
+        spans = stores.join(holder, "content_sha256", "left").where(F.col("__at").isNotNull() | (F.col("doc_id") == F.col("__holder")))
+        spans = spans.select("content_sha256", F.col("doc_id").alias("__by"), F.col("version").alias("__version"), F.col("__at").alias("__from"), "__until")
+        own = stores.where("__at IS NULL").select("content_sha256", "doc_id", F.col("version").alias("__own"), F.col("__until").alias("__own_until"))
+        held = (F.col("__from").isNull() | (F.col("__from") < F.col("__at"))) & (F.col("__until").isNull() | (F.col("__until") >= F.col("__at")))
+        met = asked.join(spans, "content_sha256").where(held).select("__at", "__by", "__version")
+        own = asked.join(own, ["content_sha256", "doc_id"]).where(F.col("__own_until").isNull() | (F.col("__own_until") >= F.col("__at"))).select("__at", "__own")
+        state = asked.join(met, "__at", "left").join(own, "__at", "left")
+        free = cut(state.where("__by IS NULL AND __own IS NULL").select("doc_id", "content_sha256", "__at"))
+        if free.join(taken, "__at", "left_anti").isEmpty() and taken.join(free, "__at", "left_anti").isEmpty():
+            break
+        taken = free
+    version = stores.where("__at IS NOT NULL").select("__at", F.col("version").alias("__new"))
+    state = state.join(version, "__at", "left").select(
+        F.col("__at").alias(order),
+        F.when(F.col("__own").isNotNull() | (F.col("__by") == F.col("doc_id")), "unchanged").when(F.col("__by").isNotNull(), "duplicate").when(F.col("__new") > 1, "updated").otherwise("created").alias("action"),
+        F.coalesce("__own", "__version", "__new").alias("version"),
+    )
+    return records.join(state, order)
+
+
+def blank(text: Column) -> Column:
+    """Null, or nothing but white space of any script."""
+    return ~F.coalesce(text, F.lit("")).rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def readiness(records: DataFrame, doi_types: list[str]) -> DataFrame:
-    """Adds missing_fields (of title, authors, year, source), ready and doi_status to records with these columns, doi and source_type."""
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    none = {"title": blank("title"), "authors": F.coalesce(F.size("authors"), F.lit(0)) <= 0, "year": F.col("year").isNull(), "source": blank("source")}
+    """Adds missing_fields (of title, authors, year, source), warnings, ready, doi_status and message to records with these columns, doi
+    and source_type. A document of `doi_types` without a doi is ready, with the warning doi_missing."""
+    none = {"title": blank(F.col("title")), "authors": F.coalesce(F.size("authors"), F.lit(0)) <= 0, "year": F.col("year").isNull(), "source": blank(F.col("source"))}
     missing = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in none.items())))
-    doi = F.when(~blank("doi"), "valid").when(F.lower("source_type").isin(doi_types), "missing").otherwise("not_applicable")
-    return records.withColumns({"missing_fields": missing, "ready": F.size(missing) == 0, "doi_status": doi})
+    expected, has_doi = F.coalesce(F.lower("source_type").isin(doi_types), F.lit(False)), F.coalesce(F.col("doi") != "", F.lit(False))
+    doi = F.when(has_doi, "valid").when(expected, "missing").otherwise("not_applicable")
+    warnings = F.when(expected & ~has_doi, F.array(F.lit("doi_missing"))).otherwise(F.array().cast("array<string>"))
+    message = F.when(F.size("missing_fields") > 0, F.concat(F.lit("publication requires: "), F.array_join("missing_fields", ", "))).when(F.size("warnings") > 0, "ready for publication with warning: DOI is missing").otherwise("ready for publication")
+    return records.withColumns({"missing_fields": missing, "warnings": warnings, "ready": F.size(missing) == 0, "doi_status": doi}).withColumn("message", message)
 
 
 def newest_versions(models: DataFrame, id_: str, version: str) -> DataFrame:
@@ -126,41 +166,73 @@ def categorical_profiles(df: DataFrame, columns: list[str], most: int = 20, top:
     return kept.select("column", "value", "n", "n_unique", (F.col("n_unique") > top).alias("truncated"))
 
 
+#: Names of columns that number the rows, whole and in part.
+ROW_IDS, ROW_ID_PARTS = ("id", "index", "序号"), ("sampleid", "recordid", "样本编号", "样本id")
+
+
 def group_candidates(df: DataFrame, scores: dict[str, int], target: str | None = None) -> DataFrame:
     """Columns that may name groups: those whose name holds a key of `scores` (the highest score counts) and is no row id. Eligible with at
     most a fifth missing and 5 to max(5, min(100, a quarter of the rows)) groups; the best first by `place`."""
-    plain = {c: re.sub(r"[^a-z0-9\u4e00-\u9fff]", "", c.lower()) for c in df.columns if c != target}
-    named = {c: max((s for key, s in scores.items() if key in p), default=None) for c, p in plain.items() if p not in ("id", "index") and "sampleid" not in p and "recordid" not in p}
+    plain = {c: "".join(x.lower() for x in c if x.isalnum()) for c in df.columns if c != target}
+    named = {c: max((s for key, s in scores.items() if key in p), default=None) for c, p in plain.items() if p not in ROW_IDS and not any(part in p for part in ROW_ID_PARTS)}
     named = {c: s for c, s in named.items() if s is not None}
     score = F.element_at(F.create_map(*(F.lit(x) for pair in named.items() for x in pair)), F.col("column"))
     found = column_counts(df, list(named)).withColumn("score", score)
     most = F.greatest(F.lit(5), F.least(F.lit(100), F.bround(F.col("rows") * 0.25).cast("long")))
-    eligible = (1 - F.col("present") / F.col("rows") <= 0.2) & F.col("distinct").between(5, most)
+    missing = 1 - F.col("present") / F.col("rows")
+    eligible = (missing <= 0.2) & F.col("distinct").between(5, most)
     order = Window.orderBy(F.desc("eligible"), F.desc("score"), "distinct", "column")  # a row for each column
-    return found.withColumn("eligible", eligible).withColumn("place", F.row_number().over(order)).select("column", "score", F.col("distinct").alias("n_groups"), "eligible", "place")
+    return found.withColumn("eligible", eligible).withColumn("place", F.row_number().over(order)).select("column", "score", F.col("distinct").alias("n_groups"), missing.alias("missing_fraction"), "eligible", "place")
 
 
-def dataset_checks(df: DataFrame, x: str, y: str, least: int = 6) -> DataFrame:
-    """Findings over a calibration set in one pass: code, severity, n."""
+def dataset_checks(df: DataFrame, x: str, y: str, least: int = 6, axis: list[float] | None = None) -> DataFrame:
+    """Findings over a calibration set: code, severity, n (rows, values, positions or groups that the code is about).
+
+    Numbers are looked at in one pass; constant positions (range up to 1e-12) and groups of equal spectra in one more each, if all are
+    finite. Groups whose targets differ are an error, others a warning. Rows of several widths are the finding ragged_rows, and then
+    neither positions nor groups are looked at."""
     v, bad = F.col(x).cast("array<double>"), lambda a: a.isNull() | F.isnan(a) | (F.abs(a) == float("inf"))
-    stats = df.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.exists(v, bad)).alias("bad_x"), F.count_if(F.col(y).isNull() | F.isnan(F.col(y).cast("double"))).alias("bad_y"),
-        F.count_distinct(y).alias("levels"), (F.count_distinct(F.size(v)) - 1).alias("widths"),
-    )
-    finding = lambda code, severity, n, test: F.when(test, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), n.cast("long").alias("n")))
-    c = F.col
-    rows = F.array_compact(F.array(
-        finding("too_few_samples", "error", c("rows"), c("rows") < least), finding("non_finite_x", "error", c("bad_x"), c("bad_x") > 0),
-        finding("non_finite_y", "error", c("bad_y"), c("bad_y") > 0), finding("constant_target", "error", c("levels"), c("levels") <= 1),
-        finding("ragged_rows", "error", c("widths"), c("widths") > 0),
-    ))
-    return stats.select(F.explode(rows).alias("f")).select("f.code", "f.severity", "f.n")
-
-
-def dead_positions(df: DataFrame, x: str) -> DataFrame:
-    """Positions whose value is the same in every row."""
+    t = F.col(y).cast("double")
+    rows = df.select(v.alias("v"), t.alias("t"))
+    one = rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.coalesce(F.size(F.filter("v", bad)), F.lit(1)).cast("long")), F.lit(0)).alias("bad_x"), F.count_if(bad(F.col("t"))).alias("bad_y"),
+        (F.max("t") - F.min("t")).alias("range"), F.max(F.size("v")).alias("width"), F.min(F.size("v")).alias("least_width"),
+    ).first()
+    n, width = one["rows"], one["width"] or 0
+    ragged = n > 0 and one["width"] != one["least_width"]
+    found = [("insufficient_samples", "error", n, n < least), ("insufficient_wavelengths", "error", width, width < 2), ("ragged_rows", "error", 1, ragged)]
+    found += [("nonfinite_spectra", "error", one["bad_x"], one["bad_x"] > 0), ("nonfinite_targets", "error", one["bad_y"], one["bad_y"] > 0)]
+    found.append(("constant_targets", "error", 1, not one["bad_y"] and (one["range"] or 0.0) <= 1e-12))
+    if n and not one["bad_x"] and not ragged:
+        dead = dead_positions(df, x, 1e-12).count()
+        found.append(("constant_wavelength_columns", "warning", dead, dead > 0))
+        if not one["bad_y"]:
+            same = rows.groupBy(F.sha2(F.to_json("v"), 256).alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("low"), F.max("t").alias("high")).where("n > 1")
+            differs = F.col("high") - F.col("low") > 1e-10 + 1e-7 * F.abs("low")
+            groups = same.agg(F.count_if(differs).alias("conflicting"), F.count_if(~differs).alias("consistent")).first()
+            found += [("conflicting_duplicate_spectra", "error", groups["conflicting"], groups["conflicting"] > 0), ("duplicate_spectra", "warning", groups["consistent"], groups["consistent"] > 0)]
+    if axis is not None:
+        found += _axis_findings(axis, width)
+    kept = [(code, severity, int(k)) for code, severity, k, holds in found if holds]
+    return df.sparkSession.createDataFrame(kept, "code string, severity string, n long")
+
+
+def _axis_findings(axis: list[float], width: int) -> list[tuple]:
+    steps = [b - a for a, b in zip(axis, axis[1:], strict=False)]
+    wrong = sum(not math.isfinite(a) for a in axis)
+    if len(axis) != width:
+        return [("wavelength_length_mismatch", "error", len(axis), True)]
+    if wrong:
+        return [("nonfinite_wavelengths", "error", wrong, True)]
+    if 0 in steps:
+        return [("duplicate_wavelengths", "error", steps.count(0), True)]
+    return [("nonmonotonic_wavelengths", "error", 1, any(s < 0 for s in steps) and any(s > 0 for s in steps))]
+
+
+def dead_positions(df: DataFrame, x: str, within: float = 0.0) -> DataFrame:
+    """Positions whose values differ by at most `within` over all rows."""
     cells = df.select(F.posexplode(F.col(x).cast("array<double>")).alias("pos", "v"))
-    return cells.groupBy("pos").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low = high").select("pos", F.col("low").alias("value"))
+    return cells.groupBy("pos").agg(F.min("v").alias("low"), F.max("v").alias("high")).where(F.col("high") - F.col("low") <= within).select("pos", F.col("low").alias("value"))
 
 
 def by_column(df: DataFrame, column: str, roles: dict[str, str]) -> DataFrame:
@@ -231,4 +303,4 @@ def guarded(text: Column, tags: list[str]) -> Column:
     inner = F.when(F.length(inner) >= len(END), F.left(inner, F.length(inner) - len(END))).otherwise("")
     wrapped = escaped.startswith(BEGIN) & escaped.endswith(END) & (F.length(escaped) >= len(BEGIN) + len(END))
     whole = F.when(wrapped, F.concat(F.lit(BEGIN), harmless(inner), F.lit(END))).otherwise(F.concat(F.lit(BEGIN + "\n"), harmless(escaped), F.lit("\n" + END)))
-    return F.when(F.trim(text) == "", text).otherwise(whole)
+    return F.when(blank(text), text).otherwise(whole)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -106,51 +108,102 @@ def has_more(df: DataFrame, order: list, limit: int) -> DataFrame:
     return page.withColumns({"position": position, "has_more": total > limit}).where(F.col("position") <= limit)
 
 
-def range_bounds(df: DataFrame, order: list[str], parts: int) -> list:
-    """Lower bounds of at most `parts` ranges of the order columns, as rows; they reach the driver once and then stay as they are."""
-    dealt = df.select(F.struct(*order).alias("__key")).repartitionByRange(parts, "__key")
-    found = dealt.groupBy(F.spark_partition_id().alias("__part")).agg(F.min("__key").alias("__key")).collect()  # a row for each part
-    return [r["__key"] for r in sorted(found, key=lambda r: r["__part"])][1:]
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder (spark.checkpoint.dir) and read from there: computed once, and kept if executors are lost. Where no
+    folder is set, a single machine gets one of its own."""
+    context = df.sparkSession.sparkContext
+    if not (context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spectrel-"))
+    return df.checkpoint()
 
 
-def in_ranges(df: DataFrame, order: list[str], parts: int = 32) -> DataFrame:
-    """Adds __range, the number of the range of the order columns that a row is in, told by fixed bounds: rows and sums over them are
-    dealt alike however often they are computed."""
-    types = [df.schema[c].dataType for c in order]
-    bounds = [F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(row, types, order, strict=True)]) for row in range_bounds(df, order, parts)]
-    key = F.struct(*order)
-    return df.withColumn("__range", F.size(F.filter(F.array(*bounds), lambda low: low <= key)) if bounds else F.lit(0))
+#: Rows of a range, about, and the fewest for which another range is opened while there are few.
+RANGE_ROWS, LEAST_RANGE_ROWS, FEW_RANGES = 1_000_000, 20_000, 32
 
 
-def running(df: DataFrame, order: list[str], value, name: str, parts: int = 32) -> DataFrame:
+def in_ranges(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """Adds __range, the number of the range of the whole order that a row is in, and __tie, the order among rows that tie in all columns.
+
+    Rows that tie are dealt over ranges too, so that a frequent value is not one range. The ranges are written once, so whatever reads
+    them meets the same. parts: as many ranges, else by the number of rows."""
+    if parts is None:
+        n = df.count()
+        parts = max(1, min(FEW_RANGES, -(-n // LEAST_RANGE_ROWS)), -(-n // RANGE_ROWS))
+    dealt = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order, "__tie")
+    return cut(dealt.withColumn("__range", F.spark_partition_id()))
+
+
+def running(df: DataFrame, order: list[str], value, name: str, parts: int | None = None) -> DataFrame:
     """Adds the sum of `value` over all earlier rows in the whole order, without one task for all: ranges are summed apart and joined to
-    their offsets, one row for each range."""
+    their offsets, one row for each range. Rows that tie in all order columns stand in any order among themselves."""
     dealt = in_ranges(df, order, parts).withColumn("__range_value", value)
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("__range").agg(F.sum("__range_value").alias("__range_n"))
     offsets = offsets.select("__range", F.coalesce(F.sum("__range_n").over(before(Window.orderBy("__range"))), F.lit(0)).alias("__range_before"))
-    within = F.coalesce(F.sum("__range_value").over(before(Window.partitionBy("__range").orderBy(*order))), F.lit(0))
+    within = F.coalesce(F.sum("__range_value").over(before(Window.partitionBy("__range").orderBy(*order, "__tie"))), F.lit(0))
     placed = dealt.withColumn("__range_within", within).join(F.broadcast(offsets), "__range")
-    return placed.withColumn(name, F.col("__range_before") + F.col("__range_within")).drop("__range", "__range_value", "__range_within", "__range_before")
+    return placed.withColumn(name, F.col("__range_before") + F.col("__range_within")).drop("__range", "__tie", "__range_value", "__range_within", "__range_before")
 
 
-def ranked(df: DataFrame, order: list[str], name: str = "rank", parts: int = 32) -> DataFrame:
+def ranked(df: DataFrame, order: list[str], name: str = "rank", parts: int | None = None) -> DataFrame:
     """Adds each row's place from 0 in the whole order. Rows that tie in all order columns stand in any order among themselves."""
     return running(df, order, F.lit(1).cast("long"), name, parts)
 
 
-def quantiles(df: DataFrame, key: str, value: str, shares: list[float]) -> dict:
-    """{key: [quantile of each share]}, exact, linear between neighbours: the values at few places of the whole order, one pass for all
-    keys, of which there are few (columns)."""
+#: Bins of each span of values in which a quantile is looked for, and how many different values are fetched at last.
+BINS, FETCHED = 512, 100_000
+
+
+def quantiles(df: DataFrame, key: str, value: str, shares: list[float], hold: bool = False) -> dict:
+    """{key: [quantile of each share]}, exact, linear between neighbours, for few keys (columns). NaN counts as the largest value.
+
+    Nothing is sorted or shuffled but counts: the span that holds a wanted place is cut into bins, the bin that holds it is the next
+    span, until the spans hold few values, which are fetched with their counts. Equal values are one count however many they are.
+    hold: keep the values between the passes, where they are dear to compute."""
     rows = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-    sizes = sorted((r["k"], r["n"]) for r in rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each key
-    wanted, start = {}, 0
-    for k, n in sizes:
-        wanted[k] = [(start + int(share * (n - 1)), start + min(n - 1, int(share * (n - 1)) + 1), share * (n - 1) % 1) for share in shares]
-        start += n
-    places = sorted({p for ps in wanted.values() for low, high, _ in ps for p in (low, high)})
-    found = {r["place"]: r["v"] for r in ranked(rows, ["k", "v"], "place").where(F.col("place").isin(places)).collect()} if places else {}
-    return {k: [found[low] + (found[high] - found[low]) * part if part else found[low] for low, high, part in ps] for k, ps in wanted.items()}
+    rows = rows.persist() if hold else rows
+    v, inf = F.col("v"), float("inf")
+    finite = ~F.isnan("v") & (F.abs("v") < inf)
+    counted = rows.groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(v == -inf).alias("low"), F.count_if(v == inf).alias("high"), F.count_if(finite).alias("finite"), F.min(F.when(finite, v)).alias("a"), F.max(F.when(finite, v)).alias("b"),
+    ).collect()  # a row for each key
+    wanted, found, spans = {}, {}, {}
+    for r in counted:
+        wanted[r["k"]] = [(int(share * (r["n"] - 1)), min(r["n"] - 1, int(share * (r["n"] - 1)) + 1), share * (r["n"] - 1) % 1) for share in shares]
+        for place in {p for low, high, _ in wanted[r["k"]] for p in (low, high)}:
+            inside = place - r["low"]
+            if 0 <= inside < r["finite"]:
+                spans.setdefault((r["k"], r["a"], r["b"], r["finite"]), []).append((place, inside))
+            else:
+                found[r["k"], place] = -inf if inside < 0 else inf if inside < r["finite"] + r["high"] else float("nan")
+    rows, kind = rows.where(finite), rows.schema["k"].dataType.simpleString()
+    while True:
+        for k, a, b, n in [s for s in spans if s[1] == s[2]]:
+            found |= {(k, place): a for place, _ in spans.pop((k, a, b, n))}
+        if not spans:
+            break
+        numbered = list(spans)
+        few = sum(n for *_, n in numbered) <= FETCHED
+        # halves where the width of a span is beyond the largest number
+        table = [(i, k, a, b, 1.0 if b - a < inf else 0.5) for i, (k, a, b, _) in enumerate(numbered)]
+        table = df.sparkSession.createDataFrame(table, f"i int, sk {kind}, a double, b double, s double")
+        met = rows.join(F.broadcast(table), (F.col("k") == F.col("sk")) & F.col("v").between(F.col("a"), F.col("b")))  # a row for each span
+        bin_ = v if few else F.least(F.floor((v * F.col("s") - F.col("a") * F.col("s")) / (F.col("b") * F.col("s") - F.col("a") * F.col("s")) * BINS), F.lit(BINS - 1))
+        bins = met.groupBy("i", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()  # BINS rows for each span, or FETCHED
+        before, narrower = dict.fromkeys(range(len(numbered)), 0), {}
+        for r in sorted(bins, key=lambda r: (r["i"], r["bin"])):
+            k = numbered[r["i"]][0]
+            for place, inside in spans[numbered[r["i"]]]:
+                if 0 <= inside - before[r["i"]] < r["n"]:
+                    narrower.setdefault((k, r["a"], r["b"], r["n"]), []).append((place, inside - before[r["i"]]))
+            before[r["i"]] += r["n"]
+        spans = narrower
+    if hold:
+        rows.unpersist()
+    between = lambda low, high, part: low + (high - low) * part if part and low != high else low
+    return {k: [between(found[k, low], found[k, high], part) for low, high, part in ps] for k, ps in wanted.items()}
 
 
 def evenly_spaced(df: DataFrame, order: list[str], k: int) -> DataFrame:
@@ -203,8 +256,6 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def typed_match(json: Column, key: str, value) -> Column:
     """Whether a JSON object's key holds just this value: true, 1, 1.0, "1", null and a missing key all differ."""
-    import re
-
     if not re.fullmatch(r"[A-Za-z0-9_-]+", key):
         raise ValueError(f"not a key: {key!r}")
     if isinstance(value, int) and not isinstance(value, bool) and not -(1 << 63) <= value < 1 << 63:
@@ -225,8 +276,6 @@ def typed_match(json: Column, key: str, value) -> Column:
 
 def rewrite_names(sql: str, names: dict[str, str]) -> str:
     """Table names as the user wrote them, the longest first and as whole words, to quoted view names."""
-    import re
-
     for original in sorted(names, key=len, reverse=True):
         sql = re.sub(rf"(?<![\w`]){re.escape(original)}(?![\w`])", f"`{names[original]}`", sql)
     return sql

@@ -85,32 +85,46 @@ def ordering_checks(spark, sf_dir):
 
 @query(
     "catalog_register",
-    """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, sha256(t) AS h, 1 + doc_id % 3 AS version FROM d WHERE doc_id % 2 = 0),
-    n AS (SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN sha256(t) ELSE sha256(t || 'x') END AS h FROM d),
-    s AS (SELECT h, arg_min(version, doc_id) AS v, list(doc_id) AS ids FROM c GROUP BY h)
-    SELECT n.doc_id, CASE WHEN list_contains(s.ids, n.doc_id) THEN 'unchanged' WHEN s.h IS NOT NULL THEN 'duplicate' WHEN c.doc_id IS NOT NULL THEN 'updated' ELSE 'created' END AS action,
-    CASE WHEN list_contains(s.ids, n.doc_id) THEN c.version WHEN s.h IS NOT NULL THEN s.v ELSE coalesce(c.version, 0) + 1 END AS version FROM n LEFT JOIN s ON n.h = s.h LEFT JOIN c ON n.doc_id = c.doc_id""",
+    """WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, sha256(t) AS h, 1 + doc_id % 3 AS version FROM d WHERE doc_id % 2 = 0),
+    e AS (SELECT 2 * doc_id AS at, doc_id, CASE WHEN doc_id % 4 < 2 THEN sha256(t) ELSE sha256(t || 'x') END AS h FROM d UNION ALL SELECT 2 * doc_id + 1, doc_id - doc_id % 3, sha256(t) FROM d WHERE doc_id % 7 < 3),
+    n AS (SELECT *, row_number() OVER (ORDER BY at) AS k FROM e),
+    s AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS at, '' AS action, CAST(0 AS BIGINT) AS version,
+      (SELECT map_from_entries(list(struct_pack(k := h, v := struct_pack(i := i, n := v)))) FROM (SELECT h, min(doc_id) AS i, CAST(arg_min(version, doc_id) AS BIGINT) AS v FROM c GROUP BY h)) AS held,
+      (SELECT map_from_entries(list(struct_pack(k := doc_id, v := struct_pack(h := h, n := CAST(version AS BIGINT))))) FROM c) AS ids
+    UNION ALL SELECT n.k, n.at,
+      CASE WHEN s.ids[n.doc_id].h = n.h THEN 'unchanged' WHEN s.held[n.h] IS NOT NULL THEN 'duplicate' WHEN s.ids[n.doc_id] IS NOT NULL THEN 'updated' ELSE 'created' END,
+      CASE WHEN s.ids[n.doc_id].h = n.h THEN s.ids[n.doc_id].n WHEN s.held[n.h] IS NOT NULL THEN s.held[n.h].n ELSE coalesce(s.ids[n.doc_id].n, 0) + 1 END,
+      CASE WHEN s.held[n.h] IS NOT NULL OR s.ids[n.doc_id].h = n.h THEN s.held
+        ELSE map_concat(map_from_entries(list_filter(map_entries(s.held), lambda x: x.value.i <> n.doc_id)), MAP {n.h: struct_pack(i := n.doc_id, n := coalesce(s.ids[n.doc_id].n, 0) + 1)}) END,
+      CASE WHEN s.held[n.h] IS NOT NULL OR s.ids[n.doc_id].h = n.h THEN s.ids ELSE map_concat(s.ids, MAP {n.doc_id: struct_pack(h := n.h, n := coalesce(s.ids[n.doc_id].n, 0) + 1)}) END
+      FROM s JOIN n ON n.k = s.k + 1)
+    SELECT at, action, version FROM s WHERE k > 0""",
 )
 def catalog_register(spark, sf_dir):
+    """Half of the documents are in the catalog. Then all come, some changed, and after some of them another of their text under a near id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     catalog = docs.where("doc_id % 2 = 0").select("doc_id", F.sha2("text", 256).alias("content_sha256"), (1 + F.col("doc_id") % 3).alias("version"))
-    new = docs.select("doc_id", F.sha2(F.when(F.col("doc_id") % 4 < 2, F.col("text")).otherwise(F.concat("text", F.lit("x"))), 256).alias("content_sha256"))
-    return r.registered(catalog, new).select("doc_id", "action", "version")
+    new = docs.select((2 * F.col("doc_id")).alias("at"), "doc_id", F.sha2(F.when(F.col("doc_id") % 4 < 2, F.col("text")).otherwise(F.concat("text", F.lit("x"))), 256).alias("content_sha256"))
+    again = docs.where("doc_id % 7 < 3").select((2 * F.col("doc_id") + 1).alias("at"), (F.col("doc_id") - F.col("doc_id") % 3).alias("doc_id"), F.sha2("text", 256).alias("content_sha256"))
+    return r.registered(catalog, new.unionByName(again), "at").select("at", "action", "version")
+
+
+_MISSING = {"title": "i % 4 = 1 OR NOT regexp_matches(substr(coalesce(text, ''), 1, 20), '[^\\s]')", "authors": "i % 5 = 0", "year": "i % 7 = 0", "source": "i % 9 = 2 OR source IS NULL"}
 
 
 @query(
     "publication_readiness",
-    """SELECT doc_id, concat_ws(',', CASE WHEN trim(substr(coalesce(text, ''), 1, 20)) = '' THEN 'title' END, CASE WHEN doc_id % 5 = 0 THEN 'authors' END, CASE WHEN doc_id % 7 = 0 THEN 'year' END, CASE WHEN trim(coalesce(source, '')) = '' THEN 'source' END) AS missing,
-    NOT (trim(substr(coalesce(text, ''), 1, 20)) = '' OR doc_id % 5 = 0 OR doc_id % 7 = 0 OR trim(coalesce(source, '')) = '') AS ready,
-    CASE WHEN doc_id % 3 = 0 THEN 'valid' WHEN lang = 'en' THEN 'missing' ELSE 'not_applicable' END AS doi_status FROM documents""",
+    f"""WITH d AS (SELECT *, doc_id AS i FROM documents), m AS (SELECT *, list_filter([{", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in _MISSING.items())}], lambda x: x IS NOT NULL) AS f, i % 3 <> 0 AND lang = 'en' AS w FROM d)
+    SELECT doc_id, array_to_string(f, ',') AS missing, len(f) = 0 AS ready, CASE WHEN doc_id % 3 = 0 THEN 'valid' WHEN lang = 'en' THEN 'missing' ELSE 'not_applicable' END AS doi_status,
+    CASE WHEN w THEN 'doi_missing' ELSE '' END AS warnings, CASE WHEN len(f) > 0 THEN 'publication requires: ' || array_to_string(f, ', ') WHEN w THEN 'ready for publication with warning: DOI is missing' ELSE 'ready for publication' END AS message FROM m""",
 )
 def publication_readiness(spark, sf_dir):
     i = F.col("doc_id")
     records = table(spark, sf_dir, "documents").select(
-        "doc_id", F.substring("text", 1, 20).alias("title"), F.when(i % 5 != 0, F.array("source")).alias("authors"), F.when(i % 7 != 0, F.lit(2000)).alias("year"), "source",
-        F.when(i % 3 == 0, "10.1000/x").alias("doi"), F.when(F.col("lang") == "en", "Journal_Article").otherwise("note").alias("source_type"),
+        "doc_id", F.when(i % 4 == 1, "\t\n").otherwise(F.substring("text", 1, 20)).alias("title"), F.when(i % 5 != 0, F.array("source")).alias("authors"), F.when(i % 7 != 0, F.lit(2000)).alias("year"),
+        F.when(i % 9 == 2, "\n ").otherwise(F.col("source")).alias("source"), F.when(i % 3 == 0, "10.1000/x").alias("doi"), F.when(F.col("lang") == "en", "Journal_Article").otherwise("note").alias("source_type"),
     )
-    return r.readiness(records, ["journal_article"]).select("doc_id", F.concat_ws(",", "missing_fields").alias("missing"), "ready", "doi_status")
+    return r.readiness(records, ["journal_article"]).select("doc_id", F.concat_ws(",", "missing_fields").alias("missing"), "ready", "doi_status", F.concat_ws(",", "warnings").alias("warnings"), "message")
 
 
 @query("model_versions", "SELECT user_id, event_type, max(event_id) AS version, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
@@ -139,16 +153,29 @@ def categorical_profiles(spark, sf_dir):
     "group_candidates",
     """WITH c AS (SELECT 'o_orderpriority' AS "column", 90 AS score, count(DISTINCT o_orderpriority) AS n_groups, count(o_orderpriority) AS present, count(*) AS rows FROM orders UNION ALL SELECT 'o_orderstatus', 70, count(DISTINCT o_orderstatus), count(o_orderstatus), count(*) FROM orders UNION ALL SELECT 'o_custkey', 50, count(DISTINCT o_custkey), count(o_custkey), count(*) FROM orders),
     e AS (SELECT *, 1 - present / rows <= 0.2 AND n_groups BETWEEN 5 AND greatest(5, least(100, CAST(round_even(rows * 0.25, 0) AS BIGINT))) AS eligible FROM c)
-    SELECT "column", score, n_groups, eligible, CAST(row_number() OVER (ORDER BY eligible DESC, score DESC, n_groups, "column") AS INTEGER) AS place FROM e""",
+    SELECT "column", score, n_groups, round(1 - present / rows, 6) AS missing_fraction, eligible, CAST(row_number() OVER (ORDER BY eligible DESC, score DESC, n_groups, "column") AS INTEGER) AS place FROM e""",
 )
 def group_candidates(spark, sf_dir):
-    return r.group_candidates(table(spark, sf_dir, "orders"), {"priority": 90, "status": 70, "custkey": 50})
+    return r.group_candidates(table(spark, sf_dir, "orders"), {"priority": 90, "status": 70, "custkey": 50}).withColumn("missing_fraction", F.round("missing_fraction", 6))
 
 
-@query("dataset_checks", "SELECT 'non_finite_y' AS code, 'error' AS severity, count(*) AS n FROM embeddings WHERE vec_id % 40 = 0 UNION ALL SELECT 'ragged_rows', 'error', 1")
+@query("dataset_checks", "SELECT 'nonfinite_targets' AS code, 'error' AS severity, count(*) AS n FROM embeddings WHERE vec_id % 40 = 0 UNION ALL SELECT 'constant_wavelength_columns', 'warning', 1 UNION ALL SELECT 'nonmonotonic_wavelengths', 'error', 1")
 def dataset_checks(spark, sf_dir):
-    x = F.when(F.col("vec_id") % 60 == 0, F.slice("embedding", 1, 10)).otherwise(F.col("embedding"))
-    return r.dataset_checks(table(spark, sf_dir, "embeddings").select(x.alias("x"), F.when(F.col("vec_id") % 40 != 0, F.col("label")).alias("y")), "x", "y")
+    """One position is the same in all rows, some targets are infinite or null, and the axis turns back."""
+    rows = table(spark, sf_dir, "embeddings").select(F.concat(F.array(F.lit(1.0)), F.slice(F.col("embedding").cast("array<double>"), 2, 63)).alias("x"), F.when(F.col("vec_id") % 80 == 0, float("inf")).when(F.col("vec_id") % 40 != 0, F.col("label")).alias("y"))
+    return r.dataset_checks(rows, "x", "y", axis=[float(k % 60) for k in range(64)])
+
+
+@query(
+    "duplicate_checks",
+    """WITH g AS (SELECT embedding, count(*) AS n, max(y) - min(y) > 1e-10 + 1e-7 * abs(min(y)) AS differs FROM (SELECT embedding, label + 0.0 AS y FROM embeddings UNION ALL SELECT embedding, label + CASE WHEN vec_id % 3 = 0 THEN 1.0 ELSE 0.0 END FROM embeddings WHERE vec_id % 5 = 0) GROUP BY embedding HAVING count(*) > 1)
+    SELECT CASE WHEN differs THEN 'conflicting_duplicate_spectra' ELSE 'duplicate_spectra' END AS code, CASE WHEN differs THEN 'error' ELSE 'warning' END AS severity, count(*) AS n FROM g GROUP BY differs""",
+)
+def duplicate_checks(spark, sf_dir):
+    """A fifth of the spectra stand twice, every third of those with another target."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"), F.col("label").cast("double").alias("y"))
+    more = rows.where("vec_id % 5 = 0").withColumn("y", F.col("y") + F.when(F.col("vec_id") % 3 == 0, 1.0).otherwise(0.0))
+    return r.dataset_checks(rows.unionByName(more), "x", "y")
 
 
 @query("roles_by_column", "SELECT CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'test' END AS role, count(*) AS n FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
@@ -194,10 +221,11 @@ def resource_summary(spark, sf_dir):
 
 @query(
     "guarded_messages",
-    """SELECT conv_id, turn, md5(CASE WHEN trim(text) = '' THEN text ELSE '--- BEGIN USER INPUT ---' || chr(10) || CASE WHEN conv_id % 2 = 0 THEN '&lt;system a="1"&gt;' ELSE '[END USER INPUT]' END || text || chr(10) || '--- END USER INPUT ---' END) AS digest FROM conversations WHERE role = 'user'""",
+    """SELECT conv_id, turn, md5(CASE WHEN turn % 4 = 2 THEN chr(10) || chr(9) ELSE '--- BEGIN USER INPUT ---' || chr(10) || CASE WHEN conv_id % 2 = 0 THEN '&lt;system a="1"&gt;' ELSE '[END USER INPUT]' END || text || chr(10) || '--- END USER INPUT ---' END) AS digest FROM conversations WHERE role = 'user'""",
 )
 def guarded_messages(spark, sf_dir):
     text = F.concat(F.when(F.col("conv_id") % 2 == 0, '<system a="1">').otherwise("--- END USER INPUT ---"), "text")
+    text = F.when(F.col("turn") % 4 == 2, "\n\t").otherwise(text)
     users = table(spark, sf_dir, "conversations").where("role = 'user'")
     return users.select("conv_id", "turn", F.md5(r.guarded(text, ["system", "memory"])).alias("digest"))
 

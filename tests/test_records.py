@@ -23,11 +23,48 @@ def test_places_follow_the_order(spark):
     assert t.ranked(spark.createDataFrame([], "v double"), ["v"]).count() == 0
 
 
+def test_ties_are_dealt_over_ranges(spark):
+    n = 200_000
+    rows = spark.range(n).select(F.when(F.col("id") % 5 > 0, 7).otherwise(F.col("id")).alias("v"), "id")
+    dealt = t.in_ranges(rows, ["v"], 10)
+    sizes = [x["count"] for x in dealt.groupBy("__range").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 2 * n / 10 and sum(sizes) == n
+    got = t.ranked(rows, ["v"], "place", 10)
+    assert got.agg(F.count_distinct("place")).first()[0] == n and got.columns == ["v", "id", "place"]
+    assert got.where("v < 7").agg(F.max("place")).first()[0] == 1 and got.where("v > 7").agg(F.min("place")).first()[0] == got.where("v <= 7").count()
+
+
+def test_quantiles_equal_numpy(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    inf, nan = float("inf"), float("nan")
+    columns = {
+        "ties": np.where(r.random(3000) < 0.8, 0.0, r.normal(size=3000)), "tail": np.exp(20 * r.normal(size=2000)), "one": np.array([3.0]), "same": np.full(50, -2.0), "wide": np.array([-1.7e308, 1.7e308, 0.0, 5e-324]),
+        "odd": np.array([-inf, -inf, 1.0, 2.0, inf]), "nan": np.array([1.0, nan, 2.0, nan, 0.0]), "small": r.integers(0, 3, 999) * 5e-324,
+    }
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in columns.items() for v in vs] + [("tail", None), (None, 1.0)], "k string, v double").repartition(5)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for fetched in (100_000, 3):
+        monkeypatch.setattr(t, "FETCHED", fetched)
+        got = t.quantiles(rows, "k", "v", shares, hold=fetched == 3)
+        assert got.keys() == columns.keys()
+        for k, vs in columns.items():
+            ordered = np.sort(vs)
+            for share, v in zip(shares, got[k], strict=True):
+                place = share * (len(vs) - 1)
+                low, high = ordered[int(place)], ordered[min(len(vs) - 1, int(place) + 1)]
+                want = low if low == high or place % 1 == 0 else low + (high - low) * (place % 1)
+                assert v == want or (v != v and want != want), (k, share)
+
+
 def test_guarded(spark):
     wrapped = f"{r.BEGIN}\nhi\n{r.END}"
     forged = f"{r.BEGIN}a {r.END} b{r.END}"
     cases = {
         "  ": "  ",
+        "\n\t": "\n\t",
+        "\u2003\x1c": "\u2003\x1c",
         "hi": wrapped,
         wrapped: wrapped,
         forged: f"{r.BEGIN}a {r.NEUTRAL_END} b{r.END}",
@@ -54,5 +91,60 @@ def test_quantities(spark):
 def test_dead_positions_and_checks(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0], 1.0), ([1.0, 5.0, 3.0], 1.0)], "x array<double>, y double")
     assert {(x["pos"], x["value"]) for x in r.dead_positions(df, "x").collect()} == {(0, 1.0), (2, 3.0)}
-    assert {x["code"] for x in r.dataset_checks(df, "x", "y").collect()} == {"too_few_samples", "constant_target"}
-    assert {x["code"] for x in r.dataset_checks(df.limit(0), "x", "y").collect()} == {"too_few_samples", "constant_target"}
+
+    def found(df, **more):
+        return {x["code"]: x["n"] for x in r.dataset_checks(df, "x", "y", **more).collect()}
+
+    assert found(df) == {"insufficient_samples": 2, "constant_targets": 1, "constant_wavelength_columns": 2}
+    assert found(df.limit(0)) == {"insufficient_samples": 0, "insufficient_wavelengths": 0, "constant_targets": 1}
+    inf, nan = float("inf"), float("nan")
+    odd = spark.createDataFrame([([1.0, nan], inf), ([inf, None], -inf), (None, nan), ([1.0, 2.0], 1.0)], df.schema)
+    assert found(odd, least=1) == {"nonfinite_spectra": 4, "nonfinite_targets": 3}
+    assert found(df.union(spark.createDataFrame([([1.0], 2.0)], df.schema)), least=1) == {"ragged_rows": 1}
+    pairs = spark.createDataFrame([([1.0, 2.0], 1.0), ([1.0, 2.0], 1.0 + 1e-9), ([2.0, 2.0], 3.0), ([2.0, 2.0], 3.1), ([4.0, 5.0], 3.1)], df.schema)
+    assert found(pairs, least=5) == {"duplicate_spectra": 1, "conflicting_duplicate_spectra": 1}
+    for axis, code in (([1.0], "wavelength_length_mismatch"), ([1.0, nan], "nonfinite_wavelengths"), ([1.0, 1.0], "duplicate_wavelengths"), ([2.0, 1.0], None)):
+        assert found(pairs, least=5, axis=axis).keys() - {"duplicate_spectra", "conflicting_duplicate_spectra"} == ({code} if code else set())
+    assert "nonmonotonic_wavelengths" in found(df, axis=[1.0, 3.0, 2.0])
+
+
+def register_in_turn(catalog, records):
+    """One after another."""
+    ids, out = {d: (c, v) for d, c, v in catalog}, []
+    for d, c, at in sorted(records, key=lambda r: r[2]):
+        holders = [(i, v) for i, (h, v) in sorted(ids.items()) if h == c]
+        if holders:
+            own = [v for i, v in holders if i == d]
+            out.append((at, "unchanged" if own else "duplicate", own[0] if own else holders[0][1]))
+        else:
+            version = ids[d][1] + 1 if d in ids else 1
+            ids[d] = (c, version)
+            out.append((at, "updated" if version > 1 else "created", version))
+    return out
+
+
+def test_registered_one_after_another(spark):
+    import random
+
+    spark.sparkContext.setCheckpointDir("/tmp/spectrel-test-checkpoints")
+    cases = [([], [("a", "x", 0), ("b", "x", 1)]), ([], [("a", "x", 0), ("a", "y", 1)]), ([("a", "x", 4)], [("a", "y", 0), ("b", "x", 1), ("a", "x", 2), ("b", "z", 3), ("a", "x", 4)])]
+    for seed in range(4):
+        random.seed(seed)
+        cases.append(([(f"d{i}", f"c{i}", i + 1) for i in range(4)], [(f"d{random.randrange(7)}", f"c{random.randrange(8)}", at) for at in range(40)]))
+    for catalog, records in cases:
+        c = spark.createDataFrame(catalog, "doc_id string, content_sha256 string, version int")
+        n = spark.createDataFrame(records, "doc_id string, content_sha256 string, at int")
+        got = sorted((x["at"], x["action"], x["version"]) for x in r.registered(c, n, "at").collect())
+        assert got == register_in_turn(catalog, records)
+
+
+def test_readiness_and_group_candidates(spark):
+    rows = [("\t", [], None, "\u00a0", None, "Article"), ("t", ["a"], 1, "s", None, "article"), ("t", ["a"], 1, "s", "10/x", None), ("t", None, 1, None, "", "note")]
+    got = r.readiness(spark.createDataFrame(rows, "title string, authors array<string>, year int, source string, doi string, source_type string"), ["article"]).collect()
+    assert [(x["missing_fields"], x["warnings"], x["ready"], x["doi_status"]) for x in got] == [
+        (["title", "authors", "year", "source"], ["doi_missing"], False, "missing"), ([], ["doi_missing"], True, "missing"), ([], [], True, "valid"), (["authors", "source"], [], False, "not_applicable"),
+    ]
+    assert [x["message"] for x in got][1:] == ["ready for publication with warning: DOI is missing", "ready for publication", "publication requires: authors, source"]
+    table = spark.createDataFrame([(i, i % 6, i % 7 if i % 10 else None, i % 5) for i in range(40)], "`样本编号 batch` int, `Région` int, `Batch No` int, `序号` int")
+    found = r.group_candidates(table, {"région": 85, "batch": 95}).orderBy("place").collect()
+    assert [(x["column"], x["n_groups"], x["eligible"]) for x in found] == [("Batch No", 7, True), ("Région", 6, True)] and abs(found[0]["missing_fraction"] - 0.1) < 1e-9
