@@ -86,27 +86,27 @@ def ordering_checks(spark, sf_dir):
 @query(
     "catalog_register",
     """WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, sha256(t) AS h, 1 + doc_id % 3 AS version FROM d WHERE doc_id % 2 = 0),
-    e AS (SELECT 2 * doc_id AS at, doc_id, CASE WHEN doc_id % 4 < 2 THEN sha256(t) ELSE sha256(t || 'x') END AS h FROM d UNION ALL SELECT 2 * doc_id + 1, doc_id - doc_id % 3, sha256(t) FROM d WHERE doc_id % 7 < 3),
-    n AS (SELECT *, row_number() OVER (ORDER BY at) AS k FROM e),
-    s AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS at, '' AS action, CAST(0 AS BIGINT) AS version,
+    e AS (SELECT 2 * doc_id AS seq, doc_id, CASE WHEN doc_id % 4 < 2 THEN sha256(t) ELSE sha256(t || 'x') END AS h FROM d UNION ALL SELECT 2 * doc_id + 1, doc_id - doc_id % 3, sha256(t) FROM d WHERE doc_id % 7 < 3),
+    n AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM e),
+    s AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, '' AS action, CAST(0 AS BIGINT) AS version,
       (SELECT map_from_entries(list(struct_pack(k := h, v := struct_pack(i := i, n := v)))) FROM (SELECT h, min(doc_id) AS i, CAST(arg_min(version, doc_id) AS BIGINT) AS v FROM c GROUP BY h)) AS held,
       (SELECT map_from_entries(list(struct_pack(k := doc_id, v := struct_pack(h := h, n := CAST(version AS BIGINT))))) FROM c) AS ids
-    UNION ALL SELECT n.k, n.at,
+    UNION ALL SELECT n.k, n.seq,
       CASE WHEN s.ids[n.doc_id].h = n.h THEN 'unchanged' WHEN s.held[n.h] IS NOT NULL THEN 'duplicate' WHEN s.ids[n.doc_id] IS NOT NULL THEN 'updated' ELSE 'created' END,
       CASE WHEN s.ids[n.doc_id].h = n.h THEN s.ids[n.doc_id].n WHEN s.held[n.h] IS NOT NULL THEN s.held[n.h].n ELSE coalesce(s.ids[n.doc_id].n, 0) + 1 END,
       CASE WHEN s.held[n.h] IS NOT NULL OR s.ids[n.doc_id].h = n.h THEN s.held
         ELSE map_concat(map_from_entries(list_filter(map_entries(s.held), lambda x: x.value.i <> n.doc_id)), MAP {n.h: struct_pack(i := n.doc_id, n := coalesce(s.ids[n.doc_id].n, 0) + 1)}) END,
       CASE WHEN s.held[n.h] IS NOT NULL OR s.ids[n.doc_id].h = n.h THEN s.ids ELSE map_concat(s.ids, MAP {n.doc_id: struct_pack(h := n.h, n := coalesce(s.ids[n.doc_id].n, 0) + 1)}) END
       FROM s JOIN n ON n.k = s.k + 1)
-    SELECT at, action, version FROM s WHERE k > 0""",
+    SELECT seq, action, version FROM s WHERE k > 0""",
 )
 def catalog_register(spark, sf_dir):
     """Half of the documents are in the catalog. Then all come, some changed, and after some of them another of their text under a near id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     catalog = docs.where("doc_id % 2 = 0").select("doc_id", F.sha2("text", 256).alias("content_sha256"), (1 + F.col("doc_id") % 3).alias("version"))
-    new = docs.select((2 * F.col("doc_id")).alias("at"), "doc_id", F.sha2(F.when(F.col("doc_id") % 4 < 2, F.col("text")).otherwise(F.concat("text", F.lit("x"))), 256).alias("content_sha256"))
-    again = docs.where("doc_id % 7 < 3").select((2 * F.col("doc_id") + 1).alias("at"), (F.col("doc_id") - F.col("doc_id") % 3).alias("doc_id"), F.sha2("text", 256).alias("content_sha256"))
-    return r.registered(catalog, new.unionByName(again), "at").select("at", "action", "version")
+    new = docs.select((2 * F.col("doc_id")).alias("seq"), "doc_id", F.sha2(F.when(F.col("doc_id") % 4 < 2, F.col("text")).otherwise(F.concat("text", F.lit("x"))), 256).alias("content_sha256"))
+    again = docs.where("doc_id % 7 < 3").select((2 * F.col("doc_id") + 1).alias("seq"), (F.col("doc_id") - F.col("doc_id") % 3).alias("doc_id"), F.sha2("text", 256).alias("content_sha256"))
+    return r.registered(catalog, new.unionByName(again), "seq").select("seq", "action", "version")
 
 
 _MISSING = {"title": "i % 4 = 1 OR NOT regexp_matches(substr(coalesce(text, ''), 1, 20), '[^\\s]')", "authors": "i % 5 = 0", "year": "i % 7 = 0", "source": "i % 9 = 2 OR source IS NULL"}
