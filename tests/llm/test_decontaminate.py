@@ -55,3 +55,34 @@ def test_empty_tables_and_repeated_rows(spark):
     bench = spark.createDataFrame([(i, f"{w} b c") for i, w in enumerate("az")], "item_id long, text string")
     for size in (10**9, 1):
         assert sorted((r["doc_id"], r["hits"][0]["end"]) for r in decontaminate.find(same, bench, block_bytes=size).collect()) == [(0, 3), (0, 3), (1, 3), (1, 3)]
+
+
+def test_long_items_and_stretches_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 14)
+    monkeypatch.setattr(decontaminate, "STRETCH", 7)
+    items = [(i, prose(i, n, 9)) for i, n in enumerate((60, 14, 15, 5, 4, 1, 2))] + [(9, "a b")]
+    texts = [prose(40 + i, 90, 9) + " " + prose(i % 3, 60, 9)[30 * i : 30 * i + 90] for i in range(8)] + ["a", "b a b", "", prose(0, 60, 9)]
+    docs = documents(spark, texts)
+    bench = spark.createDataFrame([(str(i), t) for i, t in items], "item_id string, text string")
+    for window in (10, 3, 1):
+        got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.digest(decontaminate.find(docs, bench, window, block_bytes=400)).collect()}
+        assert got == brute(list(enumerate(texts)), items, window)
+
+
+def test_shifts_skip_and_lose_nothing():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    hashes = r.integers(0, 30, 4000).astype(np.uint64)
+    begin = np.repeat(np.arange(0, 4000, 400), 400)
+    keys = decontaminate._pairs(hashes)
+    patterns = [hashes[s : s + 6] for s in r.integers(0, 390, 5)]
+    table: dict = {}
+    for p in patterns:
+        k = decontaminate._pairs(p)
+        for end in range(1, 6):
+            table[int(k[end])] = min(table.get(int(k[end]), 6), 5 - end)
+    names = np.array(sorted(table), dtype=np.uint64)
+    ends = decontaminate._ends(keys, begin, 6, names, np.array([table[int(k)] for k in names], dtype=np.uint8))
+    true = [e for e in range(4000) if e - begin[e] >= 5 and any((hashes[e - 5 : e + 1] == p).all() for p in patterns)]
+    assert set(true) <= set(ends.tolist()) and len(ends) < 400 and len(true) >= 5
