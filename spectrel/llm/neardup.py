@@ -321,7 +321,7 @@ def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     """The documents, all columns as they are, one row of each component: that of the smallest doc_id (rows without an id come last).
 
     A component is made of texts, not of ids: of rows that share an id, each goes with its own text. Of rows alike in id and set,
-    one stays, even if other columns differ. All rows without words stay.
+    the one of smallest hash stays, even if other columns differ. All rows without words stay.
     """
     docs, of_class = grouped(documents.select("doc_id", "text"), words, percent)
     best = of_class.groupBy("grp").agg(F.min(F.struct(F.col("rep").isNull().alias("no_id"), "rep", "k1", "k2")).alias("b")).select("b.rep", "b.k1", "b.k2")
@@ -334,5 +334,6 @@ def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFra
     rows = keyed(documents.where(has_words), words, (own[1], own[2])).withColumn(own[0], F.col("doc_id").cast("long"))
     chosen = rows.join(kept, rows[own[0]].eqNullSafe(kept[free[0]]) & (rows[own[1]] == kept[free[1]]) & (rows[own[2]] == kept[free[2]]), "left_semi")
     if not kept.where("copies > 1").isEmpty():
-        chosen = chosen.dropDuplicates(own)
+        order = F.xxhash64(*[f.name for f in documents.schema.fields if "map" not in f.dataType.simpleString()])
+        chosen = chosen.groupBy(*own).agg(F.min_by(F.struct(*documents.columns), order).alias(free[0])).select(f"{free[0]}.*")
     return chosen.select(*documents.columns).unionByName(documents.where(~has_words))

@@ -145,7 +145,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, t
         chosen = part if chosen is None else chosen.unionByName(part)
     octets = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     start = F.when(F.octet_length(octets) <= train_bytes, 1).otherwise(1 + F.pmod(F.xxhash64("doc_id"), F.octet_length(octets) - train_bytes).cast("int"))
-    rows = documents.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.substring(octets, start, F.lit(train_bytes)).alias("octets")).dropDuplicates(["doc_id"]).collect()
+    rows = documents.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.substring(octets, start, F.lit(train_bytes)).alias("octets")).groupBy("doc_id", "label").agg(F.min("octets").alias("octets")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["label"] for r in rows], dtype=np.float64)
     taken = {k: max(1, int((y == k).sum())) for k in (0, 1)}
