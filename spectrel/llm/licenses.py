@@ -1,12 +1,12 @@
 """License scan by a positional index of rare tokens.
 
 The templates below are indexed by word: each word's (template, position) postings. Words weigh log((documents + 2) / (df + 1)),
-df counted over all documents. Of a scanned text, the licence words of highest weight (rare tokens) are looked up first: a posting
-at template position q for a word at text position p votes for the alignment p - q. Which words are rare is not a fixed number: of
-each template they hold more weight than a score of `least` may lack, so no alignment that reaches `least` is without one of them.
-Alignments are then intersected with the template's other words, in order, with up to GAP words more or less between two of them;
-the weight of the matching ones over the template's whole weight is the score. A label stands only if the score reaches `least` and
-the template's mandatory key phrase stands within the aligned words, word by word.
+df counted over all documents. Of a scanned text, the licence words of highest weight (rare tokens) are looked up first. Which
+words are rare is not a fixed number: of each template they hold more weight than a score of `least` may lack, so nothing that
+reaches `least` is without one of them. Around each rare token of a template with m words, every window of m words and STRAY more
+that holds the template's mandatory key phrase, word by word, is intersected with all postings of the template: the heaviest chain of
+words that stand in both, in the same order, whatever lies between them. Its weight over the template's whole weight is the score. A
+label stands if the score of some window reaches `least`.
 
 The base phrases are looked for by a plain comparison at each occurrence of their first word. Null text is empty: no words, no
 labels, score 0. Repeated rows each give a row.
@@ -54,8 +54,8 @@ TEMPLATES = (
 )
 #: Share of a template's weight that must stand in the text.
 LEAST = 0.6
-#: Words that may stand, or lack, between two aligned ones.
-GAP = 3
+#: Words besides the template's own that its stretch of a text may hold, as a share of its words, and at least.
+STRAY, LEAST_STRAY = 0.5, 8
 
 
 class Index:
@@ -79,43 +79,86 @@ class Index:
                 held += self.weight[text[q]]
                 if held > (1 - least) * self.total[t] * (1 + 1e-9):
                     break
+        self.places: list[dict[bytes, list[int]]] = [defaultdict(list) for _ in self.templates]
+        for t, (_, _, text) in enumerate(self.templates):
+            for q in range(len(text) - 1, -1, -1):
+                self.places[t][text[q]].append(q)
         self.first = defaultdict(list)
         for p, label in self.phrases:
             self.first[p[0]].append((p, label))
         #: Words that can begin a match: the rare tokens and the first words of the phrases.
         self.keys = {self.templates[t][2][q] for t, q in self.rare} | set(self.first)
 
-    def align(self, words: list[bytes], at: int, t: int) -> tuple[float, int, int]:
-        """(share of the template's weight, first and behind the last text position) of the words that match in order from about `at`."""
-        place, spare, matched, low, high = max(0, at - GAP), 2 * GAP, 0.0, None, 0
-        for w in self.templates[t][2]:
-            try:
-                place = words.index(w, place, place + 1 + spare) + 1
-            except ValueError:
-                spare = min(spare + 1, 2 * GAP)  # the text may have another word here, or none
-                continue
-            matched, spare, high = matched + self.weight[w], GAP, place
-            low = place - 1 if low is None else low
-        return (matched / self.total[t] if self.total[t] > 0 else 0.0), low or 0, high
+    def stray(self, t: int) -> int:
+        return max(LEAST_STRAY, int(STRAY * len(self.templates[t][2])))
+
+    def chain(self, words: list[bytes], t: int) -> float:
+        """The share of the template's weight in the heaviest chain of words that stand in the template in the same order."""
+        heaviest = [0.0] * (len(self.templates[t][2]) + 1)  # a tree of best chains by the place in the template where they end
+        best = 0.0
+        for w in words:
+            for q in self.places[t].get(w, ()):  # from the last, so that a word takes one place only
+                found, k = 0.0, q
+                while k > 0:
+                    found = max(found, heaviest[k])
+                    k -= k & -k
+                found, k = found + self.weight[w], q + 1
+                best = max(best, found)
+                while k < len(heaviest):
+                    heaviest[k] = max(heaviest[k], found)
+                    k += k & -k
+        return best / self.total[t] if self.total[t] > 0 else 0.0
+
+    def _reached(self, words: list[bytes], stretches: list[list[int]], t: int, least: float):
+        """The largest windows of m words and the strays, m the template's length, in which the template's words have weight enough and its
+        key phrase stands."""
+        key, size = self.templates[t][1], len(self.templates[t][2]) + self.stray(t)
+        merged: list[list[int]] = []
+        for low, high in stretches:
+            if merged and low <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], high)
+            else:
+                merged.append([low, high])
+        places, often = self.places[t], {w: len(q) for w, q in self.places[t].items()}
+        for low, high in merged:
+            here = [p for p in range(low, high) if words[p] in places]
+            keys = [k for k in here if words[k] == key[0] and words[k : k + len(key)] == key]
+            held: dict[bytes, int] = defaultdict(int)
+            weight, a, last = 0.0, 0, -1
+            for b, p in enumerate(here):
+                held[words[p]] += 1
+                if held[words[p]] <= often[words[p]]:
+                    weight += self.weight[words[p]]
+                while here[a] <= p - size:
+                    held[words[here[a]]] -= 1
+                    if held[words[here[a]]] < often[words[here[a]]]:
+                        weight -= self.weight[words[here[a]]]
+                    a += 1
+                # a window is looked at when the next word would push its first out, or none is left
+                full = b + 1 == len(here) or here[a] <= here[b + 1] - size
+                if full and a > last and weight >= least * self.total[t] * (1 - 1e-9) and any(here[a] <= k and k + len(key) - 1 <= p for k in keys):
+                    last = a
+                    yield here[a], p + 1
 
     def scan(self, words: list[bytes], least: float = LEAST) -> tuple[int, list[int], set[str], set[str], float]:
         """(number of words, starts of base phrases, base labels, labels of templates, best score)."""
         found = [i for i, w in enumerate(words) if w in self.keys] if not self.keys.isdisjoint(words) else []
         starts, base, labels, best = [], set(), set(), 0.0
-        aligned: set[tuple[int, int]] = set()
+        near: dict[int, list[list[int]]] = defaultdict(list)
         for i in found:
             w = words[i]
             for p, label in self.first.get(w, ()):
                 if words[i : i + len(p)] == p:
                     starts.append(i)
                     base.add(label)
-            aligned |= {(t, i - q) for t, q in self.postings.get(w, ()) if (t, q) in self.rare}
-        for t, at in sorted(aligned):
-            label, key, text = self.templates[t]
-            score, low, high = self.align(words, at, t)
-            if score >= least and any(words[k : k + len(key)] == key for k in range(low, high - len(key) + 1)):
-                labels.add(label)
-                best = max(best, score)
+            for t in {t for t, q in self.postings.get(w, ()) if (t, q) in self.rare}:
+                room = len(self.templates[t][2]) + self.stray(t)
+                near[t].append([max(0, i - room + 1), min(len(words), i + room)])
+        for t, stretches in sorted(near.items()):
+            for low, high in self._reached(words, stretches, t, least):
+                if (score := self.chain(words[low:high], t)) >= least:
+                    labels.add(self.templates[t][0])
+                    best = max(best, score)
         return len(words), starts, base, labels, 1.0 if best > 0.999999 else best
 
 

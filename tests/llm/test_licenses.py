@@ -65,3 +65,69 @@ def test_rare_tokens_miss_no_alignment():
         assert a[3] == b[3] and a[4] == b[4]
         found += bool(a[3])
     assert found > 50
+
+
+def brute_labels(index, words, least):
+    """Labels and score from a longest common subsequence over every window."""
+    labels, best = set(), 0.0
+    for t, (label, key, text) in enumerate(index.templates):
+        size = len(text) + max(licenses.LEAST_STRAY, int(licenses.STRAY * len(text)))
+        for s in range(max(1, len(words) - size + 1)):
+            w = words[s : s + size]
+            if not any(w[k : k + len(key)] == key for k in range(len(w) - len(key) + 1)):
+                continue
+            row = [0.0] * (len(text) + 1)
+            for x in w:
+                new = row[:]
+                for j, y in enumerate(text):
+                    new[j + 1] = max(new[j], row[j + 1], row[j] + index.weight[y] if x == y else 0.0)
+                row = new
+            share = row[-1] / index.total[t]
+            if share >= least - 1e-12:
+                labels.add(label)
+                best = max(best, share)
+    return labels, best
+
+
+def changed(text, r):
+    """A notice without its head or tail, with words put in, taken out or replaced."""
+    words = list(text)
+    for _ in range(r.randint(0, 3)):
+        k = r.randrange(len(words))
+        kind = r.randrange(4)
+        if kind == 0:
+            words[k:k] = [b"other"] * r.randint(1, 12)
+        elif kind == 1:
+            del words[k : k + r.randint(1, 6)]
+        elif kind == 2:
+            n = r.randint(1, 8)
+            words[k : k + n] = [b"some"] * n
+        else:
+            words = words[r.randint(0, 6) :]
+        words = words or [b"none"]
+    return words
+
+
+def test_labels_and_score_equal_brute_force():
+    r = random.Random(9)
+    df = {w: r.choice([0, 3, 50, 400]) for _, _, text in licenses.TEMPLATES for w in text.split()}
+    index = licenses.Index(df=df, documents=1000)
+    common_words = [w for w in index.weight if df[w.decode()] >= 50]
+    labelled = 0
+    for n in range(120):
+        text = index.templates[n % len(index.templates)][2]
+        words = [r.choice(common_words) for _ in range(r.randint(0, 30))] + changed(text, r) + [r.choice(common_words) for _ in range(r.randint(0, 30))]
+        if n % 5 == 0:
+            words += changed(index.templates[(n * 7) % len(index.templates)][2], r)
+        got, want = index.scan(words), brute_labels(index, words, licenses.LEAST)
+        assert got[3] == want[0] and abs(got[4] - want[1]) < 1e-9, words
+        labelled += bool(want[0])
+    assert labelled > 50
+
+
+def test_heads_may_lack_and_words_may_stand_between():
+    index = licenses.Index()
+    gpl = index.templates[19][2]
+    for words in (gpl[4:], gpl[8:], gpl[:12] + [b"x"] * 4 + gpl[12:], gpl[:10] + [b"y"] * 8 + gpl[18:], gpl[:20] + [b"z"] * 15 + gpl[20:]):
+        assert "gpl-3.0" in index.scan(words)[3]
+    assert index.scan(gpl[:20])[3].isdisjoint({"gpl-3.0"})
