@@ -47,14 +47,18 @@ class Gram:
         return c[:p, :p], c[:p, p:]
 
 
-def grams(df: DataFrame, x: str, y: list[str] = (), fold: str | None = None) -> dict:
-    """A Gram for each value of fold (None: one, under the key 0). x: an array column of fixed width."""
+def grams(df: DataFrame, x: str, y: list[str] = (), fold: str | None = None, variants: dict | None = None) -> dict:
+    """A Gram for each value of fold (None: one, under the key 0). x: an array column of fixed width.
+
+    variants: {v: function of a batch of x as rows of an array, of the same width}; then the keys are (v, fold), v below 2^15 and fold
+    from -2^15 to 2^15 - 1, all from the same pass."""
     rows = df.select((F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"), F.concat(F.col(x).cast("array<double>"), F.array(*(F.col(c).cast("double") for c in y)) if y else F.array().cast("array<double>")).alias("row"))
     first = rows.select("row").first()
     if first is None:
         return {}
     shift = np.array(first["row"])  # any row serves to keep the sums near zero
     width = len(shift) + 1
+    p = width - 1 - len(y)
     schema = pa.schema([("fold", pa.int32()), ("block", pa.int32()), ("part", pa.binary())])
 
     def products(batches):
@@ -62,12 +66,14 @@ def grams(df: DataFrame, x: str, y: list[str] = (), fold: str | None = None) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data = np.asarray(pc.list_flatten(batch.column(1))).reshape(batch.num_rows, width - 1) - shift
-            data = np.hstack([np.ones((len(data), 1)), data])
+            raw = np.asarray(pc.list_flatten(batch.column(1))).reshape(batch.num_rows, width - 1)
             folds = batch.column(0).to_numpy()
-            for f in np.unique(folds):
-                part = data[folds == f]
-                sums[int(f)] = sums.get(int(f), 0) + part.T @ part
+            for v, change in (variants or {0: None}).items():
+                data = raw if change is None else np.hstack([change(raw[:, :p]), raw[:, p:]])
+                data = np.hstack([np.ones((len(data), 1)), data - shift])
+                for f in np.unique(folds):
+                    part, key = data[folds == f], int(f) if variants is None else (v << 16) + int(f) + (1 << 15)
+                    sums[key] = sums.get(key, 0) + part.T @ part
         rows_ = [(f, b, m[b * BLOCK_ROWS : (b + 1) * BLOCK_ROWS].tobytes()) for f, m in sums.items() for b in range(-(-width // BLOCK_ROWS))]
         yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows_, strict=True) if rows_ else ((),) * 3, schema, strict=True)], schema=schema)
 
@@ -79,7 +85,8 @@ def grams(df: DataFrame, x: str, y: list[str] = (), fold: str | None = None) ->
     out = {}
     for f in sorted({r["fold"] for r in parts}):
         blocks = sorted((r["block"], bytes(r["part"])) for r in parts if r["fold"] == f)
-        out[f] = Gram(np.concatenate([np.frombuffer(b, dtype=np.float64) for _, b in blocks]).reshape(width, width), shift, len(y))
+        key = f if variants is None else (f >> 16, (f & 0xFFFF) - (1 << 15))
+        out[key] = Gram(np.concatenate([np.frombuffer(b, dtype=np.float64) for _, b in blocks]).reshape(width, width), shift, len(y))
     return out
 
 

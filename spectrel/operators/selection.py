@@ -182,7 +182,7 @@ def successive_projections(df: DataFrame, x: str, y: str, gram: Gram, least: int
     return {"selected": list(sets[best]), "error": float(errors[best]), "candidates": len(sets)}
 
 
-def elastic_net(gram: Gram, alpha: float, l1_ratio: float, start: np.ndarray | None = None, tolerance: float = 1e-12, sweeps: int = 20_000) -> np.ndarray:
+def elastic_net(gram: Gram, alpha: float, l1_ratio: float, start: np.ndarray | None = None, tolerance: float = 1e-9, sweeps: int = 20_000) -> np.ndarray:
     """The minimiser w, on standardised columns z, of |y - z w|^2 / 2n + alpha (l1_ratio |w|_1 + (1 - l1_ratio) |w|^2 / 2), by coordinate
     descent on the cross-products with soft thresholds. start: where to begin, such as the solution of a larger alpha."""
     xx, xy = gram.centred()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spectrel.functions import kernels
-from spectrel.operators import gram, selection, splits, transfer
+from spectrel.operators import gram, search, selection, splits, transfer
 from spectrel.plans.registry import query, table
 from spectrel.plans.spectral import P, POINTS, spectra
 
@@ -104,3 +104,14 @@ def spxy_split(spark, sf_dir):
     dataset = F.floor(F.col("vec_id") / 400)
     rows = x.select("vec_id", "x", (F.col("x")[3] * 2 - F.col("label")).alias("y"), (F.least(dataset, F.lit(max(0, last - small))) if small else dataset).cast("long").alias("dataset"))
     return splits.spxy(rows, "dataset", "vec_id", "x", "y").select("dataset", "vec_id", "role")
+
+
+@query("nested_search")
+def nested_search(spark, sf_dir):
+    """Candidate pipelines with three families: every fifth spectrum is for validation, the others in five folds; which candidate wins."""
+    x = splits.folds(with_blocks(spark, sf_dir).drop("block"), "vec_id", 6).withColumn("fold", F.col("fold") - 1)
+    candidates = [(("snv", {}),), (("msc", {}), ("autoscale", {})), (("sg_smooth", {}), ("snv", {}), ("mean_center", {})), (("derivative1", {}), ("msc", {}))]
+    found = search.nested(x, "x", "y", candidates, families=("pls", "ridge", "lasso"), most=10)
+    rows = [(e["pipeline_id"], e["family"], str(e["parameters"]), e["cv_rmse"], e["cv_r2"], e["val_rmse"], e["val_r2"], i == found["winner"]) for i, e in enumerate(found["evaluations"])]
+    out = spark.createDataFrame(rows, "pipeline_id string, family string, parameters string, cv_rmse double, cv_r2 double, val_rmse double, val_r2 double, winner boolean")
+    return out.select("pipeline_id", "family", "parameters", *(F.round(c, 6).alias(c) for c in ("cv_rmse", "cv_r2", "val_rmse", "val_r2")), "winner")
