@@ -182,35 +182,38 @@ def successive_projections(df: DataFrame, x: str, y: str, gram: Gram, least: int
     return {"selected": list(sets[best]), "error": float(errors[best]), "candidates": len(sets)}
 
 
-def elastic_net(gram: Gram, alpha: float, l1_ratio: float, start: np.ndarray | None = None, tolerance: float = 1e-9, sweeps: int = 20_000) -> np.ndarray:
+def elastic_net(gram: Gram, alpha: float, l1_ratio: float, start: np.ndarray | None = None, tolerance: float = 1e-9, sweeps: int = 5000) -> np.ndarray:
     """The minimiser w, on standardised columns z, of |y - z w|^2 / 2n + alpha (l1_ratio |w|_1 + (1 - l1_ratio) |w|^2 / 2), by coordinate
-    descent on the cross-products with soft thresholds. start: where to begin, such as the solution of a larger alpha."""
+    descent on the cross-products with soft thresholds. After each sweep the positions in use are solved for at once, and w goes
+    there, or as far as no sign changes; so collinear positions take few sweeps. It ends when the conditions of optimality hold.
+    start: where to begin, such as the solution of a larger alpha."""
     xx, xy = gram.centred()
     n, s = gram.n, _scales(gram)
     a, b = xx / n / np.outer(s, s), xy[:, 0] / n / s
     w = np.zeros(len(b)) if start is None else start.copy()
-    slope = b - a @ w
     diagonal, bound, over = np.diag(a), alpha * l1_ratio, alpha * (1 - l1_ratio)
     limit = tolerance * max(1e-300, float(np.abs(b).max()))
-    everything = np.flatnonzero(diagonal > 1e-14)
-    active, full = everything, True
+    usable = np.flatnonzero(diagonal > 1e-14)
+    slope = b - a @ w
     for _ in range(sweeps):
-        moved = 0.0
-        for j in active:
+        for j in usable:
             c = slope[j] + diagonal[j] * w[j]
             new = np.sign(c) * max(abs(c) - bound, 0.0) / (diagonal[j] + over)
             if step := new - w[j]:
                 slope -= step * a[j]
                 w[j] = new
-                moved = max(moved, abs(step) * diagonal[j])
-        if moved <= limit:
-            if full:
-                break
-            active, full = everything, True
-        else:
-            active, full = (np.flatnonzero(w), False) if full else (active, False)
-            if not len(active):
-                active, full = everything, True
+        used = np.flatnonzero(w)
+        if len(used):
+            sign = np.sign(w[used])
+            goal = np.linalg.lstsq(a[np.ix_(used, used)] + over * np.eye(len(used)), b[used] - bound * sign, rcond=1e-12)[0]
+            turns = goal * sign < 0
+            part = min(1.0, float((w[used] / np.where(turns, w[used] - goal, 1.0))[turns].min())) if turns.any() else 1.0
+            moved = w[used] + part * (goal - w[used])
+            w[used] = np.where(moved * sign > 0, moved, 0.0)
+        slope = b - a @ w
+        rest = np.where(w != 0, np.abs(slope - over * w - bound * np.sign(w)), np.maximum(np.abs(slope) - bound, 0))
+        if rest[usable].max(initial=0.0) <= limit:
+            break
     return w
 
 
