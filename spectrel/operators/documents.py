@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What counts as one token, and page markers.
-TOKEN = r"[㐀-鿿]|[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)*|[^\s]"
-PAGE_MARKER = r"(?i)<!--\s*page:\s*(\d+)\s*-->"
+from spectrel.operators.chunking import TOKEN
+
+#: Scores above which an answer is strong or weak, the margin between documents, and results of one document.
 STRONG, WEAK, MARGIN, PER_DOCUMENT = 0.63, 0.60, 0.02, 2
 
 
@@ -83,90 +83,6 @@ def grep(documents: DataFrame, id_: str, text: str, pattern: str, literal: bool
     return documents.select(id_, F.posexplode(F.split(text, "\n")).alias("line", "content")).where(F.col("content").rlike(regex)).withColumn("line", F.col("line") + 1)
 
 
-# --- chunking ---------------------------------------------------------------------------------------------------------------------
-
-_TOKEN = re.compile(TOKEN)
-
-
-def _tokens(text: str) -> int:
-    return len(_TOKEN.findall(text))
-
-
-def _hard(text: str, most: int) -> Iterator[str]:
-    """Pieces of `most` tokens."""
-    at = [m.start() for m in _TOKEN.finditer(text)]
-    cuts = [0, *at[most::most], len(text)] if len(at) > most else [0, len(text)]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if piece := text[a:b].strip():
-            yield piece
-
-
-def _greedy(parts: list[str], most: int, glue: str, overlap: int = 0) -> Iterator[str]:
-    """Runs of parts of at most `most` tokens; a run begins with the last `overlap` percent of the parts before it."""
-    run: list[str] = []
-    size = 0
-    for part in parts:
-        n = _tokens(part)
-        if run and size + n > most:
-            yield glue.join(run).strip()
-            run = run[-max(1, len(run) * overlap // 100) :] if overlap else []
-            size = sum(map(_tokens, run))
-        run.append(part)
-        size += n
-    if run:
-        yield glue.join(run).strip()
-
-
-def chunk_text(text: str, most: int = 512, overlap: int = 0) -> list[str]:
-    """Paragraphs packed to `most` tokens; a longer paragraph goes by sentences, a longer sentence by tokens."""
-    parts: list[str] = []
-    for paragraph in re.split(r"\n\s*\n", text):
-        paragraph = paragraph.strip()
-        if not paragraph:
-            continue
-        if _tokens(paragraph) <= most:
-            parts.append(paragraph)
-        else:
-            sentences = [s.strip() for s in re.split(r"(?<=[。！？!?；;.])\s*", paragraph) if s.strip()]
-            parts += _greedy([p for s in sentences for p in _hard(s, most)], most, "")
-    return list(_greedy(parts, most, "\n\n", overlap))
-
-
-def sections(text: str) -> list[tuple[list[str], str]]:
-    """(heading path, body) of a Markdown text."""
-    out: list[tuple[list[str], list[str]]] = [([], [])]
-    path: list[tuple[int, str]] = []
-    for line in text.split("\n"):
-        if m := re.match(r"(#{1,6})\s+(\S.*)", line):
-            path = [(k, t) for k, t in path if k < len(m[1])] + [(len(m[1]), m[2].strip())]
-            out.append(([t for _, t in path], []))
-        else:
-            out[-1][1].append(line)
-    return [(p, "\n".join(b).strip()) for p, b in out if "\n".join(b).strip()]
-
-
-def chunks(documents: DataFrame, id_: str, text: str, most: int = 512, overlap: int = 0, by_section: bool = False) -> DataFrame:
-    """Per chunk: id, chunk_index, section_path, content, tokens, previous_id and next_id (id#index)."""
-    kind = documents.schema[id_].dataType.simpleString()
-    shape = pa.schema([("chunk_index", pa.int32()), ("section_path", pa.list_(pa.string())), ("content", pa.string()), ("tokens", pa.int32())])
-
-    def run(batches):
-        for batch in batches:
-            ids, rows = [], []
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                parts = sections(t or "") if by_section else [([], t or "")]
-                found = [(path, c) for path, body in parts for c in chunk_text(body, most, overlap)]
-                rows += [(n, path, c, _tokens(c)) for n, (path, c) in enumerate(found)]
-                ids += [k] * len(found)
-            columns = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), *(pa.array(c, f.type) for c, f in zip(columns, shape, strict=True))], names=[id_, *shape.names])
-
-    found = documents.select(id_, text).mapInArrow(run, f"`{id_}` {kind}, chunk_index int, section_path array<string>, content string, tokens int")
-    w = Window.partitionBy(id_).orderBy("chunk_index")
-    name = F.concat_ws("#", F.col(id_).cast("string"), F.col("chunk_index").cast("string"))
-    return found.withColumns({"chunk_id": name, "previous_id": F.lag(name).over(w), "next_id": F.lead(name).over(w)})
-
-
 # --- retrieval --------------------------------------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from spectrel.operators import chunking
 from spectrel.operators import documents as d
 from spectrel.operators import events as e
 from spectrel.plans.registry import query, table
@@ -46,12 +48,38 @@ def corpus_grep(spark, sf_dir):
 
 @query("document_chunks")
 def document_chunks(spark, sf_dir):
-    return d.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 256, 10)
+    return chunking.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 256, 10)
 
 
 @query("chunk_counts")
 def chunk_counts(spark, sf_dir):
-    return d.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 256).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tokens").alias("tokens"))
+    return chunking.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 256).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tokens").alias("tokens"))
+
+
+_PAIRS = "WITH m AS (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS t FROM conversations), q AS (SELECT conv_id, t AS q, lead(t) OVER w AS a, role, lead(role) OVER w AS follows, row_number() OVER w AS k FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
+
+
+@query("question_chunks", _PAIRS + " SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY k) - 1 AS INTEGER) AS chunk_index, md5('Q: ' || q || chr(10) || 'A: ' || a) AS digest FROM q WHERE role = 'user' AND follows = 'assistant'")
+def question_chunks(spark, sf_dir):
+    """The questions of a conversation that are answered at once, with their answers, as one text, and its chunks."""
+    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\x0B]+", " "))
+    turn = Window.partitionBy("conv_id").orderBy("turn")
+    both = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("q")).withColumns({"a": F.lead("q").over(turn), "follows": F.lead("role").over(turn)})
+    lines = both.where("role = 'user' AND follows = 'assistant'").select("conv_id", "turn", F.concat(F.lit("Q: "), "q", F.lit("\nA: "), "a").alias("line"))
+    whole = lines.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("l")).select("conv_id", F.array_join("l.line", "\n").alias("text"))
+    return chunking.chunks(whole, "conv_id", "text", 1_000_000, strategy="questions").select("conv_id", "chunk_index", F.md5("content").alias("digest"))
+
+
+@query(
+    "page_span_chunks",
+    """WITH p AS (SELECT doc_id, 1 + doc_id % 4 AS n FROM documents) SELECT doc_id, CAST(k - 1 AS INTEGER) AS chunk_index, CAST(k AS BIGINT) AS page_start, CAST(k AS BIGINT) AS page_end, CAST(5 AS INTEGER) AS tokens FROM (SELECT doc_id, unnest(range(1, n + 1)) AS k FROM p)""",
+)
+def page_span_chunks(spark, sf_dir):
+    """Documents of up to four pages of five words each, joined with page marks; a chunk for each page."""
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), (1 + F.col("doc_id") % 4).cast("int"))).alias("page"))
+    pages = pages.withColumn("text", F.concat(F.lit("words of page number "), F.col("page").cast("string")))
+    whole = chunking.joined_pages(pages, "doc_id", "page", "text").withColumn("text", F.regexp_replace("text", "-->\n\n", "--> "))
+    return chunking.chunks(whole, "doc_id", "text", 20).select("doc_id", "chunk_index", "page_start", "page_end", "tokens")
 
 
 @query("page_text")

@@ -85,8 +85,8 @@ def ordering_checks(spark, sf_dir):
 
 @query(
     "catalog_register",
-    """WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, sha256(t) AS h, 1 + doc_id % 3 AS version FROM d WHERE doc_id % 2 = 0),
-    e AS (SELECT 2 * doc_id AS seq, doc_id, CASE WHEN doc_id % 4 < 2 THEN sha256(t) ELSE sha256(t || 'x') END AS h FROM d UNION ALL SELECT 2 * doc_id + 1, doc_id - doc_id % 3, sha256(t) FROM d WHERE doc_id % 7 < 3),
+    """WITH RECURSIVE d AS (SELECT doc_id, dense_rank() OVER (ORDER BY coalesce(text, '')) AS t FROM documents), c AS (SELECT doc_id, 2 * t AS h, 1 + doc_id % 3 AS version FROM d WHERE doc_id % 2 = 0),
+    e AS (SELECT 2 * doc_id AS seq, doc_id, CASE WHEN doc_id % 4 < 2 THEN 2 * t ELSE 2 * t + 1 END AS h FROM d UNION ALL SELECT 2 * doc_id + 1, doc_id - doc_id % 3, 2 * t FROM d WHERE doc_id % 7 < 3),
     n AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM e),
     s AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, '' AS action, CAST(0 AS BIGINT) AS version,
       (SELECT map_from_entries(list(struct_pack(k := h, v := struct_pack(i := i, n := v)))) FROM (SELECT h, min(doc_id) AS i, CAST(arg_min(version, doc_id) AS BIGINT) AS v FROM c GROUP BY h)) AS held,

@@ -2,8 +2,11 @@ import math
 import random
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from spectrel.operators import chunking
 from spectrel.operators import documents as d
 from spectrel.operators import events as e
 from spectrel.operators import tabular as t
@@ -29,18 +32,67 @@ def test_dois(spark):
     assert ids[0] == ids[1] and ids[0].startswith("bib:") and ids[2] == "doi:10.5555/z" and ids[3].startswith("sha256:")
 
 
+def naive(text, most, overlap=0):
+    """Chunks with every count taken anew from the pieces themselves."""
+
+    def packed(parts, glue):
+        out, run = [], []
+        for p in parts:
+            if run and sum(map(chunking.tokens, run)) + chunking.tokens(p) > most:
+                out.append(glue.join(run).strip())
+                run = run[-max(1, len(run) * overlap // 100) :] if overlap and glue else []
+            run.append(p)
+        return out + ([glue.join(run).strip()] if run else [])
+
+    parts = []
+    for paragraph in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text))):
+        if chunking.tokens(paragraph) <= most:
+            parts.append(paragraph)
+            continue
+        pieces = []
+        for sentence in filter(None, (x.strip() for x in re.split(chunking.SENTENCE_END, paragraph))):
+            at = [m.start() for m in re.finditer(chunking.TOKEN, sentence)]
+            pieces += [sentence[x:y].strip() for x, y in zip([0, *at[most::most]], [*at[most::most], len(sentence)], strict=True)] if len(at) > most else [sentence]
+        parts += packed(pieces, "")
+    return packed(parts, "\n\n")
+
+
 def test_chunks(spark):
     text = "# A\n\n" + "one two three.\n\n" * 5 + "## B\n\n" + "近红外" * 30 + "。尾 end\n\n" + "x " * 40
-    for most, overlap in ((10, 0), (10, 50), (512, 0)):
-        found = d.chunk_text(text, most, overlap)
-        assert found and all(d._tokens(c) <= most or (overlap and d._tokens(c) <= 2 * most) for c in found)
-        if not overlap:
-            assert "".join("".join(found).split()) == "".join(text.split())
+    odd = "a 3.14 b. c.d/e.f-g h! " * 9 + "\n \n" + "v1.2.3.4.5.6.7.8.9 " * 7 + "\n\n\n" + "w.x.y" * 30 + "  \n\n tail . . . 。。 x"
+    for t in (text, odd, "", " \n\n ", "one"):
+        for most, overlap in ((1, 0), (3, 0), (10, 0), (10, 50), (12, 20), (512, 0)):
+            assert chunking.chunk_text(t, most, overlap) == naive(t, most, overlap)
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, t string")
-    rows = d.chunks(df, "id", "t", 20, by_section=True).orderBy("id", "chunk_index").collect()
+    rows = chunking.chunks(df, "id", "t", 20, by_section=True).orderBy("id", "chunk_index").collect()
     assert {r["id"] for r in rows} == {1} and rows[0]["section_path"] == ["A"] and rows[-1]["section_path"] == ["A", "B"]
-    assert rows[0]["previous_id"] is None and rows[0]["next_id"] == rows[1]["chunk_id"] and rows[-1]["next_id"] is None
+    assert rows[0]["content"].startswith("# A") and rows[0]["chunk_id"] == f"1#{chunking.VERSION}-0000" and all(r["tokens"] == chunking.tokens(r["content"]) for r in rows)
+    assert rows[0]["previous_id"] is None and rows[0]["next_id"] == rows[1]["chunk_id"] and rows[1]["previous_id"] == rows[0]["chunk_id"] and rows[-1]["next_id"] is None
     assert [tuple(r) for r in d.outline(df, "id", "t").collect()] == [(1, 1, 1, "A"), (1, 13, 2, "B")]
+    with pytest.raises(ValueError):
+        chunking.chunks(df, "id", "t", strategy="lines")
+
+
+def test_headings_take_the_place_of_their_level():
+    assert [p for p, _ in chunking.sections("x\n### a\n## b\ny\n# c\n#### d\n## e")] == [[], ["a"], ["a", "b"], ["c"], ["c", "d"], ["c", "e"]]
+
+
+def test_questions_and_pages(spark):
+    english = "Q: What is SNV?\nA: Standard Normal Variate scatter correction.\n\nQ: What is PLS?\nA: Partial Least Squares regression."
+    chinese = "问：什么是 SNV？\n答：标准正态变量散射校正。\n\n问：什么是 PLS？\n答：偏最小二乘回归。"
+    paged = chunking.joined_pages(spark.createDataFrame([(9, 2, "two " * 8), (9, 5, None), (9, 7, "three"), (8, 1, "x")], "d int, p int, t string"), "d", "p", "t")
+    texts = {r["d"]: r["t"] for r in paged.collect()}
+    assert texts[8] == "<!-- page: 1 -->\n\nx" and texts[9].count("<!-- page: ") == 3
+    df = spark.createDataFrame([(1, english), (2, chinese), (3, "Just a paragraph."), (4, texts[9]), (5, "<!-- Page:  7 -->")], "id int, t string")
+    got = chunking.chunks(df, "id", "t", 40, strategy="questions").orderBy("id", "chunk_index").collect()
+    assert [(r["id"], r["content"]) for r in got if r["id"] < 4] == [
+        (1, "Q: What is SNV?\nA: Standard Normal Variate scatter correction."), (1, "Q: What is PLS?\nA: Partial Least Squares regression."),
+        (2, "Q: 什么是 SNV？\nA: 标准正态变量散射校正。"), (2, "Q: 什么是 PLS？\nA: 偏最小二乘回归。"), (3, "Just a paragraph."),
+    ]
+    pages = [(r["page_start"], r["page_end"]) for r in got if r["id"] == 4]
+    assert pages[0][0] == 1 and pages[-1][1] == 3 and not any("<!--" in r["content"] for r in got) and 5 not in {r["id"] for r in got}
+    text = spark.createDataFrame([("ＳＮＶ２ 近 红\u3000外 x 近 y",), (None,)], "t string")
+    assert [r["t"] for r in chunking.normalized(text, "t").collect()] == ["SNV2 近红外 x 近 y", None]
 
 
 def test_html(spark):
