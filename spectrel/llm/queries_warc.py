@@ -6,14 +6,17 @@ from spectrel.llm import common, warc
 def op6_warc(spark, sf_dir):
     folder = common.new_folder(spark, "warc")
     warc.write(common.table(spark, sf_dir, "pages", "page_id", "url", "html"), folder, least=0)
-    head = F.col("header")
-    return warc.read(spark, folder).select(
+    # every record is put together again, and what is returned is read from its bytes; a revisit's payload is that of its response
+    found = warc.opened(warc.rebuilt(warc.read(spark, folder)))
+    head = F.col("head")
+    digest = F.concat(F.lit("sha1:"), warc.base32(F.coalesce(F.sha1("content"), F.col("payload_sha1"))))
+    return found.select(
         warc.field(head, "X-Page-ID").cast("long").alias("page_id"),
-        "payload_bytes",
-        warc.base32(F.col("payload_sha1")).alias("payload_digest"),
+        F.coalesce(F.octet_length("content").cast("long"), F.col("payload_bytes")).alias("payload_bytes"),
+        F.substring(digest, 6, 32).alias("payload_digest"),
         warc.field(head, "WARC-Type").alias("record_type"),
         warc.field(head, "X-Refers-To-Page-ID").cast("long").alias("refers_to"),
-        (F.concat(F.lit("sha1:"), warc.base32(F.col("payload_sha1"))) == warc.field(head, "WARC-Payload-Digest")).alias("verified"),
+        (F.col("whole") & (digest == warc.field(head, "WARC-Payload-Digest")) & (warc.field(F.col("http_head"), "Content-Length").cast("long") == F.coalesce(F.octet_length("content").cast("long"), F.col("payload_bytes")))).alias("verified"),
     )
 
 

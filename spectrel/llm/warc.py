@@ -48,7 +48,8 @@ def header(record: DataFrame, date: str = DATE) -> Column:
     """The exact bytes of a record up to its payload."""
     is_revisit = F.col("record_type") == "revisit"
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
-    url = F.regexp_replace(F.coalesce("url", F.lit("")), "[\r\n]", "")
+    # line ends would end the field; they stand as in a URL
+    url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     digest = base32(F.lower(F.hex(F.unbase64("sha1"))))
     http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF), line("Content-Type", F.lit("text/html; charset=UTF-8")), line("Content-Length", F.col("payload_bytes").cast("string")), F.lit(CRLF))
     body = F.when(is_revisit, F.octet_length(http)).otherwise(F.octet_length(http) + F.col("payload_bytes"))
@@ -101,6 +102,22 @@ def rebuilt(found: DataFrame) -> DataFrame:
     return found.withColumn("record", F.concat("header", F.when(is_revisit, F.lit(b"")).otherwise(F.col("payload")), F.lit((CRLF + CRLF).encode())))
 
 
+def opened(records: DataFrame) -> DataFrame:
+    """Reads the records of rebuilt() again, from their bytes alone: adds head (the record's own header), http_head, content (the payload of
+    a response, null for a revisit) and whole: the bytes are as many as Content-Length says, and close with two line ends."""
+    text = F.decode("record", "ISO-8859-1")  # one character for each byte
+    split = F.instr(text, CRLF + CRLF)
+    rows = records.withColumn("head", F.encode(F.substring(text, F.lit(1), split + 1), "ISO-8859-1"))
+    begin = F.octet_length("head") + 3  # of the content, from 1
+    length = field(F.col("head"), "Content-Length").cast("long")
+    rows = rows.withColumn("whole", (F.octet_length("record") == F.octet_length("head") + 2 + length + 4) & (F.expr("substring(record, octet_length(record) - 3, 4)") == F.lit((CRLF + CRLF).encode())))
+    body = F.substring(text, begin, length.cast("int"))
+    inner = F.instr(body, CRLF + CRLF)
+    rows = rows.withColumn("http_head", F.encode(F.substring(body, F.lit(1), inner + 1), "ISO-8859-1"))
+    content = F.encode(F.substring(body, inner + 4, length.cast("int")), "ISO-8859-1")
+    return rows.withColumn("content", F.when(field(F.col("head"), "WARC-Type") == "response", content))
+
+
 def field(head: Column, name: str) -> Column:
     """A header field's value, null without it."""
     value = F.regexp_extract(F.decode(head, "UTF-8"), f"(?:^|\\n){name}: ([^\\r\\n]*)\\r\\n", 1)

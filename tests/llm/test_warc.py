@@ -14,6 +14,11 @@ def test_round_trip(spark):
         warc.write(spark.createDataFrame(rows, SCHEMA).select("page_id", "url", "html"), folder, least)
         got = warc.rebuilt(warc.read(spark, folder)).collect()
         assert len(got) == len(rows)
+        again = {(r["page_id"], r["sha256"], r["copy"]): r for r in warc.opened(warc.rebuilt(warc.read(spark, folder))).collect()}
+        assert len(again) == len(rows) and all(r["whole"] and bytes(r["header"]) == bytes(r["head"]) + b"\r\n" + bytes(r["http_head"]) + b"\r\n" for r in again.values())
+        assert all((r["content"] is None) == (b"WARC-Type: revisit" in bytes(r["head"])) for r in again.values())
+        assert all(r["content"] is None or hashlib.sha256(bytes(r["content"])).hexdigest() == r["sha256"] for r in again.values())
+        assert any(b"WARC-Target-URI: http://h/0%0D%0A\r\n" in bytes(r["head"]) for r in again.values())
         payloads = [r["sha256"] for r in spark.read.parquet(f"{folder}/payloads").collect()]
         assert len(payloads) == len(set(payloads)) == len({(t or "") for _, _, t, _, _ in rows})
         for r in got:
