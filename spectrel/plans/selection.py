@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spectrel.functions import kernels
-from spectrel.operators import gram, search, selection, splits, transfer
+from spectrel.operators import classes, gram, search, selection, splits, transfer, trees
 from spectrel.plans.registry import query, table
 from spectrel.plans.spectral import P, POINTS, spectra
 
@@ -115,3 +115,32 @@ def nested_search(spark, sf_dir):
     rows = [(e["pipeline_id"], e["family"], str(e["parameters"]), e["cv_rmse"], e["cv_r2"], e["val_rmse"], e["val_r2"], i == found["winner"]) for i, e in enumerate(found["evaluations"])]
     out = spark.createDataFrame(rows, "pipeline_id string, family string, parameters string, cv_rmse double, cv_r2 double, val_rmse double, val_r2 double, winner boolean")
     return out.select("pipeline_id", "family", "parameters", *(F.round(c, 6).alias(c) for c in ("cv_rmse", "cv_r2", "val_rmse", "val_r2")), "winner")
+
+
+@query("class_components")
+def class_components(spark, sf_dir):
+    """Balanced accuracy of least squares on class indicators, by number of components, over stratified folds."""
+    x = classes.stratified_folds(spectra(spark, sf_dir), "vec_id", "label")
+    best, means = classes.choose_components(x, "x", "label", classes.class_names(x, "label"), 12)
+    return spark.createDataFrame([(k, m, k == best) for k, m in means], "components int, balanced_accuracy double, chosen boolean").withColumn("balanced_accuracy", F.round("balanced_accuracy", 8))
+
+
+@query("class_families")
+def class_families(spark, sf_dir):
+    """Three families of class models, fitted on four fifths of the spectra and compared on the others."""
+    x = splits.folds(spectra(spark, sf_dir).withColumn("kind", F.col("label") % 3), "vec_id", 5)
+    found = classes.choose_family(x.where("fold > 0"), x.where("fold = 0"), "x", "kind", "vec_id", steps=25)
+    rows = [(c["family"], c["components"], c["balanced_accuracy"], c["macro_f1"], c["mcc"], c["family"] == found["family"]) for c in found["candidates"]]
+    out = spark.createDataFrame(rows, "family string, components int, balanced_accuracy double, macro_f1 double, mcc double, chosen boolean")
+    return out.select("family", "components", *(F.round(c, 6).alias(c) for c in ("balanced_accuracy", "macro_f1", "mcc")), "chosen")
+
+
+@query("tree_ensembles")
+def tree_ensembles(spark, sf_dir):
+    """Forests and boosted trees of two sizes each, by their errors over folds."""
+    rows = splits.folds(with_blocks(spark, sf_dir).drop("block"), "vec_id", 3)
+    out = []
+    for family, grid in (("forest", [{"trees": 10, "depth": d} for d in (4, 8)]), ("boosted", [{"trees": n, "rate": 0.1, "depth": 3} for n in (3, 6)])):
+        found = trees.chosen(rows, "x", "y", family, grid=grid)
+        out += [(family, str(p), e**0.5, p == found["parameters"]) for p, e in found["grid"]]
+    return spark.createDataFrame(out, "family string, parameters string, rmse double, chosen boolean").withColumn("rmse", F.round("rmse", 6))

@@ -126,16 +126,18 @@ def register_in_turn(catalog, records):
 def test_registered_one_after_another(spark):
     import random
 
-    spark.sparkContext.setCheckpointDir("/tmp/spectrel-test-checkpoints")
     cases = [([], [("a", "x", 0), ("b", "x", 1)]), ([], [("a", "x", 0), ("a", "y", 1)]), ([("a", "x", 4)], [("a", "y", 0), ("b", "x", 1), ("a", "x", 2), ("b", "z", 3), ("a", "x", 4)])]
     for seed in range(4):
         random.seed(seed)
         cases.append(([(f"d{i}", f"c{i}", i + 1) for i in range(4)], [(f"d{random.randrange(7)}", f"c{random.randrange(8)}", at) for at in range(40)]))
-    for catalog, records in cases:
-        c = spark.createDataFrame(catalog, "doc_id string, content_sha256 string, version int")
-        n = spark.createDataFrame(records, "doc_id string, content_sha256 string, at int")
-        got = sorted((x["at"], x["action"], x["version"]) for x in r.registered(c, n, "at").collect())
-        assert got == register_in_turn(catalog, records)
+    # the cases are independent of each other, so they go in one table
+    name = lambda k, rows: [(f"{k}{d}", f"{k}{c}", v) for d, c, v in rows]
+    catalog = [r for k, (c, _) in enumerate(cases) for r in name(k, c)]
+    records = [(d, c, 1000 * k + at) for k, (_, n) in enumerate(cases) for d, c, at in name(k, n)]
+    c = spark.createDataFrame(catalog, "doc_id string, content_sha256 string, version int")
+    n = spark.createDataFrame(records, "doc_id string, content_sha256 string, at int")
+    got = sorted((x["at"], x["action"], x["version"]) for x in r.registered(c, n, "at").collect())
+    assert got == register_in_turn(catalog, records)
 
 
 def test_readiness_and_group_candidates(spark):
