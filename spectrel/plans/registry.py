@@ -11,7 +11,7 @@ from spectrel.functions import kernels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("tabular", "spectral", "selection", "knowledge", "rules", "sources", "records")
+MODULES = ("tabular", "spectral", "selection", "knowledge", "rules", "sources", "records", "sqlfunctions")
 
 
 def query(name: str, oracle: str | None = None):
