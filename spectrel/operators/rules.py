@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +73,6 @@ def evidence(results: DataFrame, query: str, document: str, quality_tier: str, d
 
 def entities(documents: DataFrame, id_: str, text: str, dictionary: dict[str, dict[str, list[str]]]) -> DataFrame:
     """Dictionary terms in texts: id, category, names (sorted). Latin aliases stand as whole words, others anywhere; case doesn't count."""
-    import re
 
     def hit(aliases: list[str]) -> Column:
         parts = [rf"(?<![\p{{L}}\p{{N}}]){re.escape(a)}(?![\p{{L}}\p{{N}}])" if a.isascii() else re.escape(a) for a in aliases]
@@ -111,9 +112,19 @@ def preview(text: Column, head: int = 2000, tail: int = 1000) -> Column:
     return F.when(F.length(text) > head + tail, F.concat(kept, note, F.right(text, F.lit(tail)))).otherwise(text)
 
 
+def word_edges(pattern: str) -> str:
+    """The pattern with \\b as the edge of a run of [A-Za-z0-9_], as SQL has it; what Java's own \\b takes as a letter depends on its version."""
+    before, after = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+    pattern = re.sub(r"(?<!\\)\\b(?=[A-Za-z0-9_])", before, pattern)  # the cheap form where a letter stands behind it
+    edge = f"(?:(?<=[A-Za-z0-9_]){after}|{before}(?=[A-Za-z0-9_]))"
+    return re.sub(r"\\(.)", lambda m: edge if m[1] == "b" else m[0], pattern, flags=re.DOTALL)
+
+
 def scrubbed(text: Column, pattern: str) -> Column:
     """The text without the sentences that match, double blanks squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, rf"(?i)[^.!?\n]*(?:{pattern})[^.!?\n]*[.!?]?", ""), " {2,}", " "))
+    pattern = word_edges(pattern)
+    kept = F.regexp_replace(text, rf"(?i)[^.!?\n]*(?:{pattern})[^.!?\n]*[.!?]?", "")
+    return F.trim(F.regexp_replace(F.when(text.rlike(f"(?i)(?:{pattern})"), kept).otherwise(text), " {2,}", " "))
 
 
 def facts(df: DataFrame, owner: str, content: str, confidence: str, order: list, least: float = 0.7, most: int = 100) -> DataFrame:

@@ -25,6 +25,17 @@ def test_entities_and_scrub(spark):
     assert df.select(r.scrubbed(F.lit("Keep this. I uploaded a file. And  this."), "uploaded")).first()[0] == "Keep this. And this."
 
 
+def test_words_end_at_accented_letters_as_in_sql(spark):
+    from spectrel.operators import events as e
+
+    rows = [(1, 1, "un laéaux"), (2, 1, "x"), (2, 2, "alas"), (3, 1, None), (4, 1, "La"), (4, 2, None), (5, 1, "la_"), (6, 1, "éla.")]
+    got = e.recent_signal(spark.createDataFrame(rows, "c int, t int, x string"), "c", "t", "x", [r"(?i)\bthe\b", r"(?i)\bla\b"], 2)
+    assert {x["c"]: x["signal"] for x in got.collect()} == {1: True, 2: False, 3: None, 4: True, 5: False, 6: True}
+    df = spark.createDataFrame([("A theé b. C.",)], "x string")
+    assert df.select(r.scrubbed(F.col("x"), r"\bthe\b")).first()[0] == "C."
+    assert r.word_edges(r"a\\b\d") == r"a\\b\d"
+
+
 def test_gates_and_scores(spark):
     m = spark.createDataFrame([(1, 0.95, 4.5, 3.0, 1.0), (2, 0.85, 2.0, 1.0, 1.0), (3, None, 9.0, None, 1.0)], "id int, r2 double, rpd double, p double, cv double")
     got = {x["id"]: (x["grade"], x["passed"], x["overfitting"]) for x in r.quality(m, rmsep="p", rmsecv="cv").collect()}
