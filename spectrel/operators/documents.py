@@ -227,14 +227,18 @@ def diversified(candidates: DataFrame, query: str, document: str, score: str, ti
     return capped.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def holders(documents: DataFrame, id_: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int = 10) -> DataFrame:
+def holders(documents: DataFrame, id_: str, text: str, items: DataFrame, item_id: str, item_text: str, window: int = 10, verbatim: bool = False) -> DataFrame:
     """item, id of the documents that hold `window` consecutive words of an item (all words of a shorter one), whatever the case and what
-    stands between words. Windows meet by the MD5 of their words in an equality join. Items without words have no holders."""
+    stands between words; verbatim: with the same case and the same between them. Windows meet by the MD5 of their words in an equality
+    join. Items without words have no holders."""
+    word = r"[\p{L}\p{N}]+"
 
     def cut(df, key, column, lengths):
         """key and the digests of the runs of words of each of the lengths."""
-        words = df.select(F.col(key), F.regexp_extract_all(F.lower(column), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
-        for_each = lambda m: F.transform(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.unhex(F.md5(F.array_join(F.slice("w", i, m), " "))))
+        source = F.col(column) if verbatim else F.lower(column)
+        words = df.select(F.col(key), F.regexp_extract_all(source, F.lit(word), F.lit(0)).alias("w"), F.regexp_extract_all(source, F.lit(word + r"[^\p{L}\p{N}]*"), F.lit(0)).alias("v"))
+        joined = (lambda i, m: F.concat(F.array_join(F.slice("v", i, m - 1), ""), F.get("w", i + m - 2))) if verbatim else lambda i, m: F.array_join(F.slice("w", i, m), " ")
+        for_each = lambda m: F.transform(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.unhex(F.md5(joined(i, m))))
         runs = [F.when(F.size("w") >= m, for_each(m)).otherwise(F.array().cast("array<binary>")) for m in lengths]
         return words, runs
 

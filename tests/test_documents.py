@@ -179,6 +179,14 @@ def test_holders_of_any_part_of_a_passage(spark):
     assert d.holders(spark.createDataFrame(docs, "d long, t string"), "d", "t", none, "q", "t").count() == 0
 
 
+def test_verbatim_holders(spark):
+    words = [f"W{k}é" for k in range(12)]
+    items = [(1, "«" + ", ".join(words) + "!"), (2, "Only Three, words."), (3, None), (4, "")]
+    docs = [(1, "x (" + ", ".join(words[1:11]) + ") y"), (2, ", ".join(words).lower()), (3, " ".join(words)), (4, "a Only Three, words b"), (5, "only three, words"), (6, None)]
+    got = d.holders(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame(items, "q long, t string"), "q", "t", verbatim=True)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 4)]
+
+
 def test_retrieval_report_sees_later_parts(spark, tmp_path):
     from spectrel.plans import knowledge
 
