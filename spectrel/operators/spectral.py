@@ -56,8 +56,20 @@ def emsc(df: DataFrame, column: str, reference: np.ndarray, axis: np.ndarray, de
     return map_rows(df, column, corrected)
 
 
+#: Entries of the matrices that a task solves at once (8 MB).
+MATRIX_ENTRIES = 1 << 20
+
+
 def _baselines(x: np.ndarray, weights: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-    return np.linalg.solve(weights[:, :, None] * np.eye(x.shape[1]) + penalty, (weights * x)[:, :, None])[:, :, 0]
+    """Each row has a matrix of its own; as many are built at once as MATRIX_ENTRIES hold."""
+    size = max(1, MATRIX_ENTRIES // max(1, x.shape[1]) ** 2)
+    out, at = np.empty_like(x), np.arange(x.shape[1])
+    for a in range(0, len(x), size):
+        w = weights[a : a + size]
+        systems = np.repeat(penalty[None], len(w), axis=0)
+        systems[:, at, at] += w
+        out[a : a + size] = np.linalg.solve(systems, (w * x[a : a + size])[:, :, None])[:, :, 0]
+    return out
 
 
 def _penalty(p: int, smoothing: float, order: int) -> np.ndarray:

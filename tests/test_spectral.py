@@ -129,3 +129,17 @@ def test_transposed_in_blocks(spark):
     rows = spark.createDataFrame([(k, [float(k), float(100 * k)]) for k in range(25)], "s long, x array<double>").repartition(3)
     got = {(r["pos"], r["block"]): r["x"] for r in spectral.transposed(rows, "s", "x", 10).collect()}
     assert got == {(p, b): [float(k * (100 if p else 1)) for k in range(10 * b, min(25, 10 * b + 10))] for p in (0, 1) for b in range(3)}
+
+
+def test_baselines_build_few_matrices_at_once():
+    import tracemalloc
+
+    x = np.abs(np.random.default_rng(2).normal(size=(4000, 64))) + 1
+    w, penalty = np.random.default_rng(3).random((4000, 64)), spectral._penalty(64, 1e7, 1)
+    want = np.array([np.linalg.solve(np.diag(w[k]) + penalty, w[k] * x[k]) for k in range(0, 4000, 97)])
+    tracemalloc.start()
+    got = spectral._baselines(x, w, penalty)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got[::97], want, rtol=1e-9, atol=0) and peak < 50e6  # all matrices at once: 131 MB and more
+    assert spectral._baselines(x[:0], w[:0], penalty).shape == (0, 64)
