@@ -137,6 +137,8 @@ def pairs(text: str) -> list[str]:
 
 
 STRATEGIES = ("paragraphs", "sections", "questions")
+#: Bytes of text whose chunks a task holds at once, about; one longer text alone.
+PART_BYTES = 1 << 20
 
 
 def chunked(text: str, most: int = 512, overlap: int = 0, strategy: str = "paragraphs") -> list[dict]:
@@ -156,6 +158,17 @@ def chunked(text: str, most: int = 512, overlap: int = 0, strategy: str = "parag
     return out
 
 
+def _parts(batches, at: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into runs of rows whose texts (column `at`) have PART_BYTES together, or one longer text."""
+    for batch in batches:
+        ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(batch.column(at)), 0), pa.int64())).to_pylist()
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, bisect_right(ends, (ends[a - 1] if a else 0) + PART_BYTES))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def chunks(documents: DataFrame, id_: str, text: str, most: int = 512, overlap: int = 0, by_section: bool = False, strategy: str | None = None, version: str = VERSION) -> DataFrame:
     """Per chunk: id, chunk_index, section_path, content, tokens, page_start, page_end, chunk_id (id#version-index), previous_id, next_id.
 
@@ -168,7 +181,7 @@ def chunks(documents: DataFrame, id_: str, text: str, most: int = 512, overlap:
     own = [("chunk_index", pa.int32()), ("section_path", pa.list_(pa.string())), ("content", pa.string()), ("tokens", pa.int32()), ("page_start", pa.int64()), ("page_end", pa.int64()), ("chunk_id", pa.string()), ("previous_id", pa.string()), ("next_id", pa.string())]
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches, 2):
             at, rows = [], {name: [] for name, _ in own}
             names = pc.fill_null(pc.cast(batch.column(1), pa.string()), "").to_pylist()
             for k, t in enumerate(batch.column(2).to_pylist()):

@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -179,6 +180,16 @@ def test_holders_of_any_part_of_a_passage(spark):
     assert d.holders(spark.createDataFrame(docs, "d long, t string"), "d", "t", none, "q", "t").count() == 0
 
 
+def test_chunks_of_few_texts_at_once(spark):
+    texts = ["a" * 300_000] * 10 + [None, "", "b" * (chunking.PART_BYTES + 5), "c"]
+    batch = pa.RecordBatch.from_pydict({"d": list(range(len(texts))), "t": pa.array(texts, pa.string())})
+    parts = list(chunking._parts([batch, batch.slice(0, 0)], 1))
+    assert [r for p in parts for r in p.column(1).to_pylist()] == texts
+    assert len(parts) == 6 and all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= chunking.PART_BYTES for p in parts)
+    df = spark.createDataFrame(list(enumerate(texts)), "d long, t string").repartition(1)
+    assert {r["d"] for r in chunking.chunks(df, "d", "t", 64).select("d").collect()} == set(range(len(texts))) - {10, 11}
+
+
 def test_verbatim_holders(spark):
     words = [f"W{k}é" for k in range(12)]
     items = [(1, "«" + ", ".join(words) + "!"), (2, "Only Three, words."), (3, None), (4, "")]
