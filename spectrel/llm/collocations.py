@@ -5,11 +5,11 @@ graph are word runs one shorter than the longest phrase, its edges are the longe
 through nodes with one edge in, one edge out and nothing that starts or ends there are compacted into one row. Counts of shorter
 phrases follow from the graph: a phrase occurs as often as its extensions by one word, plus the pieces that end with it.
 
-A phrase that occurs `least` times has only parts that do so too. So words, then pairs, then all phrases up to one word less than the
-longest are counted first, each over what the shorter ones leave, and where a phrase cannot be extended by one of the frequent
-ones, that counts as an end of its piece: no count of a frequent phrase changes. Which phrases are frequent is kept in bit maps by
-hashes; two that share a bit only make the graph larger. All counts that are returned are of texts, not hashes; within a task, words
-and phrases are told apart by 64-bit hashes.
+A phrase that occurs `least` times has only parts that do so too. So words, then pairs, then longer phrases are counted first, each
+over what the shorter ones leave, and where a phrase cannot be extended by one of the frequent ones, that counts as an end of its
+piece: no count of a frequent phrase changes. Tasks pass these counts on by 40-bit hashes, sorted and as differences, about four bytes
+each. Which phrases are frequent is kept in bit maps by hashes; two that share a hash or a bit only make the graph larger. All counts
+that are returned are of texts, not hashes; within a task, words and phrases are told apart by 64-bit hashes.
 
 Null text is empty; null lang is `und`. Repeated rows count as often as they stand there. Texts without words, and empty tables,
 give no phrase. Other columns are not looked at.
@@ -34,6 +34,8 @@ _TABLE = bytes(1 if c in BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 e
 LEAST_BITS, MOST_BITS, FILE_BITS = 20, 33, 27
 #: Distinct keys that a task holds before it passes their counts on.
 HELD = 1 << 21
+#: Bits of a key that are counted, and how many of them name the part that is counted together.
+KEY_BITS, PART_BITS = 40, 12
 
 
 def _is_break(b: np.ndarray) -> np.ndarray:
@@ -93,13 +95,13 @@ def _batches(batches):
 
 
 class _Tally:
-    """Counts of 64-bit keys, passed on when there are many."""
+    """Counts of the highest KEY_BITS of 64-bit keys, passed on when there are many: a row for each part, with its counts packed."""
 
     def __init__(self):
         self.keys, self.counts, self.size = [], [], 0
 
     def add(self, keys: np.ndarray):
-        keys, counts = np.unique(keys, return_counts=True)
+        keys, counts = np.unique(keys >> np.uint64(64 - KEY_BITS), return_counts=True)
         self.keys.append(keys)
         self.counts.append(counts)
         self.size += len(keys)
@@ -115,10 +117,54 @@ class _Tally:
     def rows(self):
         if self.size:
             self._fold()
-            yield pa.RecordBatch.from_arrays([pa.array(self.keys[0].view(np.int64)), pa.array(self.counts[0])], names=["key", "n"])
+            low = KEY_BITS - PART_BITS
+            part = (self.keys[0] >> np.uint64(low)).astype(np.int32)
+            parts, first = np.unique(part, return_index=True)
+            bounds = [*first.tolist(), len(part)]
+            within = (self.keys[0] & np.uint64((1 << low) - 1)).astype(np.uint32)
+            packed = [_packed(within[a:b], self.counts[0][a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
         self.keys, self.counts, self.size = [], [], 0
 
 
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as differences, then counts, each by first, second, third and fourth bytes: most of these are alike, so they compress."""
+    both = np.stack([np.diff(keys, prepend=np.uint32(0)), counts.astype(np.uint32)])
+    return both.astype("<u4").view(np.uint8).reshape(2, len(keys), 4).transpose(0, 2, 1).tobytes()
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(packed, dtype=np.uint8).reshape(2, 4, -1).transpose(0, 2, 1).copy().view("<u4")[:, :, 0]
+    return np.cumsum(both[0], dtype=np.uint32), both[1]
+
+
+def _often(counted: DataFrame, least: int) -> DataFrame:
+    """key, n: those counted at least `least` times. A part is counted in one go: a 4096th of what the tasks pass on."""
+
+    def merge(batches):
+        at, keys, counts = None, [], []
+
+        def found():
+            every, place = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(place, np.concatenate(counts))
+            often = every[n >= least].astype(np.uint64) | np.uint64(at << (KEY_BITS - PART_BITS))
+            return pa.RecordBatch.from_arrays([pa.array((often << np.uint64(64 - KEY_BITS)).view(np.int64)), pa.array(n[n >= least].astype(np.int64))], names=["key", "n"])
+
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if part != at:
+                    if keys:
+                        yield found()
+                    at, keys, counts = part, [], []
+                key, count = _unpacked(packed.as_py())
+                keys.append(key)
+                counts.append(count)
+        if keys:
+            yield found()
+
+    return counted.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "key long, n long")
+
+
 class Bits:
     """A map of bits by the highest bits of keys, in files of a shared folder."""
 
@@ -182,11 +228,11 @@ def graph(documents: DataFrame, least: int = 100, longest: int = 5) -> DataFrame
                         yield from held.add(common.mix(gram[at] + np.uint64(k)))
             yield from held.rows()
 
-        return docs.mapInArrow(count, "key long, n long")
+        return docs.mapInArrow(count, "part int, counts binary")
 
-    for levels in ([1], [2], list(range(3, longest))):
-        if levels and max(levels) < longest:
-            maps |= dict.fromkeys(levels, _frequent(tally(levels), least, str(levels[0])))
+    for levels in ([1], [2], list(range(3, longest)), [longest] * (longest > 2)):
+        if levels and max(levels) <= longest:
+            maps |= dict.fromkeys(levels, _frequent(_often(tally(levels), least), least, str(levels[0])))
 
     def grams(batches):
         held, known = _Phrases(), _opened(maps)

@@ -84,3 +84,27 @@ def test_rank_in_parts_and_wide_products(spark):
 def test_empty_table(spark):
     assert collocations.mine(table(spark, [])).count() == 0
     assert collocations.mine(table(spark, [(None, None), ("", "en"), ("..", "fr")]), 1).count() == 0
+
+
+def test_tallies_are_passed_on_packed(spark):
+    r = np.random.default_rng(4)
+    keys = r.integers(0, 1 << 63, 50_000, dtype=np.uint64) * np.uint64(2)
+    common_ones = keys[:300]
+    rows = []
+    for part in (keys, common_ones, np.concatenate([common_ones, common_ones[:50]])):
+        held = collocations._Tally()
+        assert not list(held.add(part))
+        rows += [(p, bytes(c)) for b in held.rows() for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    k, n = collocations._unpacked(collocations._packed(np.array([0, 7, 2**28 - 1], dtype=np.uint32), np.array([1, 300, 70_000])))
+    assert k.tolist() == [0, 7, 2**28 - 1] and n.tolist() == [1, 300, 70_000]
+    counted = spark.createDataFrame(rows, "part int, counts binary")
+    for least, want in ((3, common_ones), (4, common_ones[:50])):
+        got = {x["key"] for x in collocations._often(counted, least).collect()}
+        assert got == {int(x) for x in (want >> np.uint64(24) << np.uint64(24)).view(np.int64)}
+
+
+def test_the_graph_holds_frequent_edges_alone(spark):
+    texts = ["a b c d e"] * 3 + [f"a b c d x{k}" for k in range(50)]
+    found = {(x["k"], x["phrase"]): x["n"] for x in collocations.graph(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"), 3).collect()}
+    assert found[5, "a b c d e"] == 3 and found[4, "a b c d"] == 50
+    assert not [p for k, p in found if k == 5 and p != "a b c d e"]
