@@ -68,11 +68,12 @@ def registered(catalog: DataFrame, records: DataFrame, order: str) -> DataFrame:
 
     Which records take their content depends on those before them. Each round takes the answers of the last, derives from them when
     each content was held, and asks every record again; a round settles all whose predecessors are settled. Records meet the few spans
-    of time in which their content was held by a join, so a content of many records is split like any skewed join.
+    of time in which their content was held by a join, so a content of many records is split like any skewed join. The keys of both
+    tables are written once, so that no round reads or hashes the contents again.
     """
     now = F.col(order)
     given = catalog.select("doc_id", "content_sha256", F.col("version").cast("long").alias("version"), F.lit(None).cast(records.schema[order].dataType).alias("__at"))
-    asked = records.select("doc_id", "content_sha256", now.alias("__at"))
+    given, asked = cut(given), cut(records.select("doc_id", "content_sha256", now.alias("__at")))
     holder = given.groupBy("content_sha256").agg(F.min("doc_id").alias("__holder"))
     known = given.select("content_sha256").distinct()
     first = asked.groupBy("content_sha256").agg(F.min_by(F.struct("doc_id", "__at"), "__at").alias("f")).select("content_sha256", "f.*")

@@ -150,3 +150,20 @@ def test_readiness_and_group_candidates(spark):
     table = spark.createDataFrame([(i, i % 6, i % 7 if i % 10 else None, i % 5) for i in range(40)], "`样本编号 batch` int, `Région` int, `Batch No` int, `序号` int")
     found = r.group_candidates(table, {"région": 85, "batch": 95}).orderBy("place").collect()
     assert [(x["column"], x["n_groups"], x["eligible"]) for x in found] == [("Batch No", 7, True), ("Région", 6, True)] and abs(found[0]["missing_fraction"] - 0.1) < 1e-9
+
+
+def test_registering_reads_the_records_twice(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    kind = "doc_id long, content_sha256 string, seq long"
+    rows = [(1, "a", 1), (1, "b", 2), (2, "a", 3), (2, "b", 4), (3, "c", 5), (1, "c", 6), (4, "a", 7)]
+    records = spark.createDataFrame(rows, kind).mapInArrow(seen, kind)
+    got = r.registered(spark.createDataFrame([(9, "z", 4)], "doc_id long, content_sha256 string, version long"), records, "seq")
+    found = [(x["action"], x["version"]) for x in got.orderBy("seq").collect()]
+    assert found == [("created", 1), ("updated", 2), ("created", 1), ("duplicate", 2), ("created", 1), ("duplicate", 1), ("duplicate", 1)]
+    assert reads.value <= 3 * len(rows)  # the keys, the rows that are returned, and their ranges where Spark samples them
