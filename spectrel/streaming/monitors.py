@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -39,7 +40,7 @@ def _alerts(model: str, pdf: pd.DataFrame, state: tuple[int, int, bool]) -> tupl
     return pd.DataFrame(rows, columns=["model", "seq", "score", "drifting", "clean", "active", "transition", "severity"]), state
 
 
-#: Rows of all models in one range of seq, about.
+#: Rows of a model that are read in order at once at most; rows of all longer models in one range of seq, about.
 RANGE_ROWS = 100_000
 #: States that stand for all: counters beyond what makes a transition act alike, and one of the two is 0.
 STARTS = [(d, c, active) for d, c in ((0, 0), (1, 0), (2, 0), (3, 0), (0, 1), (0, 2)) for active in (False, True)]
@@ -104,18 +105,30 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ranged_alerts(scores: DataFrame, range_rows: int) -> DataFrame:
-    """Ranges of seq hold about range_rows rows of all models together, so that no task takes a model whole: what a range makes of each
-    state is worked out for each range, these are applied one after the other, and then the rows of each range from its own start."""
+    """A model of at most range_rows rows is read in order at once. For longer ones, ranges of seq hold about range_rows rows of all of them
+    together, so that no task takes such a model whole: what a range makes of each state is worked out for each range, these are applied
+    one after the other, and then the rows of each range from its own start."""
     rows = scores.select(F.col("model").cast("string").alias("model"), F.col("seq").cast("long").alias("seq"), F.col("score").cast("double").alias("score"))
-    parts = max(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // range_rows))
+    large = rows.groupBy("model").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > range_rows).select(F.col("model").alias("l_model"), "n").cache()
+    n = large.agg(F.sum("n")).first()[0] or 0  # at most a model for each range_rows rows
+    begun = {"range": F.lit(0), "d0": F.lit(0).cast("long"), "c0": F.lit(0).cast("long"), "a0": F.lit(False)}
+    if not n:
+        return _sorted_ranges(rows.withColumns(begun)).mapInArrow(_apply, ALERT_SCHEMA)
+    own = rows["model"].eqNullSafe(large["l_model"])
+    short = rows.join(large, own, "left_anti").withColumns(begun)
+    rows = rows.join(large, own, "left_semi")
+    parts = max(int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // range_rows))
     bounds = sorted(set(rows.approxQuantile("seq", [k / parts for k in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
-    place = F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: b < F.col("seq"))) if bounds else F.lit(0)
-    rows = rows.withColumn("range", F.when(F.col("seq").isNull(), len(bounds) + 1).otherwise(place).cast("int"))
+    if bounds:
+        rows = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="seq", outputCol="range", handleInvalid="keep").transform(rows)  # no seq: the last
+    else:
+        rows = rows.withColumn("range", F.when(F.col("seq").isNull(), 1).otherwise(0))
+    rows = rows.withColumn("range", F.col("range").cast("int"))
     each = _sorted_ranges(rows).mapInArrow(_transitions, "model string, range int, n long, high boolean, low boolean, drifting array<long>, clean array<long>, active array<boolean>")
     starts = each.groupBy("model").applyInPandas(_scan, "model string, range int, d0 long, c0 long, a0 boolean")
     starts = starts.withColumnsRenamed({"model": "s_model", "range": "s_range"})
     joined = rows.join(starts, rows["model"].eqNullSafe(starts["s_model"]) & (rows["range"] == starts["s_range"])).drop("s_model", "s_range")
-    return _sorted_ranges(joined).mapInArrow(_apply, ALERT_SCHEMA)
+    return _sorted_ranges(joined.unionByName(short)).mapInArrow(_apply, ALERT_SCHEMA)
 
 
 def drift_alerts(scores: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:

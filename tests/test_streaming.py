@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from spectrel.streaming import monitors
 
@@ -65,3 +66,20 @@ def test_alerts_of_a_long_key_in_ranges(spark, monkeypatch):
     for size in (7, 100, 10**9):
         got = monitors.drift_alerts(spark.createDataFrame(rows, "model string, seq long, score double").repartition(3), size).drop("severity").collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_alerts_of_short_and_long_keys(spark):
+    r = random.Random(5)
+    rows = [(m, k, r.choice([0.05, 0.3, 0.9, 0.9])) for m, n in (("long", 900), ("short", 40), (None, 300), ("one", 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "model string, seq long, score double").repartition(3)
+    want = {}
+    for m in {x[0] for x in rows}:
+        state = (0, 0, False)
+        for _, k, score in sorted(x for x in rows if x[0] == m):
+            state, transition = monitors.alert_step(state, score)
+            want[m, k] = (*state, transition)
+    for size in (50, 299, 1000):
+        alerts = monitors.drift_alerts(df, size)
+        assert {(x["model"], x["seq"]): (x["drifting"], x["clean"], x["active"], x["transition"]) for x in alerts.collect()} == want
+    plan = alerts._jdf.queryExecution().toString()
+    assert "_transitions" not in plan and "Join" not in plan  # short keys alone: each row is worked on once
