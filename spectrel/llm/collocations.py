@@ -8,8 +8,10 @@ phrases follow from the graph: a phrase occurs as often as its extensions by one
 A phrase that occurs `least` times has only parts that do so too. So words, then pairs, then longer phrases are counted first, each
 over what the shorter ones leave, and where a phrase cannot be extended by one of the frequent ones, that counts as an end of its
 piece: no count of a frequent phrase changes. Tasks pass these counts on by 40-bit hashes, sorted and as differences, about four bytes
-each. Which phrases are frequent is kept in bit maps by hashes; two that share a hash or a bit only make the graph larger. All counts
-that are returned are of texts, not hashes; within a task, words and phrases are told apart by 64-bit hashes.
+each. Which phrases are frequent is kept in Bloom filters by hashes; two that share a hash or its bits only make the graph larger.
+
+Words and phrases of the graph are told apart by 64-bit hashes. Tasks pass on their counts by these, each with the least checksum of a
+text that has the phrase. Only that text then says what the phrase is: it is spelled once, not once for each task that counts it.
 
 Null text is empty; null lang is `und`. Repeated rows count as often as they stand there. Texts without words, and empty tables,
 give no phrase. Other columns are not looked at.
@@ -18,6 +20,7 @@ give no phrase. Other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +33,15 @@ from spectrel.llm import arrays, common
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Lower-cases A-Z, makes a tab a blank and a break the byte 1, which no word has: Words writes a text's own bytes of 1 otherwise.
 _TABLE = bytes(1 if c in BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Bits of a map: 16 for each frequent key, from 2**20 to 2**33 (1 GB, mapped from a file); one file has 2**27.
-LEAST_BITS, MOST_BITS, FILE_BITS = 20, 33, 27
+#: Bits of a map: 32 for each frequent key, from 2**20 to 2**33 (1 GB, mapped from a file); one file has 2**27. A key sets PROBES of them,
+#: so that about one in 5000 others passes.
+LEAST_BITS, MOST_BITS, FILE_BITS, PROBES = 20, 33, 27, 4
 #: Distinct keys that a task holds before it passes their counts on.
 HELD = 1 << 21
 #: Bits of a key that are counted, and how many of them name the part that is counted together.
 KEY_BITS, PART_BITS = 40, 12
+#: Files of the phrases that texts are to spell, by the texts' checksums.
+OWN_FILES = 256
 
 
 def _is_break(b: np.ndarray) -> np.ndarray:
@@ -46,11 +52,15 @@ def _seed(lang: str) -> int:
     return int.from_bytes(hashlib.sha256(lang.encode("utf-8", "surrogatepass")).digest()[:8], "little")
 
 
+def _checksum(lang: str | None, text: bytes) -> int:
+    return zlib.crc32(text, _seed(lang if lang is not None else "und") & 0xFFFFFFFF)
+
+
 class Words:
     """The words of a batch of texts: their bytes, a 64-bit key (of language and word) and whether the word before is of the same piece."""
 
     def __init__(self, langs: list[str | None], texts: list[bytes]):
-        self.langs = [x if x is not None else "und" for x in langs]
+        self.langs, self.texts = [x if x is not None else "und" for x in langs], texts
         # a text's own bytes of 1 must not look like breaks; byte 2 with a mark behind it does not occur otherwise
         texts = [t.replace(b"\x02", b"\x02\x03").replace(b"\x01", b"\x02\x04") if b"\x01" in t or b"\x02" in t else t for t in texts]
         self.joined, starts, sizes, hashes, counts = common.byte_words(texts, _TABLE, _is_break)
@@ -59,8 +69,8 @@ class Words:
         text = np.repeat(np.arange(len(texts)), counts)
         piece = np.cumsum(stop)[~stop]
         self.text, self.starts, self.sizes = text[~stop], starts[~stop], sizes[~stop]
-        seeds = np.array([_seed(x) for x in self.langs], dtype=np.uint64)
-        self.key = common.mix(hashes[~stop] + seeds[self.text]) if len(self.text) else np.zeros(0, dtype=np.uint64)
+        self.seeds = np.array([_seed(x) for x in self.langs], dtype=np.uint64)
+        self.key = common.mix(hashes[~stop] + self.seeds[self.text]) if len(self.text) else np.zeros(0, dtype=np.uint64)
         self.follows = np.zeros(len(self.key), dtype=bool)
         self.follows[1:] = (piece[1:] == piece[:-1]) & (self.text[1:] == self.text[:-1])
 
@@ -84,6 +94,9 @@ class Words:
                 reach[at] = True
             yield k, at, gram
 
+    def checksums(self) -> np.ndarray:
+        return np.array([_checksum(g, t) for g, t in zip(self.langs, self.texts, strict=True)], dtype=np.int64)
+
     def phrase(self, i: int, k: int) -> str:
         found = b" ".join(self.joined[a : a + n] for a, n in zip(self.starts[i : i + k].tolist(), self.sizes[i : i + k].tolist(), strict=True))
         return (found.replace(b"\x02\x04", b"\x01").replace(b"\x02\x03", b"\x02") if b"\x02" in found else found).decode("utf-8", "replace")
@@ -127,46 +140,104 @@ class _Tally:
         self.keys, self.counts, self.size = [], [], 0
 
 
-def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, then counts, each by first, second, third and fourth bytes: most of these are alike, so they compress."""
-    both = np.stack([np.diff(keys, prepend=np.uint32(0)), counts.astype(np.uint32)])
-    return both.astype("<u4").view(np.uint8).reshape(2, len(keys), 4).transpose(0, 2, 1).tobytes()
+def _packed(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Sorted keys as differences, then columns, each by first, second, third and fourth bytes: most of these are alike, so they compress."""
+    every = np.stack([np.diff(keys, prepend=np.uint32(0)), *(c.astype(np.uint32) for c in columns)])
+    return every.astype("<u4").view(np.uint8).reshape(len(every), len(keys), 4).transpose(0, 2, 1).tobytes()
 
 
-def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(packed, dtype=np.uint8).reshape(2, 4, -1).transpose(0, 2, 1).copy().view("<u4")[:, :, 0]
-    return np.cumsum(both[0], dtype=np.uint32), both[1]
+def _unpacked(packed: bytes, columns: int = 1) -> np.ndarray:
+    every = np.frombuffer(packed, dtype=np.uint8).reshape(1 + columns, 4, -1).transpose(0, 2, 1).copy().view("<u4")[:, :, 0]
+    every[0] = np.cumsum(every[0], dtype=np.uint32)
+    return every
 
 
-def _often(counted: DataFrame, least: int) -> DataFrame:
-    """key, n: those counted at least `least` times. A part is counted in one go: a 4096th of what the tasks pass on."""
+def _merged(counted: DataFrame, columns: int, found, schema: str) -> DataFrame:
+    """found(part, arrays) of each part, in one go: a 4096th of what the tasks pass on."""
 
     def merge(batches):
-        at, keys, counts = None, [], []
-
-        def found():
-            every, place = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(place, np.concatenate(counts))
-            often = every[n >= least].astype(np.uint64) | np.uint64(at << (KEY_BITS - PART_BITS))
-            return pa.RecordBatch.from_arrays([pa.array((often << np.uint64(64 - KEY_BITS)).view(np.int64)), pa.array(n[n >= least].astype(np.int64))], names=["key", "n"])
-
+        at, held = None, []
         for batch in batches:
             for part, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if part != at:
-                    if keys:
-                        yield found()
-                    at, keys, counts = part, [], []
-                key, count = _unpacked(packed.as_py())
-                keys.append(key)
-                counts.append(count)
-        if keys:
-            yield found()
+                    if held:
+                        yield found(at, np.concatenate(held, axis=1))
+                    at, held = part, []
+                held.append(_unpacked(packed.as_py(), columns))
+        if held:
+            yield found(at, np.concatenate(held, axis=1))
+
+    return counted.repartition("part").sortWithinPartitions("part").mapInArrow(merge, schema)
+
+
+def _often(counted: DataFrame, least: int) -> DataFrame:
+    """key, n: those counted at least `least` times."""
+
+    def found(part, arrays):
+        every, place = np.unique(arrays[0], return_inverse=True)
+        n = np.bincount(place, arrays[1])
+        often = every[n >= least].astype(np.uint64) | np.uint64(part << (KEY_BITS - PART_BITS))
+        return pa.RecordBatch.from_arrays([pa.array((often << np.uint64(64 - KEY_BITS)).view(np.int64)), pa.array(n[n >= least].astype(np.int64))], names=["key", "n"])
+
+    return _merged(counted, 1, found, "key long, n long")
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its counts and the least of its owners."""
+    if not len(keys):
+        return keys, counts, owners
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts[order], first), np.minimum.reduceat(owners[order], first)
+
+
+class _Totals:
+    """Counts of whole 64-bit keys and the least checksum of a text that has them, passed on as in _Tally."""
+
+    def __init__(self):
+        self.held, self.size = [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, owners: np.ndarray):
+        self.held.append(_summed(keys, counts, owners))
+        self.size += len(self.held[-1][0])
+        if self.size > 2 * HELD:
+            self._fold()
+            if self.size > HELD:
+                yield from self.rows()
+
+    def _fold(self):
+        self.held = [_summed(*(np.concatenate(x) for x in zip(*self.held, strict=True)))]
+        self.size = len(self.held[0][0])
+
+    def rows(self):
+        if self.size:
+            self._fold()
+            keys, counts, owners = self.held[0]
+            high, low = keys >> np.uint64(64 - KEY_BITS), keys & np.uint64((1 << (64 - KEY_BITS)) - 1)
+            parts, first = np.unique((keys >> np.uint64(64 - PART_BITS)).astype(np.int32), return_index=True)
+            bounds = [*first.tolist(), len(keys)]
+            within = (high & np.uint64((1 << (KEY_BITS - PART_BITS)) - 1)).astype(np.uint32)
+            columns = [low, counts & 0xFFFFFFFF, counts >> 32, owners]
+            packed = [_packed(within[a:b], *(c[a:b] for c in columns)) for a, b in zip(bounds, bounds[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+        self.held, self.size = [], 0
+
+
+def _totals(counted: DataFrame) -> DataFrame:
+    """key, n, owner: whole keys with their counts and the least checksum of a text that has them."""
 
-    return counted.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "key long, n long")
+    def found(part, arrays):
+        within, low, few, many, owners = arrays.astype(np.uint64)
+        keys = np.uint64(part << (64 - PART_BITS)) | (within << np.uint64(64 - KEY_BITS)) | low
+        keys, n, owners = _summed(keys, (few | (many << np.uint64(32))).astype(np.int64), owners.astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(owners)], names=["key", "n", "owner"])
+
+    return _merged(counted, 4, found, "key long, n long, owner long")
 
 
 class Bits:
-    """A map of bits by the highest bits of keys, in files of a shared folder."""
+    """A Bloom filter of keys' KEY_BITS highest bits, in files of a shared folder by the highest of them."""
 
     def __init__(self, folder: str, bits: int):
         self.folder, self.bits, self.files = folder, bits, {}
@@ -175,18 +246,32 @@ class Bits:
         return bool(self.has(np.array([key], dtype=np.uint64))[0])
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        place = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        part, out = place >> FILE_BITS, np.zeros(len(keys), dtype=bool)
+        out, several = np.zeros(len(keys), dtype=bool), self.bits > FILE_BITS
+        part = (keys >> np.uint64(64 - self.bits + FILE_BITS)).astype(np.int64) if several else np.zeros(min(1, len(keys)), dtype=np.int64)
         for p in np.unique(part).tolist():
             if p not in self.files:
                 self.files[p] = arrays.load(self.folder, f"bits-{p}", np.uint8) if arrays.exists(self.folder, f"bits-{p}") else None
             if self.files[p] is not None:
-                own = part == p
-                at = place[own] & ((1 << FILE_BITS) - 1)
-                out[own] = (self.files[p][at >> 3] >> (at & 7).astype(np.uint8)) & 1
+                own = np.flatnonzero(part == p) if several else np.arange(len(keys))
+                first, step = _places(keys[own])
+                for i in range(PROBES):
+                    at = _probe(first, step, i, 1 << min(self.bits, FILE_BITS))
+                    held = ((self.files[p][at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+                    own, first, step = own[held], first[held], step[held]
+                out[own] = True
         return out
 
 
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mixed = common.mix(keys >> np.uint64(64 - KEY_BITS))
+    return mixed >> np.uint64(32), mixed | np.uint64(1)
+
+
+def _probe(first: np.ndarray, step: np.ndarray, i: int, width: int) -> np.ndarray:
+    """The i-th of a key's bits in its file of `width` bits."""
+    return ((first + np.uint64(i) * step) & np.uint64(width - 1)).astype(np.int64)
+
+
 def _opened(maps: dict) -> dict:
     return {k: Bits(*m) for k, m in maps.items()}
 
@@ -195,15 +280,16 @@ def _frequent(counted: DataFrame, least: int, name: str) -> tuple[str, int]:
     """The folder and the bits of a map of the keys counted at least `least` times."""
     spark = counted.sparkSession
     keys = common.cut(counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"))
-    bits = int(np.clip(np.ceil(np.log2(16 * max(1, keys.count()))), LEAST_BITS, MOST_BITS))
+    bits = int(np.clip(np.ceil(np.log2(32 * max(1, keys.count()))), LEAST_BITS, MOST_BITS))
     folder = common.new_folder(spark, f"collocations-{name}")
     width = 1 << min(bits, FILE_BITS)
 
     def save(table):
-        place = table["key"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-        part = int(place[0]) >> FILE_BITS
+        first, step = _places(table["key"].to_numpy().view(np.uint64))
+        part = table["part"][0].as_py()
         out = np.zeros(width, dtype=bool)
-        out[(place & np.uint64((1 << FILE_BITS) - 1)).astype(np.int64)] = True
+        for i in range(PROBES):
+            out[_probe(first, step, i, width)] = True
         arrays.save(folder, f"bits-{part}", np.packbits(out, bitorder="little"))
         return pa.table({"part": [part]})
 
@@ -235,50 +321,68 @@ def graph(documents: DataFrame, least: int = 100, longest: int = 5) -> DataFrame
             maps |= dict.fromkeys(levels, _frequent(_often(tally(levels), least), least, str(levels[0])))
 
     def grams(batches):
-        held, known = _Phrases(), _opened(maps)
+        held, known = _Totals(), _opened(maps)
         for found in _batches(batches):
-            words = np.bincount(found.text, minlength=len(found.langs))
-            held.add(np.array([_seed(x) for x in found.langs], dtype=np.uint64), words, lambda i, found=found: (found.langs[i], 0, ""))
+            owners, words = found.checksums(), np.bincount(found.text, minlength=len(found.langs))
+            yield from held.add(found.seeds, words, owners)
             levels = list(found.levels(known, longest))
             for (k, at, gram), longer in zip(levels, [x[1] for x in levels[1:]] + [None], strict=True):
                 # an edge wherever it is; a shorter phrase only where it isn't the start of the next longer
                 at = np.setdiff1d(at, longer, assume_unique=True) if longer is not None else at
-                held.add(common.mix(gram[at] + np.uint64(k)), np.ones(len(at), dtype=np.int64), lambda i, found=found, at=at, k=k: (found.langs[found.text[at[i]]], k, found.phrase(int(at[i]), k)))
-            if len(held.keys) > HELD // 4:
-                yield held.rows()
-                held = _Phrases()
-        if len(held.keys):
-            yield held.rows()
+                yield from held.add(common.mix(gram[at] + np.uint64(k)), np.ones(len(at), dtype=np.int64), owners[found.text[at]])
+        yield from held.rows()
 
-    return docs.mapInArrow(grams, "lang string, k int, phrase string, n long").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    totals = common.cut(_totals(docs.mapInArrow(grams, "part int, counts binary")))
+    return totals.join(spelled(docs, totals, longest).dropDuplicates(["key"]), "key").select("lang", "k", "phrase", "n")
 
 
-class _Phrases:
-    """Counts by 64-bit keys, with one (lang, k, phrase) for each, asked for when the key is new."""
+def spelled(docs: DataFrame, totals: DataFrame, longest: int = 5) -> DataFrame:
+    """key, lang, k, phrase of all keys of `totals` (key, owner), each from the text with the owner's checksum: once, or once from each
+    task that has a copy of that text. Other texts are only passed by."""
+    folder = common.new_folder(docs.sparkSession, "collocations-own")
 
-    def __init__(self):
-        self.keys, self.counts, self.place, self.names = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
-
-    def add(self, keys: np.ndarray, counts: np.ndarray, name) -> None:
-        keys, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        counts = np.bincount(at, counts, minlength=len(keys)).astype(np.int64)
-        place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), dtype=bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == keys[inside]
-        self.counts[place[known]] += counts[known]
-        if not known.all():
-            fresh = ~known
-            names = [name(i) for i in first[fresh].tolist()]
-            self.keys, self.counts = np.insert(self.keys, place[fresh], keys[fresh]), np.insert(self.counts, place[fresh], counts[fresh])
-            self.place = np.insert(self.place, place[fresh], len(self.names) + np.arange(len(names)))
-            self.names += names
-
-    def rows(self) -> pa.RecordBatch:
-        langs, ks, phrases = zip(*self.names, strict=True)
-        counts = np.zeros(len(self.names), dtype=np.int64)
-        counts[self.place] = self.counts
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ks, pa.int32()), pa.array(phrases, pa.string()), pa.array(counts)], names=["lang", "k", "phrase", "n"])
+    def save(table):
+        owner, key = (table[c].to_numpy().view(np.uint64) for c in ("owner", "key"))
+        order = np.argsort(owner, kind="stable")
+        arrays.save(folder, f"own-{table['part'][0].as_py()}", np.stack([owner[order], key[order]]))
+        return pa.table({"part": [table["part"][0].as_py()]})
+
+    part = F.pmod(F.col("owner"), F.lit(OWN_FILES))
+    totals.select("key", "owner", part.alias("part")).groupBy("part").applyInArrow(save, "part long").collect()  # a row for each file, 256 at most
+
+    def spell(batches):
+        files, done = {}, set()
+
+        def own(checksum):
+            p = checksum % OWN_FILES
+            if p not in files:
+                files[p] = arrays.load(folder, f"own-{p}", np.uint64).reshape(2, -1) if arrays.exists(folder, f"own-{p}") else np.zeros((2, 0), dtype=np.uint64)
+            a, b = np.searchsorted(files[p][0], np.array([checksum, checksum + 1], dtype=np.uint64)).tolist()
+            return [x for x in files[p][1, a:b].tolist() if x not in done]
+
+        for batch in common.parts(batches, 1):
+            langs, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
+            checksums = [_checksum(g, t) for g, t in zip(langs, texts, strict=True)]
+            wanted = {c: keys for c in set(checksums) if (keys := own(c))}
+            if not wanted:
+                continue
+            at = [i for i, c in enumerate(checksums) if c in wanted]
+            found = Words([langs[i] for i in at], [texts[i] for i in at])
+            keys = np.unique(np.array([x for each in wanted.values() for x in each], dtype=np.uint64))
+            out = []
+            for i in np.flatnonzero(np.isin(found.seeds, keys)).tolist():
+                out.append((int(found.seeds[i]), found.langs[i], 0, ""))
+            for k, at, gram in found.levels({}, longest):
+                every, first = np.unique(common.mix(gram[at] + np.uint64(k)), return_index=True)
+                held = np.isin(every, keys, assume_unique=True)
+                out += [(x, found.langs[found.text[i]], k, found.phrase(i, k)) for x, i in zip(every[held].tolist(), at[first[held]].tolist(), strict=True)]
+            out = list({x[0]: x for x in out}.values())
+            done.update(x[0] for x in out)
+            if out:
+                key, lang, length, phrase = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(lang, pa.string()), pa.array(length, pa.int32()), pa.array(phrase, pa.string())], names=["key", "lang", "k", "phrase"])
+
+    return docs.mapInArrow(spell, "key long, lang string, k int, phrase string")
 
 
 def compacted(found: DataFrame, longest: int = 5) -> DataFrame:

@@ -108,3 +108,47 @@ def test_the_graph_holds_frequent_edges_alone(spark):
     found = {(x["k"], x["phrase"]): x["n"] for x in collocations.graph(spark.createDataFrame([("en", t) for t in texts], "lang string, text string"), 3).collect()}
     assert found[5, "a b c d e"] == 3 and found[4, "a b c d"] == 50
     assert not [p for k, p in found if k == 5 and p != "a b c d e"]
+
+
+def test_maps_let_few_other_keys_pass(spark):
+    keys = np.random.default_rng(7).integers(0, 1 << 64, 1 << 16, dtype=np.uint64)
+    frame = spark.createDataFrame([(int(k), 9) for k in keys.view(np.int64)], "key long, n long")
+    bits = collocations.Bits(*collocations._frequent(frame, 9, "test"))
+    assert bits.has(keys).all()
+    assert bits.has(np.random.default_rng(8).integers(0, 1 << 64, 400_000, dtype=np.uint64)).mean() < 0.002
+    assert bits.has(keys[:0]).tolist() == []
+
+
+def test_phrases_are_spelled_once_not_by_each_task(spark, monkeypatch):
+    made, whole = [], collocations.spelled
+
+    def watched(docs, totals, longest=5):
+        out = whole(docs, totals, longest)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(collocations, "spelled", watched)
+    texts = [f"{PASSAGE} {prose(s, 30, 12)}" for s in range(60)]
+    found = collocations.graph(table(spark, [(t, "en") for t in texts] + [("", "en"), (None, None)]).repartition(12), 5)
+    assert made == [found.count()] and found.where("k > 0").count() > 50
+
+
+def test_totals_hold_large_counts_and_the_least_owner(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "HELD", 1000)
+    r = np.random.default_rng(9)
+    keys = r.integers(0, 1 << 64, 700, dtype=np.uint64)
+    keys[1] = keys[0] ^ np.uint64(1)
+    rows, want = [], {}
+    for _ in range(3):
+        held = collocations._Totals()
+        for _ in range(4):
+            some = keys[r.integers(0, 700, 900)]
+            counts, owners = r.integers(1, 1 << 40, 900), r.integers(0, 1 << 32, 900)
+            for k, n, o in zip(some.view(np.int64).tolist(), counts.tolist(), owners.tolist(), strict=True):
+                was = want.get(k, (0, o))
+                want[k] = (was[0] + n, min(was[1], o))
+            rows += list(held.add(some, counts, owners))
+        rows += list(held.rows())
+    rows = [(p, bytes(c)) for b in rows for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    got = collocations._totals(spark.createDataFrame(rows, "part int, counts binary")).collect()
+    assert {x["key"]: (x["n"], x["owner"]) for x in got} == want and len(got) == len(want)
